@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DISPOSITIONS
 from ..functions.hashing import canonical_json, sha256_text
-from .chain import AUDIT, build_chain, chain_heads
 from ..session import cut_lineage
+from .chain import AUDIT, build_chain, chain_heads
+from .ordering import position_in_group
 
 NOTE_LIMIT = 4_000
 
@@ -44,12 +45,12 @@ def append_decisions(decisions: DataFrame, audit_chain: DataFrame, batch: DataFr
     good = rejected_decisions(batch).where("reject_reason is null").drop("reject_reason")
     good = good.withColumn("disposition", F.upper("disposition"))
     stored = current_dispositions(decisions).select("assessment_id", "finding_id", F.col("disposition").alias("_stored"))
-    # the previous decision in the batch: the nearest smaller position on the same finding
-    before = good.select("assessment_id", "finding_id", F.col("pos").alias("_p"), F.col("disposition").alias("_d"))
-    earlier = (good.select("assessment_id", "finding_id", "pos").join(before, ["assessment_id", "finding_id"])
-               .where(F.col("_p") < F.col("pos")).groupBy("assessment_id", "finding_id", "pos").agg(F.max_by("_d", "_p").alias("_batch")))
-    rows = (good.join(earlier, ["assessment_id", "finding_id", "pos"], "left").join(stored, ["assessment_id", "finding_id"], "left")
-            .withColumn("old_disposition", F.coalesce("_batch", "_stored")).drop("_batch", "_stored")
+    # the previous decision in the batch is the one placed just before on the same finding
+    keys = ["assessment_id", "finding_id"]
+    good = position_in_group(good, keys, [F.col("pos")], "_k")
+    earlier = good.select(*keys, (F.col("_k") + 1).alias("_k"), F.col("disposition").alias("_batch"))
+    rows = (good.join(earlier, [*keys, "_k"], "left").join(stored, keys, "left")
+            .withColumn("old_disposition", F.coalesce("_batch", "_stored")).drop("_batch", "_stored", "_k")
             .withColumn("payload_digest", binding_digest()))
     heads = cut_lineage(chain_heads(audit_chain, AUDIT))
     placed = (rows.withColumn("chain_id", F.col("assessment_id")).join(heads.select("chain_id", "length"), "chain_id", "left")
