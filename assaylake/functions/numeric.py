@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once per row.
+
+    An outer expression used inside a lambda is computed again for every element; a lambda variable
+    is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def safe_float(value: Column) -> Column:
     """Number as double; null, NaN and infinities become 0."""
     number = value.cast("double")
@@ -45,17 +56,23 @@ def cosine_distance(left: Column, right: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits).cast("double")
-    powers = F.transform(logits, lambda x: F.exp(clamp(x.cast("double") - top, -700.0, 700.0)))
-    total = array_sum(powers)
-    return F.transform(powers, lambda x: x / total)
+    def powers(x: Column) -> Column:
+        return let(F.array_max(x).cast("double"), lambda top: F.transform(
+            x, lambda v: F.exp(clamp(v.cast("double") - top, -700.0, 700.0))))
+
+    def share(e: Column) -> Column:
+        return let(array_sum(e), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(let(logits, powers), share)
 
 
 def normalize_probabilities(values: Column) -> Column:
     """Row divided by its sum; null where an entry is negative or not finite, or the sum is 0."""
-    total = array_sum(values)
-    good = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x != F.lit(float("inf"))))
-    return F.when(good & (total > 0), F.transform(values, lambda x: x.cast("double") / total))
+    def share(p: Column) -> Column:
+        good = F.forall(p, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x != F.lit(float("inf"))))
+        return let(array_sum(p), lambda total: F.when(good & (total > 0), F.transform(p, lambda x: x.cast("double") / total)))
+
+    return let(values, share)
 
 
 def argmax(values: Column) -> Column:

@@ -46,14 +46,15 @@ def manifest(t: Tables) -> DataFrame:
 
 def hashed(t: Tables) -> DataFrame:
     """Documents with the difference hash of their text grid."""
-    length = F.length("text")
+    # one byte per character, so that a cell is cut in constant time from the binary form
+    flat = F.regexp_replace("text", f"[^{_BRIGHT}]", "x").cast("binary")
 
-    def bright(part):
-        return F.length(part) - F.length(F.translate(part, _BRIGHT, ""))
+    def cells(m):
+        def cell(c):
+            start = F.floor(c * F.length(m) / 72).cast("int")
+            return F.substring(m, start + 1, F.floor((c + 1) * F.length(m) / 72).cast("int") - start).cast("string")
 
-    def cell(c):
-        start = F.floor(c * length / 72).cast("int")
-        return F.substring(F.col("text"), start + 1, F.floor((c + 1) * length / 72).cast("int") - start)
+        return F.transform(F.sequence(F.lit(0), F.lit(71)), lambda c: F.length(F.translate(cell(c), "x", "")))
 
     def value(b):
         # b is bound as a lambda variable, so the 72 cells are cut once per text
@@ -62,8 +63,7 @@ def hashed(t: Tables) -> DataFrame:
             F.get(b, left(i)) > F.get(b, left(i) + 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(63) - i))
             .otherwise(F.lit(0).cast("long"))))
 
-    parts = F.transform(F.sequence(F.lit(0), F.lit(71)), cell)
-    bits = F.transform(F.array(F.transform(parts, bright)), value)[0]
+    bits = F.transform(F.transform(F.array(flat), cells), value)[0]
     return t.documents.select("doc_id", doc_path(), "lang", "source", "n_chars", bits.alias("hash"))
 
 
@@ -184,9 +184,10 @@ def predictions(t: Tables) -> DataFrame:
     """Two models and three probes over all embeddings: softmax of the vector at different temperatures."""
     from ..functions.numeric import argmax, softmax
     variants = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(p).alias("probe"), F.lit(s).alias("scale")) for m, p, s in _MODELS])
-    scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("v.scale"))
+    scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("scale"))
     return (t.embeddings.select("vec_id", "embedding", F.explode(variants).alias("v"))
-            .select("v.model_id", "v.probe", F.col("vec_id").alias("image_idx"), softmax(scaled).alias("probs"))
+            .select("v.*", F.col("vec_id").alias("image_idx"), "embedding")
+            .select("model_id", "probe", "image_idx", softmax(scaled).alias("probs"))
             .withColumn("predicted_class", argmax(F.col("probs"))))
 
 
