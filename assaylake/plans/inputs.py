@@ -242,8 +242,11 @@ def shift_rows(t: Tables, scale: float = 1.0) -> DataFrame:
         F.least(value / 200.0, F.lit(1.0)).alias("brightness"),
         (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("contrast"), (F.hour("ts") / 24.0).alias("saturation"),
         F.least(value * value / 40000.0, F.lit(1.0)).alias("edge_density"))
-    hists = [F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b, f=f: (histogram_bin(F.col(f), 16) == b).cast("double")).alias(h)
-             for f, h in zip(SHIFT_FEATURES, SHIFT_HISTOGRAMS)]
+
+    def one_hot(feature):
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: (histogram_bin(F.col(feature), 16) == b).cast("double"))
+
+    hists = [one_hot(f).alias(h) for f, h in zip(SHIFT_FEATURES, SHIFT_HISTOGRAMS)]
     return rows.select("*", *hists)
 
 
