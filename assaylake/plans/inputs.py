@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chain as chains
 from ..operators.ordering import position_in_group
+from ..session import widen
 from .catalog import Tables
 
 # --- files and hashes -----------------------------------------------------------------------
@@ -64,7 +65,7 @@ def hashed(t: Tables) -> DataFrame:
             .otherwise(F.lit(0).cast("long"))))
 
     bits = F.transform(F.transform(F.array(flat), cells), value)[0]
-    return t.documents.select("doc_id", doc_path(), "lang", "source", "n_chars", bits.alias("hash"))
+    return widen(t.documents).select("doc_id", doc_path(), "lang", "source", "n_chars", bits.alias("hash"))
 
 
 # --- labels ---------------------------------------------------------------------------------
@@ -185,7 +186,7 @@ def predictions(t: Tables) -> DataFrame:
     from ..functions.numeric import argmax, softmax
     variants = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(p).alias("probe"), F.lit(s).alias("scale")) for m, p, s in _MODELS])
     scaled = F.transform("embedding", lambda x: x.cast("double") * F.col("scale"))
-    return (t.embeddings.select("vec_id", "embedding", F.explode(variants).alias("v"))
+    return (widen(t.embeddings).select("vec_id", "embedding", F.explode(variants).alias("v"))
             .select("v.*", F.col("vec_id").alias("image_idx"), "embedding")
             .select("model_id", "probe", "image_idx", softmax(scaled).alias("probs"))
             .withColumn("predicted_class", argmax(F.col("probs"))))

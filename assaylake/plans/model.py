@@ -8,7 +8,7 @@ from ..operators import fingerprint as fp
 from ..operators import model_identity as mi
 from ..operators import tensor_stats as ts
 from ..operators import trigger_search as tr
-from ..session import cut_lineage
+from ..session import cut_lineage, widen
 from . import inputs
 from .catalog import Tables, query, with_sql
 from .dataset import r6
@@ -330,7 +330,7 @@ def _clean(t: Tables):
 
 
 def _compared(t: Tables):
-    images = t.embeddings.select(F.col("vec_id").alias("image_idx"), "embedding")
+    images = widen(t.embeddings).select(F.col("vec_id").alias("image_idx"), "embedding")
     patched = tr.expand_images(images, tr.trigger_grid(t.spark))
     factor = F.when(F.col("pattern") == "white", 1.0).when(F.col("pattern") == "black", 0.5).when(F.col("pattern") == "mean", 0.9).otherwise(-1.0)
     push = F.col("patch_size") * (F.col("x_fraction") + F.col("y_fraction")) / 4.0

@@ -1,0 +1,139 @@
+"""A7.1 acquisition metadata from the leading structure of image files; pixels are not decoded."""
+
+from __future__ import annotations
+
+import hashlib
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import clean_text, exif_epoch
+
+_RAW_SCHEMA = ("file string, format string, width int, height int, mode string, make string, model string, software string, "
+               "taken string, changed string, quant_hash string, has_exif string, has_gps boolean, file_size bigint, reason string")
+_TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "changed", 0x9003: "taken"}
+
+
+def _tiff_tags(block: bytes) -> dict:
+    """Text tags, the GPS flag and the image size of the first directory and its EXIF directory."""
+    order = {b"II": "<", b"MM": ">"}[block[:2]]
+    found: dict = {}
+
+    def walk(offset: int) -> None:
+        (count,) = struct.unpack_from(order + "H", block, offset)
+        for i in range(count):
+            at = offset + 2 + 12 * i
+            tag, kind, size, value = struct.unpack_from(order + "HHII", block, at)
+            found["tags"] = found.get("tags", 0) + 1
+            if tag in _TAGS and kind == 2:
+                start = value if size > 4 else at + 8
+                found[_TAGS[tag]] = block[start:start + size].split(b"\0")[0].decode("utf-8", "replace")
+            elif tag in (0x0100, 0x0101):
+                short = struct.unpack_from(order + "H", block, at + 8)[0]
+                found["width" if tag == 0x0100 else "height"] = short if kind == 3 else value
+            elif tag == 0x8825:
+                found["gps"] = True
+            elif tag == 0x8769:
+                walk(value)
+
+    walk(struct.unpack_from(order + "I", block, 4)[0])
+    return found
+
+
+def _jpeg(data: bytes) -> dict:
+    out, tables, at = {"format": "JPEG"}, {}, 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        body = data[at + 4:at + 2 + size]
+        if marker == 0xDA:
+            break
+        if marker == 0xDB:
+            while body:
+                wide, slot = body[0] >> 4, body[0] & 15
+                step = 128 if wide else 64
+                tables[slot] = struct.unpack(">64H", body[1:129]) if wide else tuple(body[1:65])
+                body = body[1 + step:]
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            out["height"], out["width"] = struct.unpack_from(">HH", body, 1)
+            out["mode"] = {1: "L", 3: "RGB", 4: "CMYK"}.get(body[5], "UNKNOWN")
+        elif marker == 0xE1 and body[:6] == b"Exif\0\0":
+            tags = _tiff_tags(body[6:])
+            out |= {k: v for k, v in tags.items() if k not in ("width", "height")}
+        at += 2 + size
+    if tables:
+        out["quant_hash"] = hashlib.sha256(repr(sorted(tables.items())).encode()).hexdigest()[:12]
+    return out
+
+
+def _png(data: bytes) -> dict:
+    width, height, depth, color = struct.unpack_from(">IIBB", data, 16)
+    mode = {0: "1" if depth == 1 else "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(color, "UNKNOWN")
+    out, at = {"format": "PNG", "width": width, "height": height, "mode": mode}, 8
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        if kind == b"eXIf":
+            out |= {k: v for k, v in _tiff_tags(data[at + 8:at + 8 + size]).items() if k not in ("width", "height")}
+        at += 12 + size
+    return out
+
+
+def _webp(data: bytes) -> dict:
+    kind = data[12:16]
+    if kind == b"VP8X":
+        return {"format": "WEBP", "mode": "RGBA" if data[20] & 0x10 else "RGB", "width": int.from_bytes(data[24:27], "little") + 1,
+                "height": int.from_bytes(data[27:30], "little") + 1}
+    if kind == b"VP8L":
+        bits = int.from_bytes(data[21:25], "little")
+        return {"format": "WEBP", "mode": "RGBA" if bits >> 28 & 1 else "RGB", "width": (bits & 0x3FFF) + 1, "height": (bits >> 14 & 0x3FFF) + 1}
+    width, height = struct.unpack_from("<HH", data, 26)
+    return {"format": "WEBP", "mode": "RGB", "width": width & 0x3FFF, "height": height & 0x3FFF}
+
+
+def read_header(data: bytes) -> dict:
+    if data[:2] == b"\xff\xd8":
+        return _jpeg(data)
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(data)
+    if data[:2] == b"BM":
+        width, height, _, depth = struct.unpack_from("<iiHH", data, 18)
+        return {"format": "BMP", "width": width, "height": abs(height), "mode": "RGB" if depth >= 24 else "P"}
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _webp(data)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return {"format": "TIFF", "mode": "RGB", **_tiff_tags(data)}
+    raise ValueError("unknown image format")
+
+
+def image_metadata(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`path, content` to metadata rows and skipped files with the reason."""
+    columns = [c.split()[0] for c in _RAW_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"]):
+                try:
+                    head = read_header(data)
+                    if not head.get("width"):
+                        raise ValueError("no image size")
+                    rows.append({"file": path, "file_size": len(data), "quant_hash": "none", "has_gps": bool(head.get("gps")),
+                                 "has_exif": "yes" if head.get("tags") else "no", **{k: v for k, v in head.items() if k in columns}})
+                except (ValueError, KeyError, IndexError, struct.error, RecursionError) as error:
+                    rows.append({"file": path, "reason": f"{type(error).__name__}: {error}"})
+            yield pd.DataFrame(rows, columns=columns).astype({"width": "Int64", "height": "Int64", "file_size": "Int64", "has_gps": "boolean"})
+
+    raw = files.select("path", "content").mapInPandas(run, _RAW_SCHEMA)
+    named = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("none"))
+    camera = F.trim(F.concat_ws(" ", clean_text(F.col("make")), clean_text(F.col("model"))))
+    good = raw.where("reason is null").select(
+        "file", "format", "width", "height", F.concat_ws("x", "width", "height").alias("resolution"), "mode", named(camera).alias("camera"),
+        named(clean_text(F.col("software"))).alias("software"), "quant_hash", "has_exif", "has_gps",
+        F.coalesce(_epoch("taken"), _epoch("changed")).alias("capture_epoch"), "file_size")
+    return good, raw.where("reason is not null").select("file", "reason")
+
+
+def _epoch(column: str) -> Column:
+    return exif_epoch(F.col(column))
