@@ -123,7 +123,7 @@ def image_metadata(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                                  "has_exif": "yes" if head.get("tags") else "no", **{k: v for k, v in head.items() if k in columns}})
                 except (ValueError, KeyError, IndexError, struct.error, RecursionError) as error:
                     rows.append({"file": path, "reason": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=columns).astype({"width": "Int64", "height": "Int64", "file_size": "Int64", "has_gps": "boolean"})
+            yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
 
     raw = files.select("path", "content").mapInPandas(run, _RAW_SCHEMA)
     named = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("none"))
