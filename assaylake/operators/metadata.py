@@ -43,7 +43,7 @@ def distributions(counts: DataFrame) -> DataFrame:
                                (F.col("n") / F.col("total")).alias("share")))
     everyone = counts.groupBy("attribute", "value").agg(F.sum("n").alias("n"))
     whole = everyone.groupBy("attribute").agg(F.sum("n").alias("total"))
-    dataset = (everyone.join(whole, "attribute")
+    dataset = (everyone.join(F.broadcast(whole), "attribute")
                .select(F.lit("dataset").alias("scope"), F.lit(None).cast("string").alias("contributor"), "attribute",
                        "value", "n", (F.col("n") / F.col("total")).alias("share")))
     return per_contributor.unionByName(dataset)
@@ -59,7 +59,7 @@ def contributor_divergence(counts: DataFrame, config: MetadataConfig = MetadataC
     sizes = counts.groupBy("contributor", "attribute").agg(F.sum("n").alias("own_total"))
     whole = everyone.groupBy("attribute").agg(F.sum("all_n").alias("whole"))
     rows = (counts.join(everyone, ["attribute", "value"]).join(sizes, ["contributor", "attribute"])
-            .join(whole, "attribute")
+            .join(F.broadcast(whole), "attribute")  # one row per attribute
             .withColumn("rest", F.col("whole") - F.col("own_total"))
             .where((F.col("own_total") >= config.min_contributor_images) & (F.col("rest") >= config.min_contributor_images)))
     gap = F.abs(F.col("n") / F.col("own_total") - (F.col("all_n") - F.col("n")) / F.col("rest"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import TriggerConfig
 from ..functions.hashing import sha256_text
 from ..functions.numeric import argmax, array_sum, normalize_probabilities, softmax
-from .keyed import attach_scalars
+from .keyed import attach_scalars, lookup_by_key
 
 
 def trigger_grid(spark: SparkSession, config: TriggerConfig = TriggerConfig(), *, image_side: int | None = None) -> DataFrame:
@@ -49,10 +49,10 @@ def to_probabilities(outputs: DataFrame, output_type: str = "auto", group: tuple
         return outputs.withColumn("probs", normalize_probabilities(clipped))
     total = array_sum(F.col("output"))
     looks = F.forall("output", lambda x: x >= -1e-8) & (F.abs(total - 1.0) <= 1e-4 + 1e-5)
-    flags = outputs.groupBy(*group).agg(F.bool_and(looks).alias("_is_probability"))
-    flagged = outputs.join(F.broadcast(flags), list(group)) if group else attach_scalars(outputs, flags)
+    flags = outputs.groupBy(*group).agg(F.bool_and(looks).alias("_is_probability"), F.count(F.lit(1)).alias("_n"))
+    flagged = lookup_by_key(outputs, flags, group, size="_n", spread=[F.col("image_idx")]) if group else attach_scalars(outputs, flags)
     probs = F.when(F.col("_is_probability"), normalize_probabilities(clipped)).otherwise(softmax(F.col("output")))
-    return flagged.withColumn("probs", probs).drop("_is_probability")
+    return flagged.withColumn("probs", probs).drop("_is_probability", "_n")
 
 
 def compare_to_clean(patched: DataFrame, clean: DataFrame) -> DataFrame:

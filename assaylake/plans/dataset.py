@@ -396,11 +396,11 @@ def a7_findings_by_severity(t: Tables):
 
 
 @query("a7_assigned_contributors", """
-SELECT url AS file, CASE WHEN page_id < 10 THEN 'known' WHEN contains(url, '/') THEN split_part(url, '/', 1) ELSE 'unassigned' END AS contributor, count(*) AS rows_with_url
+SELECT url AS file, CASE WHEN contains(url, 'example.org') THEN 'known' WHEN contains(url, '/') THEN split_part(url, '/', 1) ELSE 'unassigned' END AS contributor, count(*) AS rows_with_url
 FROM pages GROUP BY ALL""")
 def a7_assigned_contributors(t: Tables):
     pages = t.pages.select(F.col("url").alias("file"), "page_id")
-    mapping = pages.where("page_id < 10").select("file", F.lit("known").alias("contributor")).distinct()
+    mapping = pages.where(F.contains("url", F.lit("example.org"))).select("file", F.lit("known").alias("contributor")).distinct()
     return me.assign_contributor(pages, mapping, from_path=True).groupBy("file", "contributor").agg(F.count(F.lit(1)).alias("rows_with_url"))
 
 

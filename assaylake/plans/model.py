@@ -344,10 +344,10 @@ def _graded(t: Tables):
     return tr.grade_candidates(tr.candidate_metrics(compared, tr.infer_target(compared)))
 
 
-@query("b4_trigger_grid", with_sql(_GRID, "SELECT g.* FROM grid g WHERE (SELECT count(*) FROM embeddings) > 0"))
+@query("b4_trigger_grid", with_sql(_GRID, "SELECT g.*, count(*) AS images FROM grid g CROSS JOIN embeddings GROUP BY ALL"))
 def b4_trigger_grid(t: Tables):
-    grid = tr.trigger_grid(t.spark)
-    return tr.expand_images(t.embeddings.agg(F.count(F.lit(1)).alias("n")).where("n > 0"), grid).drop("n")
+    patched = tr.expand_images(t.embeddings.select("vec_id"), tr.trigger_grid(t.spark))
+    return patched.groupBy("candidate_id", "patch_size", "x_fraction", "y_fraction", "pattern").agg(F.count(F.lit(1)).alias("images"))
 
 
 @query("b4_candidate_metrics", with_sql(inputs.PREDICTIONS, _GRID, _OUTPUTS, """

@@ -263,7 +263,7 @@ def c3_dataset_findings(t: Tables):
     return document_findings(t).select(*_FINDING.split(", "))
 
 
-@query("c3_aggregate", with_sql(_RAW, inputs.MANIFEST, """everything AS (SELECT severity FROM findings UNION ALL SELECT 'medium' FROM (SELECT sha256 FROM manifest GROUP BY sha256 HAVING count(*) > 1 LIMIT 1))""", """
+@query("c3_aggregate", with_sql(_RAW, inputs.MANIFEST, """everything AS (SELECT severity FROM findings UNION ALL SELECT 'medium' FROM (SELECT count(*) AS g FROM (SELECT sha256 FROM manifest GROUP BY sha256 HAVING count(*) > 1)) WHERE g > 0)""", """
 SELECT count(*) AS finding_count, list_extract(['none', 'low', 'medium', 'high', 'critical'], max(list_position(['none', 'low', 'medium', 'high', 'critical'], severity))) AS overall_severity,
   count(*) FILTER (severity = 'critical') AS critical_count, count(*) FILTER (severity = 'high') AS high_count, count(*) FILTER (severity = 'medium') AS medium_count,
   count(*) FILTER (severity = 'low') AS low_count, count(*) FILTER (severity = 'none') AS none_count FROM everything"""))
