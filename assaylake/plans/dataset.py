@@ -357,14 +357,14 @@ def _image_findings(t: Tables):
 SELECT 'contributor' AS scope, contributor, attribute, value, n, round(n / sum(n) OVER (PARTITION BY contributor, attribute), 6) AS share FROM counts
 UNION ALL SELECT 'dataset', NULL, attribute, value, CAST(sum(n) AS BIGINT), round(sum(n) / (SELECT count(*) FROM metadata), 6) FROM counts GROUP BY attribute, value"""))
 def a7_value_distributions(t: Tables):
-    return me.distributions(me.value_counts(inputs.metadata(t))).withColumn("share", F.round("share", 6))
+    return me.distributions(cut_lineage(me.value_counts(inputs.metadata(t)))).withColumn("share", F.round("share", 6))
 
 
 @query("a7_contributor_divergence", with_sql(inputs.METADATA, _COUNTS, _DIVERGENCE, """
 SELECT contributor, attribute, round(tv_distance, 6) AS tv_distance,
   CASE WHEN tv_distance >= 0.8 THEN 'high_metadata_divergence' WHEN tv_distance >= 0.5 THEN 'elevated_metadata_divergence' END AS code FROM divergence"""))
 def a7_contributor_divergence(t: Tables):
-    return me.contributor_divergence(me.value_counts(inputs.metadata(t))).withColumn("tv_distance", F.round("tv_distance", 6))
+    return me.contributor_divergence(cut_lineage(me.value_counts(inputs.metadata(t)))).withColumn("tv_distance", F.round("tv_distance", 6))
 
 
 @query("a7_median_capture", with_sql(inputs.METADATA, "SELECT median(capture_epoch) AS median_epoch FROM metadata"))
@@ -385,7 +385,7 @@ LEFT JOIN (SELECT contributor, count(DISTINCT file) AS odd FROM image_findings W
 LEFT JOIN (SELECT contributor, max(round(tv_distance, 4)) AS md, string_agg(attribute, ',' ORDER BY attribute) FILTER (tv_distance >= 0.5) AS da FROM divergence GROUP BY ALL) USING (contributor)"""))
 def a7_contributor_evidence(t: Tables):
     rows, findings = _image_findings(t)
-    evidence = me.contributor_evidence(rows, findings, me.contributor_divergence(me.value_counts(rows)))
+    evidence = me.contributor_evidence(rows, findings, me.contributor_divergence(cut_lineage(me.value_counts(rows))))
     return evidence.withColumns({"metadata_anomaly_rate": F.round("metadata_anomaly_rate", 6),
                                  "divergent_attributes": F.array_join("divergent_attributes", ",")})
 
