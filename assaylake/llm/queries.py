@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination
+from . import decontamination, quality
 
 QUERIES: dict[str, Query] = {}
 
@@ -20,3 +20,8 @@ def query(name: str, sql: str | None = None):
 @query("op10_benchmark_decontamination")
 def op10(t: Tables) -> DataFrame:
     return decontamination.leaking_pairs(t.documents, t.benchmark)
+
+
+@query("op6_quality_rules")
+def op6(t: Tables) -> DataFrame:
+    return quality.quality_report(t.documents)

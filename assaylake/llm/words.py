@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -50,7 +51,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
     at = 0
     while at < len(column):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, done + most, "right"))))
         yield at, column.slice(at, to - at)
         at = to
 
@@ -126,5 +127,27 @@ def shingles(words: Words, size: int, hashes: np.ndarray | None = None) -> tuple
     return mix(total[at]), at
 
 
+def in_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes that are equal only for equal hashes of one row."""
+    return mix(hashes + row.astype(np.uint64) * _BASE)
+
+
+def distinct_per(rows: int, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes of each row (48 bits of each hash count)."""
+    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    return count_per(rows, (key[new] >> np.uint64(48)).astype(np.int64))
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    order = np.sort(keys)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return np.zeros(len(keys), bool)
+    twice = twice[np.concatenate(([True], twice[1:] != twice[:-1]))]
+    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
+
+
 def count_per(rows: int, row: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(row, weights, rows).astype(np.int64)[:rows]
