@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, quality
+from . import decontamination, packing, quality, token_counts
 
 QUERIES: dict[str, Query] = {}
 
@@ -25,3 +25,13 @@ def op10(t: Tables) -> DataFrame:
 @query("op6_quality_rules")
 def op6(t: Tables) -> DataFrame:
     return quality.quality_report(t.documents)
+
+
+@query("op5_token_counts")
+def op5(t: Tables) -> DataFrame:
+    return token_counts.token_counts(t.documents)
+
+
+@query("op4_packing")
+def op4(t: Tables) -> DataFrame:
+    return packing.packing_report(t.documents)
