@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, packing, quality, token_counts
+from . import decontamination, packing, quality, sharding, token_counts
 
 QUERIES: dict[str, Query] = {}
 
@@ -35,3 +35,8 @@ def op5(t: Tables) -> DataFrame:
 @query("op4_packing")
 def op4(t: Tables) -> DataFrame:
     return packing.packing_report(t.documents)
+
+
+@query("op8_sharding")
+def op8(t: Tables) -> DataFrame:
+    return sharding.sharding_report(t.documents)
