@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, packing, quality, sharding, token_counts
+from . import decontamination, packing, personal_data, quality, sharding, token_counts
 
 QUERIES: dict[str, Query] = {}
 
@@ -40,3 +40,8 @@ def op4(t: Tables) -> DataFrame:
 @query("op8_sharding")
 def op8(t: Tables) -> DataFrame:
     return sharding.sharding_report(t.documents)
+
+
+@query("op9_personal_data")
+def op9(t: Tables) -> DataFrame:
+    return personal_data.personal_data_report(t.documents)
