@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, packing, personal_data, quality, sharding, token_counts
+from . import decontamination, packing, personal_data, quality, secrets, sharding, token_counts
 
 QUERIES: dict[str, Query] = {}
 
@@ -45,3 +45,8 @@ def op8(t: Tables) -> DataFrame:
 @query("op9_personal_data")
 def op9(t: Tables) -> DataFrame:
     return personal_data.personal_data_report(t.documents)
+
+
+@query("op2_secret_scan")
+def op2(t: Tables) -> DataFrame:
+    return secrets.secrets_report(t.documents)
