@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, packing, personal_data, quality, secrets, sharding, token_counts
+from . import decontamination, near_copies, packing, personal_data, quality, secrets, sharding, token_counts
 
 QUERIES: dict[str, Query] = {}
 
@@ -50,3 +50,8 @@ def op9(t: Tables) -> DataFrame:
 @query("op2_secret_scan")
 def op2(t: Tables) -> DataFrame:
     return secrets.secrets_report(t.documents)
+
+
+@query("op1_near_copies")
+def op1(t: Tables) -> DataFrame:
+    return near_copies.near_copy_classes(t.documents)
