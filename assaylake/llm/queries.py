@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, near_copies, packing, personal_data, quality, secrets, sharding, token_counts
+from . import decontamination, languages, near_copies, packing, personal_data, quality, secrets, sharding, token_counts
 
 QUERIES: dict[str, Query] = {}
 
@@ -55,3 +55,8 @@ def op2(t: Tables) -> DataFrame:
 @query("op1_near_copies")
 def op1(t: Tables) -> DataFrame:
     return near_copies.near_copy_classes(t.documents)
+
+
+@query("op7_language_id")
+def op7(t: Tables) -> DataFrame:
+    return languages.languages_of(t.documents)
