@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, languages, near_copies, packing, personal_data, quality, secrets, sharding, token_counts
+from . import decontamination, languages, near_copies, packing, personal_data, quality, secrets, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Query] = {}
 
@@ -60,3 +60,8 @@ def op1(t: Tables) -> DataFrame:
 @query("op7_language_id")
 def op7(t: Tables) -> DataFrame:
     return languages.languages_of(t.documents)
+
+
+@query("op3_toxicity")
+def op3(t: Tables) -> DataFrame:
+    return toxicity.toxicity(t.documents, t.labels)
