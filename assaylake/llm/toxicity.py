@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in NumPy.
 
-A word enters as its own hashed embedding and the mean of its character-n-gram embeddings. Windows of `width` words,
+A word enters as its own hashed embedding, the mean of its character-n-gram embeddings, and the highest log odds of its
+n-grams between toxic and other training documents. Windows of `width` words,
 each overlapping the next by half, run through a gated recurrent network in both directions; attention weights pool the
 states of a window into one score, and a document scores as its worst window. The input part of the gates depends on
 the word alone and is computed once for each distinct word of a slice of texts.
@@ -79,18 +80,19 @@ def _sigmoid(x):
 class Network:
     p: dict[str, np.ndarray] = field(default_factory=dict)
     share: float = 0.0
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(GRAMS, np.float32))  # of each n-gram
 
     @classmethod
-    def new(cls, seed: int = 3) -> Network:
+    def new(cls, odds: np.ndarray, seed: int = 3) -> Network:
         draw = np.random.default_rng(seed)
 
         def normal(*shape, scale):
             return draw.normal(0, scale, shape).astype(np.float32)
 
-        return cls({"word": normal(WORDS, PART, scale=0.1), "gram": normal(GRAMS, PART, scale=0.1), "in": normal(2, 2 * PART, 3 * HIDDEN, scale=0.5),
+        return cls({"word": normal(WORDS, PART, scale=0.1), "gram": normal(GRAMS, PART, scale=0.1), "in": normal(2, 2 * PART + 1, 3 * HIDDEN, scale=0.5),
                     "in_bias": np.zeros((2, 1, 3 * HIDDEN), np.float32), "state": normal(2, HIDDEN, 3 * HIDDEN, scale=0.3),
                     "look": normal(2 * HIDDEN, LOOK, scale=0.3), "look_bias": np.zeros(LOOK, np.float32), "attend": normal(LOOK, scale=0.3),
-                    "out": normal(2 * HIDDEN, scale=0.3), "out_bias": np.zeros(1, np.float32)})
+                    "out": normal(2 * HIDDEN, scale=0.3), "out_bias": np.zeros(1, np.float32)}, odds=(np.clip(odds, -10, 30) / 10).astype(np.float32))
 
     def embed(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
         """Input vector of each distinct word, and its number of n-grams."""
@@ -98,7 +100,9 @@ class Network:
         grams = np.zeros((len(x.word), PART), np.float32)
         for k in range(PART):
             grams[:, k] = np.bincount(x.gram_word, self.p["gram"][x.gram, k], len(x.word))
-        return np.concatenate((self.p["word"][x.word], grams / np.sqrt(number)[:, None]), 1), number
+        odds = np.zeros((len(x.word), 1), np.float32)
+        np.maximum.at(odds[:, 0], x.gram_word, self.odds[x.gram])
+        return np.concatenate((self.p["word"][x.word], grams / np.sqrt(number)[:, None], odds), 1), number
 
     def gates(self, vectors: np.ndarray) -> np.ndarray:
         """Input part of the gates, 2 directions x words x 3 HIDDEN; one more row for no word."""
@@ -168,7 +172,7 @@ class Network:
         d_vectors = np.matmul(d_gates, p["in"].transpose(0, 2, 1)).sum(0)
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         np.add.at(g["word"], x.word, d_vectors[:, :PART])
-        np.add.at(g["gram"], x.gram, (d_vectors[:, PART:] / np.sqrt(number)[:, None])[x.gram_word])
+        np.add.at(g["gram"], x.gram, (d_vectors[:, PART:2 * PART] / np.sqrt(number)[:, None])[x.gram_word])
         return g
 
     def scores(self, x: Inputs, block: int = 4096) -> np.ndarray:
@@ -203,8 +207,8 @@ def _odds(pairs, toxic: np.ndarray, size: int) -> np.ndarray:
     return np.log(rate[1] / rate[0]) * np.sqrt(hits[1])
 
 
-def _suspicion(x: Inputs, toxic: np.ndarray, at_once: int = 64) -> np.ndarray:
-    """Of each distinct word: the highest odds of itself and its n-grams."""
+def _suspicion(x: Inputs, toxic: np.ndarray, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Odds of each distinct word (the highest of itself and its n-grams) and of each n-gram."""
     by_word = np.argsort(x.gram_word, kind="stable")
     number = np.bincount(x.gram_word, minlength=len(x.word))
     begin = np.cumsum(number) - number
@@ -225,7 +229,7 @@ def _suspicion(x: Inputs, toxic: np.ndarray, at_once: int = 64) -> np.ndarray:
     odds = _odds((own(low)[::-1] for low in lows), toxic, len(x.word))
     gram_odds = _odds(map(grams, lows), toxic, GRAMS)
     np.maximum.at(odds, x.gram_word, gram_odds[x.gram])
-    return odds
+    return odds, gram_odds
 
 
 def train(texts: pa.Array, toxic: np.ndarray, phases: int = 3, epochs: int = 4, batch: int = 256, seed: int = 3) -> Network:
@@ -233,10 +237,12 @@ def train(texts: pa.Array, toxic: np.ndarray, phases: int = 3, epochs: int = 4,
     table = W.split(pc.utf8_lower(W.text_column(texts)), W.NOT_ALPHANUMERIC)
     if len(np.unique(toxic)) < 2 or not len(table.start):
         return Network({}, share)
-    x, draw, net = word_inputs(table), np.random.default_rng(seed), Network.new(seed)
+    x, draw = word_inputs(table), np.random.default_rng(seed)
+    odds, gram_odds = _suspicion(x, toxic)
+    net = Network.new(gram_odds, seed)
     text, start = windows(x.first)
     index = window_index(x, text, start)
-    suspicion = np.append(_suspicion(x, toxic), -np.inf)[index].max(1)
+    suspicion = np.append(odds, -np.inf)[index].max(1)
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, truth = 0, toxic[text]
     for phase in range(phases):
@@ -244,7 +250,7 @@ def train(texts: pa.Array, toxic: np.ndarray, phases: int = 3, epochs: int = 4,
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         chosen = np.flatnonzero((rank == 0) | ((truth == 0) & (rank < 2)) | ((truth == 0) & (draw.random(len(text)) < 3 / np.bincount(text)[text])))
-        importance = np.where(truth == 1, 0.5 / max(1, truth[chosen].sum()), 0.5 / max(1, (1 - truth[chosen]).sum()))
+        importance = np.where(truth == 1, 0.35 / max(1, truth[chosen].sum()), 0.65 / max(1, (1 - truth[chosen]).sum()))
         for _ in range(epochs):
             for at in np.array_split(draw.permutation(chosen), max(1, len(chosen) // batch)):
                 used, local = np.unique(index[at], return_inverse=True)
@@ -286,10 +292,10 @@ def fitted(sample: DataFrame) -> Network:
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by("id").combine_chunks()
         net = train(group["text"].combine_chunks(), group["toxic"].to_numpy().astype(np.int64))
-        return pa.table({"network": pa.array([pickle.dumps(net)], pa.binary())})
+        return pa.table({"network": pa.array([pickle.dumps((net.p, net.share, net.odds))], pa.binary())})
 
-    found = sample.groupBy(F.lit(0)).applyInArrow(fit, "network binary").collect()
-    return pickle.loads(found[0]["network"]) if found else Network()
+    found = sample.groupBy().applyInArrow(fit, "network binary").collect()
+    return Network(*pickle.loads(found[0]["network"])) if found else Network()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = 800,
