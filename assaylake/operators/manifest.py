@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import canonical_json, sha256_text
 from ..functions.text import path_order
 from .keyed import HOT_ROWS, lookup_by_key
-from .ordering import SEGMENT_ROWS, ordered_digest
+from .ordering import FAN_OUT, ordered_digest
 
 MERKLE_LEVELS = 12
 
@@ -26,11 +26,11 @@ def manifest_from_files(files: DataFrame, root: str = "") -> DataFrame:
                         F.length("content").cast("long").alias("size_bytes"))
 
 
-def dataset_digest(manifest: DataFrame, *, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """A1.2 digest of the canonical row list in path order (see ordered_digest for large manifests)."""
+def dataset_digest(manifest: DataFrame, *, fan_out: int = FAN_OUT) -> DataFrame:
+    """A1.2 digest of the canonical rows in path order (see tree_digest)."""
     row = canonical_json(path="path", sha256="sha256", size_bytes="size_bytes")
-    return (ordered_digest(manifest, [path_order(F.col("path"))], row, segment_rows=segment_rows)
-            .select(F.col("item_count").alias("file_count"), F.col("digest").alias("dataset_sha256"), "digest_scheme"))
+    return (ordered_digest(manifest, [path_order(F.col("path"))], row, fan_out=fan_out)
+            .select(F.col("item_count").alias("file_count"), F.col("digest").alias("dataset_sha256")))
 
 
 def _reduce_block(leaves: Column, levels: int) -> Column:

@@ -12,19 +12,16 @@ from ..session import cut_lineage, shuffle_partitions
 from .keyed import lookup_by_key
 
 WINDOW_ROWS = 1_000_000
-SEGMENT_ROWS = 50_000
+FAN_OUT = 4_096
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_index", *,
-                window_rows: int = WINDOW_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
     """0-based index in the given total order.
 
-    Up to `window_rows` rows one window does it. Beyond that the rows are range-partitioned, written,
-    numbered inside each partition and shifted by the partition sizes (one row per partition).
+    The rows are range-partitioned, written, numbered inside each partition and shifted by the sizes of the
+    partitions before (one row for each partition).
     """
     order = list(order)
-    if df.count() <= window_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     parts = shuffle_partitions(df.sparkSession)
     ranged = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
               .withColumn("_part", F.spark_partition_id())
@@ -50,39 +47,46 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     if largest <= window_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("long"))
-    numbered = number_rows(df, [*[F.col(k) for k in keys], *order], "_index", window_rows=window_rows)
+    numbered = number_rows(df, [*[F.col(k) for k in keys], *order], "_index")
     firsts = numbered.groupBy(*keys).agg(F.min("_index").alias("_first"), F.count(F.lit(1)).alias("_n"))
     placed = lookup_by_key(numbered, firsts, keys, size="_n", spread=[F.col("_index")])
     return placed.select(*df.columns, (F.col("_index") - F.col("_first")).alias(name))
 
 
-def ordered_digest(df: DataFrame, order: Sequence[Column], item: Column, *,
-                   segment_rows: int = SEGMENT_ROWS, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """SHA-256 of the JSON list of all items in order: one row (item_count, digest, digest_scheme).
-
-    Up to `segment_rows` items this is exactly the hash of the list text (scheme `canonical`). A plain
-    hash of more text than that could only run in one task, so beyond it consecutive segments are
-    hashed in parallel and the list of segment digests is hashed the same way (scheme `segmented`).
-    """
+def ordered_digest(df: DataFrame, order: Sequence[Column], item: Column, *, fan_out: int = FAN_OUT) -> DataFrame:
+    """(item_count, digest) of all items in order, see tree_digest; one row."""
     order = list(order)
     keyed = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("key"), item.alias("item"))
-    total = keyed.count()
-    scheme = "canonical"
-    if total > segment_rows:
-        scheme = "segmented"
-        level = number_rows(keyed, [F.col("key")], "idx", window_rows=window_rows).select("idx", "item")
-        size = total
-        while size > segment_rows:
-            level = (level.groupBy(F.floor(F.col("idx") / segment_rows).alias("seg"))
-                     .agg(_list_digest(F.col("idx")).alias("digest"))
-                     .select(F.col("seg").alias("idx"), F.concat(F.lit('"'), F.col("digest"), F.lit('"')).alias("item")))
-            size = -(-size // segment_rows)
-        digest = level.agg(_list_digest(F.col("idx")).alias("digest"))
-    else:
-        digest = keyed.agg(_list_digest(F.col("key")).alias("digest"))
-    return digest.select(F.lit(total).alias("item_count"), "digest", F.lit(scheme).alias("digest_scheme"))
-
-
-def _list_digest(key: Column) -> Column:
-    items = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("item")))), lambda x: x["item"])
+    return tree_digest(number_rows(keyed, [F.col("key")], "idx").select("idx", "item"), fan_out=fan_out)
+
+
+def tree_digest(items: DataFrame, keys: Sequence[str] = (), *, fan_out: int = FAN_OUT) -> DataFrame:
+    """(keys, item_count, digest) of `idx, item` rows: three levels at every size.
+
+    `fan_out` consecutive items are hashed as a JSON list, `fan_out` of those digests likewise, and the list of what
+    that gives is hashed. So no task holds more than `fan_out` items, or one digest for each fan_out * fan_out.
+    """
+    keys = list(keys)
+    level = items.select(*keys, "idx", "item", F.lit(1).cast("long").alias("n"))
+    for _ in range(2):
+        level = (level.groupBy(*keys, F.floor(F.col("idx") / fan_out).alias("idx"))
+                 .agg(_list_digest().alias("digest"), F.sum("n").alias("n"))
+                 .select(*keys, "idx", F.concat(F.lit('"'), F.col("digest"), F.lit('"')).alias("item"), "n"))
+    return level.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("item_count"), _list_digest().alias("digest"))
+
+
+def _list_digest() -> Column:
+    items = F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda x: x["item"])
     return sha256_text(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+
+
+def tree_digest_sql(source: str, order: str, item: str, keys: str = "", fan_out: int = FAN_OUT) -> str:
+    """The same in SQL, as a table expression (keys, item_count, digest)."""
+    k = f"{keys}, " if keys else ""
+    by = f"PARTITION BY {keys} " if keys else ""
+    level = lambda inner: (f"SELECT {k}i // {fan_out} AS i, '\"' || sha256('[' || string_agg(item, ',' ORDER BY i) || ']') || '\"' AS item, sum(n) AS n "
+                           f"FROM ({inner}) GROUP BY {k}i // {fan_out}")
+    rows = f"SELECT {k}row_number() OVER ({by}ORDER BY {order}) - 1 AS i, {item} AS item, 1 AS n FROM {source}"
+    group = f" GROUP BY {keys}" if keys else ""
+    return (f"(SELECT {k}CAST(coalesce(sum(n), 0) AS BIGINT) AS item_count, sha256('[' || coalesce(string_agg(item, ',' ORDER BY i), '') || ']') AS digest "
+            f"FROM ({level(level(rows))}){group})")

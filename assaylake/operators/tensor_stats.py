@@ -6,22 +6,17 @@ Chunks are `model_id, tensor_name, chunk_no, values array<double>`; headers are
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TensorThresholds
 from ..functions.hashing import json_list, sha256_text
+from .ordering import FAN_OUT, number_rows, tree_digest
 
-SEGMENT_CHUNKS = 1_024
 _INF = float("inf")
 
 
-def tensor_statistics(chunks: DataFrame, keys: tuple[str, ...] = ("model_id", "tensor_name"),
-                      percentiles: tuple[float, ...] = ()) -> DataFrame:
+def tensor_statistics(chunks: DataFrame, keys: tuple[str, ...] = ("model_id", "tensor_name")) -> DataFrame:
     """B3.1 / B3.2 / B3.5 counts and moments; mean, std, min and max are over finite values.
 
     Values are aggregated map-side with mergeable moments, so one large tensor is no hot spot.
@@ -35,48 +30,51 @@ def tensor_statistics(chunks: DataFrame, keys: tuple[str, ...] = ("model_id", "t
         F.count_if(v == -_INF).alias("neginf_count"), F.count_if(v == 0.0).alias("zero_count"),
         F.avg(finite).alias("mean"), F.stddev_pop(finite).alias("std"), F.min(finite).alias("min"), F.max(finite).alias("max"),
     ]
-    aggs += [F.percentile_approx(finite, p / 100.0, 10_000).alias(f"p{p:g}") for p in percentiles]
     stats = rows.groupBy(*keys).agg(*aggs)
     return (stats.withColumn("non_finite_count", F.col("nan_count") + F.col("posinf_count") + F.col("neginf_count"))
             .withColumn("zero_fraction", F.try_divide(F.col("zero_count").cast("double"), F.col("element_count"))))
 
 
+def exact_percentiles(chunks: DataFrame, percentiles: tuple[float, ...], keys: tuple[str, ...] = ("model_id", "tensor_name")) -> DataFrame:
+    """B3.3 percentiles of the finite values with linear interpolation.
+
+    All values are numbered once in (key, value) order, so a large tensor is many range partitions, and only the ranks
+    on either side of each percentile are picked.
+    """
+    keys = list(keys)
+    values = chunks.select(*keys, F.explode("values").alias("v")).where(~F.isnan("v") & (F.abs("v") != _INF))
+    numbered = number_rows(values, [*map(F.col, keys), F.col("v")], "idx")
+    groups = numbered.groupBy(*keys).agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n"))
+    rank = F.col("p") / 100.0 * (F.col("n") - 1)
+    wanted = (groups.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
+              .select(*keys, "p", (rank - F.floor(rank)).alias("share"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("at"), "first")
+              .select(*keys, "p", "share", (F.col("first") + F.col("at")).alias("idx")))
+    ends = wanted.join(numbered.select("idx", "v"), "idx").groupBy(*keys, "p", "share").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")
+    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == float(p), value)).alias(f"p{p:g}") for p in percentiles])
+
+
 def with_headers(headers: DataFrame, stats: DataFrame, keys: tuple[str, ...] = ("model_id", "tensor_name")) -> DataFrame:
     """Headers with statistics; a tensor without elements has zero counts and null statistics."""
     counts = [c for c in stats.columns if c.endswith("_count")]
     return headers.join(stats, list(keys), "left").fillna(0, counts)
 
 
-def tensor_digests(chunks: DataFrame, headers: DataFrame, *, segment_chunks: int = SEGMENT_CHUNKS) -> DataFrame:
-    """B3.1 digest of dtype, shape and little-endian bytes in chunk order.
+def tensor_digests(chunks: DataFrame, headers: DataFrame, *, decimals: int = 12, fan_out: int = FAN_OUT) -> DataFrame:
+    """B3.1 digest per tensor over dtype, shape and all values in chunk order, as fixed-decimal text.
 
-    Chunks are hashed in bounded runs of `segment_chunks`. A tensor of one run gets the plain digest; a
-    longer one gets the digest of its run digests (`digest_scheme` tells which).
+    Each chunk is hashed where it lies, the chunk digests by tree_digest, and dtype and shape enter the final hash.
     """
-    joined = chunks.join(headers.select("model_id", "tensor_name", "dtype", "shape"), ["model_id", "tensor_name"])
-    staged = joined.select("model_id", "tensor_name", "dtype", "shape", "chunk_no", "values",
-                           F.floor(F.col("chunk_no") / segment_chunks).alias("segment"))
-
-    def digest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_no")
-        first = pdf.iloc[0]
-        hasher = hashlib.sha256()
-        if first["segment"] == 0:
-            shape = [int(s) for s in first["shape"]]
-            hasher.update(f"{first['dtype']}|{shape}|".encode("ascii"))
-        for values in pdf["values"]:
-            hasher.update(np.asarray(values, dtype=np.dtype(first["dtype"]).newbyteorder("<")).tobytes())
-        return pd.DataFrame({"model_id": [first["model_id"]], "tensor_name": [first["tensor_name"]],
-                             "segment": [first["segment"]], "digest": [hasher.hexdigest()]})
-
-    runs = staged.groupBy("model_id", "tensor_name", "segment").applyInPandas(
-        digest, "model_id string, tensor_name string, segment bigint, digest string")
-    listed = runs.groupBy("model_id", "tensor_name").agg(F.array_sort(F.collect_list(F.struct("segment", "digest"))).alias("d"))
-    several = F.size("d") > 1
-    joined_text = json_list(F.transform("d", lambda x: F.concat(F.lit('"'), x["digest"], F.lit('"'))))
-    return listed.select("model_id", "tensor_name",
-                         F.when(several, sha256_text(joined_text)).otherwise(F.col("d")[0]["digest"]).alias("digest_sha256"),
-                         F.when(several, "segmented").otherwise("canonical").alias("digest_scheme"))
+    def text(v: Column) -> Column:
+        return (F.when(F.isnan(v), "nan").when(v == _INF, "inf").when(v == -_INF, "-inf")
+                .otherwise(F.format_string(f"%.{decimals}f", v)))
+
+    item = F.concat(F.lit('"'), sha256_text(F.array_join(F.transform("values", text), ",")), F.lit('"'))
+    tree = tree_digest(chunks.select("model_id", "tensor_name", F.col("chunk_no").alias("idx"), item.alias("item")),
+                       ["model_id", "tensor_name"], fan_out=fan_out)
+    shape = F.concat(F.lit("["), F.array_join(F.transform("shape", lambda n: n.cast("string")), ","), F.lit("]"))
+    joined = tree.join(headers.select("model_id", "tensor_name", "dtype", shape.alias("shape")), ["model_id", "tensor_name"])
+    return joined.select("model_id", "tensor_name", sha256_text(F.concat_ws("|", "dtype", "shape", "digest")).alias("digest_sha256"))
 
 
 def model_totals(tensors: DataFrame) -> DataFrame:

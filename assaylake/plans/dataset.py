@@ -11,6 +11,7 @@ from ..operators import metadata as me
 from ..operators import near_duplicates as nd
 from ..operators import nearest as ne
 from ..operators import patterns as pa
+from ..operators.ordering import tree_digest_sql
 from ..session import cut_lineage
 from ..sources.tables import contributor_rows
 from . import inputs
@@ -27,9 +28,11 @@ def a1_manifest(t: Tables):
     return inputs.manifest(t)
 
 
-@query("a1_dataset_digest", with_sql(inputs.MANIFEST, """
-SELECT count(*) AS file_count, sha256('[' || string_agg('{"path":"' || path || '","sha256":"' || sha256 || '","size_bytes":' || CAST(size_bytes AS VARCHAR) || '}', ','
-  ORDER BY string_split(path, '/')) || ']') AS dataset_sha256, 'canonical' AS digest_scheme FROM manifest"""))
+_MANIFEST_ROW = """'{"path":"' || path || '","sha256":"' || sha256 || '","size_bytes":' || CAST(size_bytes AS VARCHAR) || '}'"""
+
+
+@query("a1_dataset_digest", with_sql(inputs.MANIFEST, "SELECT item_count AS file_count, digest AS dataset_sha256 FROM "
+                                     + tree_digest_sql("manifest", "string_split(path, '/')", _MANIFEST_ROW)))
 def a1_dataset_digest(t: Tables):
     return ma.dataset_digest(inputs.manifest(t))
 
@@ -64,7 +67,7 @@ def a2_duplicate_groups(t: Tables):
 @query("a2_duplicate_members", with_sql(inputs.MANIFEST, """
 SELECT path, sha256, count(*) OVER (PARTITION BY sha256) AS file_count FROM manifest QUALIFY file_count > 1"""))
 def a2_duplicate_members(t: Tables):
-    return ma.duplicate_members(cut_lineage(inputs.manifest(t)))
+    return ma.duplicate_members(inputs.manifest(t))
 
 
 @query("a2_duplicate_totals", with_sql(inputs.MANIFEST, """
@@ -89,12 +92,7 @@ def a3_difference_hash(t: Tables):
 
 @query("a3_near_duplicate_pairs", with_sql(inputs.HASHED, _GROUPS, _PAIRS, "SELECT * FROM hash_pairs"))
 def a3_near_duplicate_pairs(t: Tables):
-    return nd.near_duplicate_pairs(cut_lineage(inputs.hashed(t).select("path", "hash")))
-
-
-@query("a3_near_duplicate_members", with_sql(inputs.HASHED, "SELECT path, hash FROM hashed"))
-def a3_near_duplicate_members(t: Tables):
-    return nd.near_duplicate_members(cut_lineage(inputs.hashed(t).select("path", "hash")))
+    return nd.near_duplicate_pairs(inputs.hashed(t).select("path", "hash"))
 
 
 @query("a3_near_duplicate_report", with_sql(inputs.HASHED, """scanned AS (

@@ -8,6 +8,7 @@ from ..operators import fingerprint as fp
 from ..operators import model_identity as mi
 from ..operators import tensor_stats as ts
 from ..operators import trigger_search as tr
+from ..operators.ordering import tree_digest_sql
 from ..session import cut_lineage, widen
 from . import inputs
 from .catalog import Tables, query, with_sql
@@ -135,7 +136,17 @@ def b2_comparison_summary(t: Tables):
     return fp.comparison_summary(*_comparison(t))
 
 
-@query("b2_fingerprint_digest")
+_INPUTS = tree_digest_sql("embeddings", "vec_id", "list_aggregate(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), 'string_agg', ',')")
+_PROBE_ROW = "'{" + ",".join(f'"{c}":"\' || coalesce(printf(\'%.6f\', {c}), \'null\') || \'"' if c not in ("images", "probe") else
+                            '"images":\' || images || \'' if c == "images" else '"probe":"\' || probe || \'"'
+                            for c in ("confidence_std", "entropy_std", "images", "mean_confidence", "mean_entropy", "prediction_agreement", "probe")) + "}'"
+
+
+@query("b2_fingerprint_digest", with_sql(inputs.PREDICTIONS, _SUMMARY, f"""parts AS (
+  SELECT model_id, sha256('identity,contrast,contrast') AS config_digest, (SELECT digest FROM {_INPUTS}) AS dataset_digest,
+    string_agg({_PROBE_ROW}, ',' ORDER BY list_position(['clean', 'inverted', 'sharpened'], probe)) AS probes FROM summary GROUP BY model_id)""", """
+SELECT model_id, config_digest, dataset_digest, sha256('{"dataset_digest":"' || dataset_digest || '","probe_config_digest":"' || config_digest || '","probes":"'
+  || replace(probes, '"', chr(92) || '"') || '"}') AS fingerprint_digest FROM parts"""))
 def b2_fingerprint_digest(t: Tables):
     predictions = inputs.predictions(t)
     specs = t.spark.createDataFrame([("clean", 0, "identity"), ("inverted", 1, "contrast"), ("sharpened", 2, "contrast")], "probe string, position int, spec string")
@@ -181,10 +192,15 @@ def b3_tensor_statistics(t: Tables):
     return _round_stats(ts.tensor_statistics(inputs.chunks(t)))
 
 
-@query("b3_percentiles")
+_PERCENTILES = (1, 5, 50, 95, 99)
+
+
+@query("b3_percentiles", with_sql(inputs.CHUNKS, "vals AS (SELECT model_id, tensor_name, unnest(vals) AS v FROM chunks)",
+                                  "SELECT model_id, tensor_name, " + ", ".join(f"round(quantile_cont(v, {p / 100}), 6) AS p{p}" for p in _PERCENTILES)
+                                  + " FROM vals WHERE isfinite(v) GROUP BY model_id, tensor_name"))
 def b3_percentiles(t: Tables):
-    stats = ts.tensor_statistics(inputs.chunks(t), percentiles=(1, 5, 50, 95, 99))
-    return stats.select("model_id", "tensor_name", "p1", "p5", "p50", "p95", "p99")
+    found = ts.exact_percentiles(inputs.chunks(t), _PERCENTILES)
+    return found.select("model_id", "tensor_name", *[r6(f"p{p}") for p in _PERCENTILES])
 
 
 def _headers(t: Tables):
@@ -220,7 +236,13 @@ def b3_rank_distribution(t: Tables):
     return ts.rank_distribution(_headers(t))
 
 
-@query("b3_tensor_digests")
+@query("b3_tensor_digests", with_sql(inputs.CHUNKS, _HEADERS, """hashed AS (
+  SELECT model_id, tensor_name, chunk_no AS i, '"' || sha256(list_aggregate(list_transform(vals, lambda x: CASE WHEN isnan(x) THEN 'nan' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'inf' ELSE '-inf' END
+    ELSE printf('%.12f', x) END), 'string_agg', ',')) || '"' AS item FROM chunks),
+runs AS (SELECT model_id, tensor_name, i // 4096 AS run, '"' || sha256('[' || string_agg(item, ',' ORDER BY i) || ']') || '"' AS item FROM hashed GROUP BY ALL),
+blocks AS (SELECT model_id, tensor_name, run // 4096 AS block, '"' || sha256('[' || string_agg(item, ',' ORDER BY run) || ']') || '"' AS item FROM runs GROUP BY ALL),
+trees AS (SELECT model_id, tensor_name, sha256('[' || string_agg(item, ',' ORDER BY block) || ']') AS digest FROM blocks GROUP BY ALL)""", """
+SELECT model_id, tensor_name, sha256('float64|[' || r || ',' || c || ']|' || digest) AS digest_sha256 FROM trees JOIN headers USING (model_id, tensor_name)"""))
 def b3_tensor_digests(t: Tables):
     return ts.tensor_digests(inputs.chunks(t), _headers(t))
 

@@ -10,7 +10,7 @@ from ..operators import findings as fi
 from ..operators import manifest as ma
 from ..operators import report as re
 from ..operators import shift as sh
-from ..operators.ordering import position_in_group
+from ..operators.ordering import position_in_group, tree_digest_sql
 from ..session import cut_lineage
 from . import inputs
 from .catalog import Tables, query, with_sql
@@ -222,7 +222,15 @@ def c2_findings(t: Tables):
     return sh.shift_findings(parts[4], parts[5]).withColumn("overall_shift", F.round("overall_shift", 6))
 
 
-@query("c2_result_digest")
+_RESULT_ROWS = """result_rows AS (
+  SELECT 'overall' AS kind, 'overall' AS k, printf('%.9f', overall_shift) || '|' || severity AS v FROM overall
+  UNION ALL SELECT 'feature', feature, printf('%.9f', distance) || '|' || CAST(distance >= threshold AS VARCHAR) FROM distances
+  UNION ALL SELECT 'histogram', histogram, printf('%.9f', distance) FROM hist_distances
+  UNION ALL SELECT 'image', CAST(file AS VARCHAR), printf('%.9f', max_z) FROM anomalies)"""
+
+
+@query("c2_result_digest", with_sql(*_SHIFT, _RESULT_ROWS, "SELECT * FROM " + tree_digest_sql(
+    "result_rows", "kind, k", """'{"key":"' || k || '","values":"' || v || '"}'""")))
 def c2_result_digest(t: Tables):
     parts = shift_parts(t)
     return sh.result_digest(parts[4], parts[2], parts[3], parts[5])
@@ -238,7 +246,8 @@ findings AS (
   SELECT 'C3-' || substr(sha256('{"asset":"' || affected_asset || '","category":"dataset_integrity","evidence":[{"data":{"n_chars":' || n_chars || ',"type":"' || type || '"},"finding_index":' || doc_id
     || ',"source":"dataset_engine"}],"title":"' || type || '"}'), 1, 12) AS finding_id, 'dataset_integrity' AS category,
     CASE WHEN severity IS NULL THEN 'medium' WHEN lower(severity) IN ('none', 'low', 'medium', 'high', 'critical') THEN lower(severity) ELSE 'low' END AS severity,
-    0.8::DOUBLE AS confidence, affected_asset, type AS title, 'dataset' AS source_engine FROM raw_findings)"""
+    0.8::DOUBLE AS confidence, affected_asset, type AS title, 'dataset' AS source_engine,
+    '[{"data":{"n_chars":' || n_chars || ',"type":"' || type || '"},"finding_index":' || doc_id || ',"source":"dataset_engine"}]' AS evidence FROM raw_findings)"""
 DOCUMENT_FINDINGS = _RAW
 
 
@@ -283,7 +292,7 @@ def _all_findings(t: Tables):
 
 @query("c3_duplicate_finding", with_sql(inputs.MANIFEST, "g AS (SELECT sha256, count(*) AS n FROM manifest GROUP BY sha256 HAVING count(*) > 1)", """
 SELECT 'C3-' || substr(sha256('{"asset":"documents","category":"dataset_integrity","evidence":[{"file_count":' || sum(n) || ',"group_count":' || count(*) || ',"groups_digest":"'
-  || sha256('[' || string_agg('"' || sha256 || '"', ',' ORDER BY sha256) || ']') || '","type":"exact_duplicate_groups"}],"title":"Exact duplicate samples detected"}'), 1, 12) AS finding_id,
+  || (SELECT digest FROM """ + tree_digest_sql("g", "sha256", "'\"' || sha256 || '\"'") + """) || '","type":"exact_duplicate_groups"}],"title":"Exact duplicate samples detected"}'), 1, 12) AS finding_id,
   'medium' AS severity, 0.9::DOUBLE AS confidence FROM g HAVING count(*) > 0"""))
 def c3_duplicate_finding(t: Tables):
     return _duplicate_finding(t).select("finding_id", "severity", "confidence")
@@ -315,7 +324,9 @@ def c3_trigger_finding(t: Tables):
     return fi.findings_from_triggers(graded).select("affected_asset", "severity", "confidence", "finding_id")
 
 
-@query("c3_evidence_digest")
+@query("c3_evidence_digest", with_sql(_RAW, "SELECT * FROM " + tree_digest_sql("findings", "finding_id, affected_asset", """
+  '{"affected_asset":"' || affected_asset || '","category":"' || category || '","confidence":"' || printf('%.6f', confidence) || '","evidence":"' || replace(evidence, '"', chr(92) || '"')
+  || '","finding_id":"' || finding_id || '","severity":"' || severity || '","source_engine":"' || source_engine || '","title":"' || title || '"}'""")))
 def c3_evidence_digest(t: Tables):
     return fi.evidence_digest(document_findings(t))
 

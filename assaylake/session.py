@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+SHARED = "spark.checkpoint.dir"
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.showConsoleProgress": "false",
@@ -42,28 +43,25 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="assaylake-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; only a local session without the setting gets a folder of its own."""
+    folder = spark.conf.get(SHARED, None)
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"set {SHARED} to a folder every executor can reach")
+        folder = "file://" + tempfile.mkdtemp(prefix="assaylake-")
+        spark.conf.set(SHARED, folder)
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder, so a lost executor never re-derives them.
+    """The rows written to the shared folder and read again, so a lost executor never re-derives them.
 
-    A reliable checkpoint runs the plan once for its first job and once for the write; the rows are
-    held for that while (spilling to disk) and dropped again once written.
+    Values made by position (row numbers, partition ids) are fixed from here on. The files go when the session ends.
     """
-    _checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

@@ -27,21 +27,35 @@ def test_merkle_root_equals_pairwise_reduction(spark):
         assert manifest.merkle_root(df, block_levels=levels).first()["merkle_root"] == _merkle(leaves)
 
 
-def test_dataset_digest_is_canonical_list_in_path_part_order(spark):
+def _tree(items, fan_out):
+    """Three levels of hashed JSON lists."""
+    def level(rows):
+        return [f'"{hashlib.sha256(("[" + ",".join(rows[i:i + fan_out]) + "]").encode()).hexdigest()}"' for i in range(0, len(rows), fan_out)]
+    return hashlib.sha256(("[" + ",".join(level(level(items))) + "]").encode()).hexdigest()
+
+
+def test_dataset_digest_is_over_canonical_rows_in_path_part_order(spark):
     rows = [("a-b", "x", 1), ("a/b", "y", 2), ("a", "z\"é", 3)]
     df = spark.createDataFrame(rows, "path string, sha256 string, size_bytes long")
     ordered = sorted(rows, key=lambda r: r[0].split("/"))
-    text = json.dumps([dict(zip(("path", "sha256", "size_bytes"), r)) for r in ordered], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    got = manifest.dataset_digest(df).first()
-    assert got["dataset_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-    assert got["digest_scheme"] == "canonical"
+    text = [json.dumps(dict(zip(("path", "sha256", "size_bytes"), r)), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for r in ordered]
+    for fan_out in (2, 4_096):
+        assert manifest.dataset_digest(df, fan_out=fan_out).first()["dataset_sha256"] == _tree(text, fan_out)
+
+
+def test_digest_is_one_scheme_across_segment_edges_and_partitions(spark):
+    for n in (0, 1, 6, 7, 8, 48, 49, 50, 500):
+        df = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v"))
+        for d in (df, df.repartition(5)):
+            got = ordering.ordered_digest(d, [F.col("k")], F.col("v"), fan_out=7).first()
+            assert (got["item_count"], got["digest"]) == (n, _tree([str(i) for i in range(n)], 7))
 
 
-def test_segmented_digest_does_not_depend_on_partitions(spark):
-    df = spark.range(500).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v"))
-    digests = {ordering.ordered_digest(d, [F.col("k")], F.col("v"), segment_rows=20, window_rows=w).first()["digest"]
-               for d, w in ((df, 10_000), (df.repartition(7), 10_000), (df.repartition(3), 10))}
-    assert len(digests) == 1
+def test_tensor_digest_tells_dtype_and_shape_of_late_chunks(spark):
+    from assaylake.operators.tensor_stats import tensor_digests
+    chunks = spark.createDataFrame([("m", "a", 5_000_000, [1.0, 2.0]), ("m", "b", 5_000_000, [1.0, 2.0])], "model_id string, tensor_name string, chunk_no long, values array<double>")
+    headers = spark.createDataFrame([("m", "a", "float64", [2]), ("m", "b", "float64", [1, 2])], "model_id string, tensor_name string, dtype string, shape array<int>")
+    assert len({r["digest_sha256"] for r in tensor_digests(chunks, headers).collect()}) == 2
 
 
 def test_positions_are_equal_with_and_without_window(spark):
