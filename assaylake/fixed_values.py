@@ -78,7 +78,6 @@ PROBE_BATTERY = (
     ("gaussian_noise", "gaussian_noise", {"sigma": 8.0, "seed": 1337}),
     ("mild_blur", "blur", {"radius": 1.0}),
     ("small_translation", "translation", {"dx": 2, "dy": 2}),
-    ("jpeg_quality_degradation", "jpeg_degradation", {"quality": 30}),
 )
 TRIGGER_PATCH_SIZES = (8, 16)
 TRIGGER_FRACTIONS = (0.25, 0.5, 0.75)

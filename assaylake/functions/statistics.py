@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_EXACT_POPULATION = 5_000
-
 
 def hypergeometric_tail(k: int, n: int, marked: int, population: int) -> float:
     """P(X >= k) for n draws from `population` items of which `marked` count."""
@@ -18,9 +16,6 @@ def hypergeometric_tail(k: int, n: int, marked: int, population: int) -> float:
     low = max(k, n - (population - marked), 0)
     if low > top:
         return 0.0
-    if population <= _EXACT_POPULATION:
-        hits = sum(math.comb(marked, i) * math.comb(population - marked, n - i) for i in range(low, top + 1))
-        return hits / math.comb(population, n)
     if low == max(0, n - (population - marked)):
         return 1.0
 

@@ -6,12 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import (AUDIT_CATEGORIES, CAPABILITIES, DIGEST_FIELDS, FINDING_COUNT_FIELDS, REPORT_SECTIONS, SAMPLE_KEYS, STATE_TRANSITIONS,
                             STATUS_LABELS)
 from ..functions.text import severity_name, severity_rank
+from .keyed import attach_scalars
 
 SEARCH_FIELDS = ("finding_id", "title", "category", "explanation", "affected_asset", "source_engine", "recommended_action")
 
@@ -182,9 +183,10 @@ def sample_references(flat: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, F.col("value").alias("sample")).agg(F.min("position").alias("position"))
 
 
-def evidence_table(flat: DataFrame, key: str, limit: int = 120) -> DataFrame:
-    """Q11 display rows (label, value) of each evidence item, the first `limit` as the view shows them."""
-    return flat.where(F.col("position") < limit).select(key, "position", F.col("path").alias("label"), "value")
+def evidence_table(flat: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Q11 display rows (label, value) of each evidence item; a view may pass its own limit a item."""
+    shown = flat if limit is None else flat.where(F.col("position") < limit)
+    return shown.select(key, "position", F.col("path").alias("label"), "value")
 
 
 def filter_engines(results: DataFrame, *, contributor: str | None = None, class_name: str | None = None, sample: str | None = None) -> DataFrame:
@@ -208,8 +210,8 @@ def mark_interrupted(assessments: DataFrame) -> DataFrame:
 def illegal_transitions(events: DataFrame, spark: SparkSession) -> DataFrame:
     """Q15 lifecycle steps (`assessment_id, pos, status`) that the state machine does not allow."""
     allowed = spark.createDataFrame([(a, b) for a, targets in STATE_TRANSITIONS.items() for b in targets], "previous string, status string")
-    before = events.select("assessment_id", (F.col("pos") + 1).alias("pos"), F.col("status").alias("previous"))
-    steps = events.join(before, ["assessment_id", "pos"])
+    last = F.lag("status").over(Window.partitionBy("assessment_id").orderBy("pos"))
+    steps = events.withColumn("previous", last).where("previous is not null")
     return steps.join(F.broadcast(allowed), ["previous", "status"], "left_anti").select("assessment_id", "pos", "previous", "status")
 
 
@@ -224,20 +226,26 @@ def capability_coverage(results: DataFrame) -> DataFrame:
     return capabilities(results.sparkSession).join(used, "engine", "left").select("engine", "area", "state", F.coalesce("assessments", F.lit(0)).alias("assessments"))
 
 
-def search(index: DataFrame, needle: str, limit: int = 500) -> DataFrame:
-    """Q17 case-folded substring over a search table (`kind, key, label`), the first `limit` by kind and key."""
-    return index.where(F.contains(F.lower("label"), F.lit(needle.lower()))).orderBy("kind", "key", "label").limit(limit)
+def search(index: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
+    """Q17 case-folded substring over a search table (`kind, key, label`): all hits, or a view's first `limit` by kind
+    and key with the count of all in `hits`."""
+    found = index.where(F.contains(F.lower("label"), F.lit(needle.lower())))
+    if limit is None:
+        return found
+    total = found.agg(F.count(F.lit(1)).alias("hits"))
+    return attach_scalars(found.orderBy("kind", "key", "label").limit(limit), total)
 
 
-def activity_feed(audit: DataFrame, assessments: DataFrame, limit: int = 100) -> DataFrame:
-    """Q18 newest audit entries and assessment times: `timestamp, event, source, asset, id, route`."""
+def activity_feed(audit: DataFrame, assessments: DataFrame, limit: int | None = None) -> DataFrame:
+    """Q18 audit entries and assessment times, all or a view's newest `limit`: `timestamp, event, source, asset, id, route`."""
     a = audit.select("timestamp", F.col("event_type").alias("event"), F.col("source_engine").alias("source"), F.col("affected_asset").alias("asset"),
                      F.col("event_id").alias("id"), F.lit("AUDIT").alias("route"))
     times = F.array(*[F.struct(F.lit(label).alias("event"), F.col(column).alias("timestamp")) for label, column in (
         ("Assessment created", "created_at"), ("Assessment started", "started_at"), ("Assessment completed", "completed_at"))])
     b = assessments.select("assessment_id", "name", F.explode(times).alias("m")).where("m.timestamp is not null").select(
         "m.timestamp", "m.event", F.lit("Assessment").alias("source"), F.col("name").alias("asset"), F.col("assessment_id").alias("id"), F.lit("ASSESSMENT").alias("route"))
-    return a.unionByName(b).orderBy(F.desc("timestamp"), "event", "id").limit(limit)
+    feed = a.unionByName(b)
+    return feed if limit is None else feed.orderBy(F.desc("timestamp"), "event", "id").limit(limit)
 
 
 def integrity_table(issues: DataFrame, status: DataFrame, labels: dict[str, str]) -> DataFrame:

@@ -19,7 +19,7 @@ from ..functions.hashing import canonical_json, sha256_text
 from ..session import cut_lineage
 from .keyed import HOT_ROWS, lookup_by_key
 
-SEGMENT_ROWS = 500_000
+RUN_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -70,49 +70,28 @@ def _fold(batches: Iterator[pd.DataFrame], previous: str, current: str) -> Itera
         yield pdf.drop(columns=["_head", "_before", "_after"]).assign(**{previous: links, current: hashes})
 
 
-def build_chain(rows: DataFrame, spec: ChainSpec, *, heads: DataFrame | None = None,
-                segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def build_chain(rows: DataFrame, spec: ChainSpec, *, heads: DataFrame | None = None) -> DataFrame:
     """C1.3 / C4.2 link rows into chains: adds the previous hash and the record hash.
 
-    `rows` has the covered fields; `heads` (`chain_id, head`) continues existing chains. A hash needs
-    its predecessor, so inside a chain the work is sequential; it is cut into runs of `segment_rows`
-    positions, each written before the next, so that a task never holds more of one chain than that.
-    The JSON text around the hash is made in the JVM; the Python side only hashes.
+    `rows` has the covered fields; `heads` (`chain_id, head`) continues existing chains. A hash needs its predecessor,
+    so a chain is one ordered pass by nature: one shuffle on the chain, a sort that spills, and a fold that keeps only
+    the running hash. The JSON text around the hash is made in the JVM; the Python side only hashes.
     """
     before, after = _around(spec)
-    staged = rows.withColumns({"_before": before, "_after": after})
-    bounds = rows.agg(F.min("pos"), F.max("pos")).first()
     columns = [c for c in rows.columns if c not in (spec.previous, spec.hash)]
     schema = rows.select(*columns).schema.add(spec.previous, "string").add(spec.hash, "string")
-    if bounds[0] is None:
-        return rows.select(*columns).withColumns({spec.previous: F.lit(""), spec.hash: F.lit("")}).limit(0)
-    first, last = bounds[0] // segment_rows, bounds[1] // segment_rows
+    part = rows.select(*columns, before.alias("_before"), after.alias("_after"))
+    start = F.lit(GENESIS_HASH)
+    if heads is not None:
+        part = part.join(heads.select("chain_id", F.col("head").alias("_head")), "chain_id", "left")
+        start = F.coalesce("_head", start)
     previous_col, hash_col = spec.previous, spec.hash
 
     def fold(batches):
         return _fold(batches, previous_col, hash_col)
 
-    built = None
-    for segment in range(first, last + 1):
-        part = staged.where(F.floor(F.col("pos") / segment_rows) == segment) if last > first else staged
-        part = part.select(*columns, "_before", "_after")
-        if heads is not None:
-            part = part.join(heads.select("chain_id", F.col("head").alias("_head")), "chain_id", "left")
-            part = part.withColumn("_head", F.coalesce("_head", F.lit(GENESIS_HASH)))
-        else:
-            part = part.withColumn("_head", F.lit(GENESIS_HASH))
-        linked = part.repartition("chain_id").sortWithinPartitions("chain_id", "pos").mapInPandas(fold, schema)
-        if segment < last:
-            linked = cut_lineage(linked)
-            ends = linked.groupBy("chain_id").agg(F.max_by(spec.hash, "pos").alias("head"))
-            if heads is None:
-                heads = ends
-            else:
-                kept = heads.select("chain_id", F.col("head").alias("_old"))
-                heads = kept.join(ends, "chain_id", "full").select("chain_id", F.coalesce("head", "_old").alias("head"))
-            heads = cut_lineage(heads)
-        built = linked if built is None else built.unionByName(linked)
-    return built
+    part = part.withColumn("_head", start)
+    return part.repartition("chain_id").sortWithinPartitions("chain_id", "pos").mapInPandas(fold, schema)
 
 
 def chain_heads(chain: DataFrame, spec: ChainSpec) -> DataFrame:
@@ -120,29 +99,29 @@ def chain_heads(chain: DataFrame, spec: ChainSpec) -> DataFrame:
     return chain.groupBy("chain_id").agg(F.max_by(spec.hash, "pos").alias("head"), F.count(F.lit(1)).alias("length"))
 
 
-def append_to_chain(chain: DataFrame, batch: DataFrame, spec: ChainSpec, *, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def append_to_chain(chain: DataFrame, batch: DataFrame, spec: ChainSpec) -> DataFrame:
     """C4.2 next records: `batch` has `pos` counted from 0 inside the batch; position and sequence
     continue after the chain's length. Gives the new rows only."""
-    heads = cut_lineage(chain_heads(chain, spec))
+    heads = chain_heads(chain, spec)
     offset = F.coalesce("length", F.lit(0))
     placed = (batch.join(heads.select("chain_id", "length"), "chain_id", "left")
               .withColumn("pos", F.col("pos") + offset).withColumn("sequence", F.col("pos") + 1).drop("length"))
-    return build_chain(placed, spec, heads=heads.select("chain_id", "head"), segment_rows=segment_rows)
+    return build_chain(placed, spec, heads=heads.select("chain_id", "head"))
 
 
-def previous_value(rows: DataFrame, column: str, name: str, *, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def previous_value(rows: DataFrame, column: str, name: str, *, run_rows: int = RUN_ROWS) -> DataFrame:
     """Value of the row at `pos - 1` of the chain (null at 0).
 
     A window per (chain, run of positions) gives it inside a run; the first row of a run takes it from
     the last row of the run before, one row per run.
     """
-    run = F.floor(F.col("pos") / segment_rows)
+    run = F.floor(F.col("pos") / run_rows)
     window = Window.partitionBy("chain_id", "_run").orderBy("pos")
-    edges = rows.where((F.col("pos") + 1) % segment_rows == 0).select(
+    edges = rows.where((F.col("pos") + 1) % run_rows == 0).select(
         "chain_id", (run + 1).alias("_run"), F.col(column).alias("_edge"))
     lagged = rows.withColumn("_run", run).withColumn(name, F.lag(column).over(window))
     joined = lagged.join(edges, ["chain_id", "_run"], "left")
-    at_start = F.col("pos") % segment_rows == 0
+    at_start = F.col("pos") % run_rows == 0
     return joined.withColumn(name, F.when(at_start, F.col("_edge")).otherwise(F.col(name))).drop("_run", "_edge")
 
 
@@ -167,11 +146,11 @@ def verify_records(chain: DataFrame, spec: ChainSpec, *, signature_valid: Column
 
 
 def chain_issues(chain: DataFrame, spec: ChainSpec, *, signature_valid: Column | None = None,
-                 segment_rows: int = SEGMENT_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+                 run_rows: int = RUN_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """C1.5 / C4.4 all integrity issues: `chain_id, pos, sequence, issue_type, expected_sequence, message`."""
     columns = ["chain_id", "pos", "sequence", spec.unique, spec.previous, spec.hash, "hash_valid", "signature_checked", "signature_valid"]
     rows = verify_records(chain, spec, signature_valid=signature_valid).select(*columns)
-    rows = previous_value(rows, spec.hash, "_prev", segment_rows=segment_rows)
+    rows = previous_value(rows, spec.hash, "_prev", run_rows=run_rows)
     rows = _repeated(rows, "sequence", "_seq_again", hot_rows)
     rows = _repeated(rows, spec.unique, "_id_again", hot_rows)
     expected = F.col("pos") + 1

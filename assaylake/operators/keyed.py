@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 SALTS = 64
+HOT_KEYS = 10_000
+COLD_SALTS = 4
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -29,17 +31,21 @@ def lookup_by_key(
 ) -> DataFrame:
     """Left join `rows` to `stats`, which has one row per key and the key's row count in `size`.
 
-    Keys above `hot_rows` are few (rows / hot_rows at most), so they are broadcast and their rows are
-    spread over `salts` tasks; all other keys meet in one ordinary shuffle join.
+    Keys with more than `hot_rows` rows and more than one in HOT_KEYS of all rows are broadcast (HOT_KEYS of them at
+    most) and their rows, like rows with a null key, are spread over `salts` tasks. All other keys meet in a shuffle join
+    whose small side is there COLD_SALTS times, so rows of a key that `stats` does not know are spread as well.
     """
     keys = list(keys)
     values = [c for c in stats.columns if c not in keys]
-    hot = stats.where(F.col(size) > hot_rows).select(
+    least = F.greatest(F.lit(hot_rows), (stats.agg(F.sum(size)).scalar() / HOT_KEYS).cast("long"))
+    hot = stats.where(F.col(size) > least).select(
         *keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
-    cold = stats.where(F.col(size) <= hot_rows).withColumn("_salt", F.lit(0))
+    cold = (stats.where(F.col(size) <= least)
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COLD_SALTS - 1)))))
     spread_by = spread or [F.col(c) for c in rows.columns]
+    at = F.xxhash64(*spread_by)
+    wide = F.col("_hot") | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     salted = (rows.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", F.when(F.col("_hot"), F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-                          .otherwise(F.lit(0))))
+              .withColumn("_salt", F.when(wide, F.lit(COLD_SALTS) + F.pmod(at, F.lit(salts))).otherwise(F.pmod(at, F.lit(COLD_SALTS))).cast("int")))
     joined = salted.join(cold, [*keys, "_salt"], "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot_{v}"), F.col(v)).alias(v) for v in values])

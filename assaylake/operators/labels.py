@@ -97,7 +97,7 @@ def label_profiles(images: DataFrame) -> DataFrame:
     """
     return (images.groupBy("hash", "class_set", "features")
             .agg(F.count(F.lit(1)).alias("files"), F.min("image").alias("image"))
-            .withColumn("profile", F.xxhash64("hash", "class_set", "features", "image")))
+            .withColumn("profile", F.sha2(F.to_json(F.struct("hash", "class_set", "features", "image")), 256)))
 
 
 def conflicting_profiles(profiles: DataFrame, *, threshold: int = THRESHOLD, similarity: float = SIMILARITY,

@@ -11,21 +11,23 @@ from ..functions.text import known_severity, severity_name, severity_rank
 from .findings import evidence_digest
 from .keyed import attach_scalars
 
-DEFAULT_LIMITATIONS = (
-    "The configured checks report observed evidence; they do not rule out every attack.",
-    "Distribution shift can have benign causes and is not by itself manipulation.",
-    "Behavioral and trigger-like findings are indicators for review, not proof of a backdoor.",
-    "Parameter and activation differences can be legitimate.",
-    "Appearance checks do not establish that every image is semantically correct.",
-    "White-box methods need access to the model structure in a supported format.",
-    "Unsupported attack classes lie outside this evidence.",
-)
+#: Code and text of what the operators of this engine leave open.
+DEFAULT_LIMITATIONS = {
+    "rows_given": "Results cover the rows that were given; what was never loaded is not assessed.",
+    "equal_bytes": "Exact duplicates are equal SHA-256 digests; near duplicates are equal or close hashes within the set threshold.",
+    "text_model": "Model checks compare given outputs and tensors; no model is run here.",
+    "null_unknown": "A null stands for unknown and is counted in no share.",
+    "thresholds": "Findings follow the configured thresholds and change with them.",
+    "chain_scope": "Chain checks show changes inside a chain, not records that were left out before it was built.",
+    "fixed_decimals": "Digests over numbers use fixed-decimal text, so smaller differences do not show.",
+}
+#: Code and text of the next step for each state of the summary.
 ACTIONS = {
-    "critical": "Review critical findings first and preserve their evidence.",
-    "high": "Review high-severity findings and verify the affected artifact against a trusted source.",
-    "provenance": "Investigate the broken or invalid provenance chain before relying on its records.",
-    "audit": "Preserve the audit evidence and investigate the audit-chain failure.",
-    "none": "Keep the evidence and continue the review workflow.",
+    "critical": "open_critical: look at every finding of severity critical.",
+    "high": "open_high: look at every finding of severity high and compare the asset with its source.",
+    "provenance": "rebuild_provenance: find the first record that fails in the provenance chain.",
+    "audit": "rebuild_audit: find the first entry that fails in the audit chain.",
+    "none": "no_step: nothing above severity medium and no failed chain.",
 }
 
 
@@ -96,7 +98,7 @@ def recommended_actions(summary: DataFrame) -> DataFrame:
 def limitations(extra: DataFrame | None = None, spark=None) -> DataFrame:
     """C5.5 default limitations, then extra `limitation` texts, first occurrence kept."""
     spark = spark or extra.sparkSession
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(DEFAULT_LIMITATIONS)], "position long, limitation string")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(DEFAULT_LIMITATIONS.values())], "position long, limitation string")
     if extra is not None:
         more = extra.where(F.trim("limitation") != "").groupBy("limitation").agg(F.lit(1_000).cast("long").alias("position"))
         rows = rows.unionByName(more.select("position", "limitation"))

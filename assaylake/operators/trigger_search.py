@@ -1,7 +1,7 @@
 """B4 search for localized perturbations that repeatedly change predictions.
 
 The grid and the patched predictions are tables; running the model is the caller's predict function
-(see functions.kernels for the patch kernel and predict_batch_udf for inference).
+(patching and inference are the caller's, by predict_batch_udf).
 """
 
 from __future__ import annotations

@@ -217,15 +217,39 @@ def q16_capability_coverage(t: Tables):
     return an.capability_coverage(_results(t)).select("engine", "assessments")
 
 
-@query("q17_search", with_sql(_NESTED, "SELECT kind, key, label FROM (SELECT 'Document' AS kind, doc_id AS key, path || ': ' || value AS label FROM flat) WHERE contains(lower(label), 'src7/') ORDER BY kind, key, label LIMIT 500"))
+@query("q17_search", with_sql(_NESTED, "SELECT kind, key, label FROM (SELECT 'Document' AS kind, doc_id AS key, path || ': ' || value AS label FROM flat) WHERE contains(lower(label), 'src7/')"))
 def q17_search(t: Tables):
+    """Documents by their flattened content."""
     index = _flat(t).select(F.lit("Document").alias("kind"), F.col("doc_id").alias("key"), F.concat("path", F.lit(": "), "value").alias("label"))
     return an.search(index, "SRC7/")
 
 
+@query("q17_search_all_kinds", with_sql(_FINDINGS, inputs.MANIFEST, """indexed AS (
+  SELECT 'Finding' AS kind, finding_id AS key, title || ' ' || severity || ' ' || affected_asset AS label FROM findings
+  UNION ALL SELECT 'Asset', sha256, path FROM manifest
+  UNION ALL SELECT 'Assessment', CAST(o_orderkey AS VARCHAR), o_orderpriority || ' ' || o_orderstatus FROM orders
+  UNION ALL SELECT 'Audit', CAST(event_id AS VARCHAR), event_type || ' asset-src1/' || user_id FROM events
+  UNION ALL SELECT 'Engine', CAST(item_id AS VARCHAR), text FROM benchmark
+  UNION ALL SELECT 'Record', CAST(conv_id AS VARCHAR) || '/' || turn, role || ': ' || text FROM conversations)""", """
+SELECT DISTINCT kind, key, label FROM indexed WHERE contains(lower(label), 'src1/') OR contains(lower(label), 'urgent')"""))
+def q17_search_all_kinds(t: Tables):
+    """One search table over findings, assets, assessments, audit entries, engine texts and records."""
+    def rows(df, kind, key, *label):
+        return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key") if isinstance(key, str) else key.alias("key"), F.concat(*label).alias("label"))
+
+    blank = F.lit(" ")
+    index = (rows(records.document_findings(t), "Finding", "finding_id", "title", blank, "severity", blank, "affected_asset")
+             .unionByName(rows(inputs.manifest(t), "Asset", "sha256", "path"))
+             .unionByName(rows(t.orders, "Assessment", "o_orderkey", "o_orderpriority", blank, "o_orderstatus"))
+             .unionByName(rows(t.events, "Audit", "event_id", "event_type", F.lit(" asset-src1/"), F.col("user_id").cast("string")))
+             .unionByName(rows(t.benchmark, "Engine", "item_id", "text"))
+             .unionByName(rows(t.conversations, "Record", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "role", F.lit(": "), "text")))
+    return an.search(index, "SRC1/").unionByName(an.search(index, "Urgent")).distinct()
+
+
 @query("q18_activity_feed", """
 SELECT * FROM (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS event, 'user' AS source, CAST(user_id AS VARCHAR) AS asset, CAST(event_id AS VARCHAR) AS id, 'AUDIT' AS route FROM events
-UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'Assessment created', 'Assessment', o_orderpriority, CAST(o_orderkey AS VARCHAR), 'ASSESSMENT' FROM orders) ORDER BY timestamp DESC, event, id LIMIT 100""")
+UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'Assessment created', 'Assessment', o_orderpriority, CAST(o_orderkey AS VARCHAR), 'ASSESSMENT' FROM orders)""")
 def q18_activity_feed(t: Tables):
     audit = t.events.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "event_type", F.lit("user").alias("source_engine"),
                             F.col("user_id").cast("string").alias("affected_asset"), F.col("event_id").cast("string").alias("event_id"))

@@ -231,7 +231,7 @@ _CONFLICT_EVIDENCE = """owners AS (
 conflict_evidence AS (
   SELECT p.contributor, count(o.image_a) AS conflict_pairs, count(o.image_a) / any_value(image_count) AS label_conflict_rate
   FROM profiles p LEFT JOIN owners o USING (contributor) GROUP BY p.contributor)"""
-_OOD = """ood_results AS (SELECT path AS file, n_chars > 4000 AS potential_ood FROM hashed WHERE lang <> 'fr'),
+_OOD = """ood_results AS (SELECT path AS file, n_chars > 4000 AS potential_ood FROM hashed WHERE doc_id IN (SELECT doc_id FROM labels)),
 ood AS (SELECT contributor, count(*) AS ood_assessed, count(*) FILTER (potential_ood) AS ood_images, count(*) FILTER (potential_ood) / count(*) AS ood_rate
   FROM contributors JOIN ood_results USING (file) GROUP BY contributor)"""
 
@@ -261,7 +261,7 @@ def a6_duplicate_evidence(t: Tables):
 
 
 def _ood(t: Tables):
-    results = t.documents.where("lang <> 'fr'").select(inputs.doc_path().alias("file"), (F.col("n_chars") > 4000).alias("potential_ood"))
+    results = t.documents.join(t.labels, "doc_id", "left_semi").select(inputs.doc_path().alias("file"), (F.col("n_chars") > 4000).alias("potential_ood"))
     return co.ood_evidence(contributor_rows(inputs.contributors(t)), results)
 
 

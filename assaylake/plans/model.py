@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fingerprint as fp
+from ..operators import inference
 from ..operators import model_identity as mi
 from ..operators import tensor_stats as ts
 from ..operators import trigger_search as tr
@@ -254,11 +255,13 @@ def b3_pooled_statistics(t: Tables):
 
 
 @query("b3_layer_calls", """
-SELECT l.event_type AS layer, count(c.event_type) AS call_count, count(c.event_type) > 0 AS called, CASE WHEN count(c.event_type) > 0 THEN count(DISTINCT c.s) = 1 END AS shape_consistent
-FROM (SELECT DISTINCT event_type FROM events) l LEFT JOIN (SELECT event_type, CASE WHEN event_type = 'click' AND value > 100 THEN 'wide' ELSE 'flat' END AS s FROM events WHERE event_type <> 'signup') c USING (event_type) GROUP BY l.event_type""")
+SELECT layer, count(c.event_type) AS call_count, count(c.event_type) > 0 AS called, CASE WHEN count(c.event_type) > 0 THEN count(DISTINCT c.s) = 1 END AS shape_consistent
+FROM (SELECT event_type AS layer FROM events UNION SELECT o_orderpriority FROM orders) l
+LEFT JOIN (SELECT event_type, CASE WHEN event_type = 'click' AND value > 100 THEN 'wide' ELSE 'flat' END AS s FROM events) c ON c.event_type = l.layer GROUP BY layer""")
 def b3_layer_calls(t: Tables):
-    layers = t.events.select(F.col("event_type").alias("layer")).distinct()
-    calls = t.events.where("event_type <> 'signup'").select(
+    """Event types are the layers that were called, order priorities stand for declared layers that never were."""
+    layers = t.events.select(F.col("event_type").alias("layer")).union(t.orders.select("o_orderpriority")).distinct()
+    calls = t.events.select(
         F.col("event_type").alias("layer"), F.when((F.col("event_type") == "click") & (F.col("value") > 100), "wide").otherwise("flat").alias("output_shape"))
     return ts.layer_calls(layers, calls)
 
@@ -411,3 +414,20 @@ def b4_auto_probabilities(t: Tables):
     outputs = inputs.predictions(t).select("model_id", "probe", "image_idx", F.transform("probs", lambda x: x + off).alias("output"))
     done = tr.to_probabilities(outputs, "auto", ("model_id", "probe"))
     return done.select("model_id", "probe", "image_idx", F.round(F.array_max("probs"), 6).alias("confidence"))
+
+
+# --- U1 -------------------------------------------------------------------------------------
+def _quarter_sums():
+    """A model of four classes: the sum of each quarter of the vector."""
+    return lambda batch: batch.reshape(len(batch), 4, -1).sum(2)
+
+
+_QUARTERS = "list_transform(range(4), lambda q: list_sum(list_transform(embedding[q * 16 + 1:q * 16 + 16], lambda x: CAST(x AS DOUBLE))))"
+
+
+@query("u1_batch_inference", f"""
+SELECT vec_id, predicted_class, round(scores[predicted_class + 1], 6) AS score
+FROM (SELECT vec_id, scores, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS predicted_class FROM (SELECT vec_id, {_QUARTERS} AS scores FROM embeddings))""")
+def u1_batch_inference(t: Tables):
+    found = inference.predicted(t.embeddings, "embedding", _quarter_sums, 4, width=64)
+    return found.select("vec_id", "predicted_class", F.round(F.array_max("scores"), 6).alias("score"))

@@ -56,6 +56,16 @@ def c1_chain_issues(t: Tables):
     return _issues(t)[1].drop("message")
 
 
+@query("c1_signature_issues", _recursive(inputs.TAMPERED, "SELECT chain_id, pos, sequence FROM tampered WHERE model_id = 'model-other' OR pos % 7 = 3"))
+def c1_signature_issues(t: Tables):
+    """Records signed over their stored hash; one signer's signatures are wrong and some records have none."""
+    right = F.sha2(F.concat(F.lit("signing-key|"), "record_hash").cast("binary"), 256)
+    signature = F.when(F.col("model_id") == "model-other", "forged").when(F.col("pos") % 7 == 3, None).otherwise(right)
+    chain = inputs.tampered(t).withColumn("signature", signature)
+    found = ch.chain_issues(chain, ch.PROVENANCE, signature_valid=F.col("signature") == right)
+    return found.where("issue_type = 'invalid_signature'").select("chain_id", "pos", "sequence")
+
+
 @query("c1_chain_status", _recursive(inputs.TAMPERED, _PREVIOUS, _STATUS, "SELECT * FROM status"))
 def c1_chain_status(t: Tables):
     return ch.chain_status(*_issues(t))
@@ -78,7 +88,7 @@ def c1_replay(t: Tables):
 # each user is one assessment with a life cycle, engine runs and findings taken from its events
 _EVENTS = """moments AS (SELECT CAST(user_id AS VARCHAR) AS a, event_id, event_type, value, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS w FROM events),
 audit_events AS (
-  SELECT a AS chain_id, w AS timestamp, 0 AS phase, 'ASSESSMENT_QUEUED' AS event_type, 'assessment' AS source_engine, a AS affected_asset, 'recorded' AS s, event_id FROM moments WHERE event_type = 'signup'
+  SELECT a AS chain_id, w AS timestamp, 0 AS phase, CASE event_type WHEN 'signup' THEN 'ASSESSMENT_QUEUED' ELSE 'ASSESSMENT_COMPLETED' END AS event_type, 'assessment' AS source_engine, a AS affected_asset, 'recorded' AS s, event_id FROM moments WHERE event_type IN ('signup', 'purchase')
   UNION ALL SELECT a, w, 1, 'ENGINE_STARTED', 'A' || event_type, 'asset-' || a, 'started', event_id FROM moments WHERE event_type IN ('view', 'click') AND value <= 100
   UNION ALL SELECT a, w, 2, CASE WHEN event_type = 'click' THEN 'ENGINE_FAILED' ELSE 'ENGINE_COMPLETED' END, 'A' || event_type, 'asset-' || a, CASE WHEN event_type = 'click' THEN 'failed' ELSE 'completed' END, event_id
     FROM moments WHERE event_type IN ('view', 'click') AND value <= 100
@@ -90,7 +100,8 @@ def _audit_events(t: Tables):
     e = t.events.select(F.col("user_id").cast("string").alias("assessment_id"), "event_type", "value",
                         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
     asset = F.concat(F.lit("asset-"), F.col("assessment_id"))
-    life = e.where("event_type = 'signup'").select("assessment_id", F.lit("ASSESSMENT_QUEUED").alias("event_type"), "timestamp", F.lit("recorded").alias("status"))
+    step = F.when(F.col("event_type") == "signup", "ASSESSMENT_QUEUED").otherwise("ASSESSMENT_COMPLETED")
+    life = e.where("event_type in ('signup', 'purchase')").select("assessment_id", step.alias("event_type"), "timestamp", F.lit("recorded").alias("status"))
     idle = F.col("value") > 100
     engines = e.where("event_type in ('view', 'click')").select(
         "assessment_id", F.concat(F.lit("A"), F.col("event_type")).alias("engine"), asset.alias("affected_asset"),
@@ -125,6 +136,22 @@ def c4_audit_heads(t: Tables):
     return ch.chain_heads(_audit_chain(t), ch.AUDIT)
 
 
+@query("c4_audit_issues", with_sql(_EVENTS, """digested AS (SELECT *, sha256('{"assessment_id":"' || chain_id || '","stage_status":"' || s || '"}') AS d FROM audit_events),
+placed AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY timestamp, phase, event_type, source_engine, affected_asset, d) - 1 AS pos FROM digested),
+reused AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY pos) AS again FROM placed WHERE event_type = 'ENGINE_SKIPPED')""", """
+SELECT chain_id, pos, 'entry_tampering' AS issue_type FROM placed WHERE event_type IN ('FINDING_CREATED', 'ENGINE_SKIPPED', 'ASSESSMENT_COMPLETED')
+UNION ALL SELECT chain_id, pos, 'sequence_discontinuity' FROM placed WHERE event_type = 'FINDING_CREATED'
+UNION ALL SELECT chain_id, pos, 'event_id_reuse' FROM reused WHERE again > 1"""))
+def c4_audit_issues(t: Tables):
+    """A stored audit chain changed afterwards: sequences lost, event ids reused, payloads replaced."""
+    kind = F.col("event_type")
+    chain = _audit_chain(t).withColumns({
+        "sequence": F.when(kind != "FINDING_CREATED", F.col("sequence")),
+        "event_id": F.when(kind == "ENGINE_SKIPPED", "EVT-reused").otherwise(F.col("event_id")),
+        "payload_digest": F.when(kind == "ASSESSMENT_COMPLETED", "0" * 64).otherwise(F.col("payload_digest"))})
+    return ch.chain_issues(chain, ch.AUDIT).select("chain_id", "pos", "issue_type")
+
+
 @query("c4_append", _recursive(inputs.RECORDS, "SELECT chain_id, pos, record_hash FROM records"))
 def c4_append(t: Tables):
     """The second half of every chain appended to the first gives the same hashes as one build."""
@@ -368,6 +395,16 @@ def c5_coverage(t: Tables):
     return re.coverage(results, document_findings(t))
 
 
+_LIMITS = " UNION ALL ".join(f"SELECT {i} AS position, '{text}' AS limitation" for i, text in enumerate(re.DEFAULT_LIMITATIONS.values()))
+
+
+@query("c5_limitations", f"""
+SELECT limitation, CAST(min(position) AS BIGINT) AS position FROM ({_LIMITS} UNION ALL SELECT 1000, 'Source ' || source || ' was read as given.' FROM documents) GROUP BY limitation""")
+def c5_limitations(t: Tables):
+    extra = t.documents.select(F.concat(F.lit("Source "), "source", F.lit(" was read as given.")).alias("limitation"))
+    return re.limitations(extra)
+
+
 @query("c5_report")
 def c5_report(t: Tables):
     findings = cut_lineage(document_findings(t))

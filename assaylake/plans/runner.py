@@ -47,6 +47,6 @@ def run_stages(spark: SparkSession, assessment_id: str, stages: list[Stage], roo
                 path = write_result(stage.build(paths), root, assessment_id, stage.engine, fmt="parquet")
                 paths[stage.engine], status[stage.engine] = path, "completed"
             except Exception as error:  # the record keeps the reason, later stages see the state
-                status[stage.engine], reason = "error", f"{type(error).__name__}: {error}"[:500]
+                status[stage.engine], reason = "error", f"{type(error).__name__}: {error}"
         rows.append((assessment_id, stage.engine, status[stage.engine], started, _now(), path, reason))
     return spark.createDataFrame(rows, STATUS_SCHEMA)

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import IMAGE_EXTENSIONS
-from ..functions.text import extension, path_order
+from ..functions.text import extension
 
-_CHUNK = 1 << 20
-BINARY_LIMIT = 2_000_000_000
+ROW_BYTES = 2_000_000_000
 
 
 def relative_path(root: str, path: Column | None = None) -> Column:
@@ -30,10 +25,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
             .withColumn("full_path", F.col("path")).withColumn("path", relative_path(root)))
 
 
-def discover_images(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    """S1 image files by suffix in path order, optionally only the first `limit`."""
-    found = read_files(spark, root).where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS))
-    return found if limit is None else found.orderBy(path_order(F.col("path"))).limit(limit)
+def discover_images(spark: SparkSession, root: str) -> DataFrame:
+    """S1 image files by suffix."""
+    return read_files(spark, root).where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS))
 
 
 def read_images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -47,33 +41,18 @@ def read_images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hash_files(spark: SparkSession, root: str) -> DataFrame:
-    """S3 / A1.1 `path, sha256, size_bytes, head` of all files; no content column leaves this step.
+    """S3 / A1.1 `path, sha256, size_bytes, head, reason` of all files; no content column leaves this step.
 
-    Files near the row size limit are streamed from the shared folder in 1 MiB pieces instead.
+    A row holds less than 2 GB, so a larger file is listed without a digest and with the reason.
     """
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-              .select("path", "length", "content"))
-    small = listed.where(F.col("length") < BINARY_LIMIT).select(
-        relative_path(root).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"),
-        F.substring("content", 1, 16).alias("head"))
-    large = listed.where(F.col("length") >= BINARY_LIMIT).select("path")
-    return small.unionByName(hash_large_files(large).withColumn("path", relative_path(root)))
-
-
-def hash_large_files(paths: DataFrame) -> DataFrame:
-    """Chunked digest of files on a mounted folder, one file at a time per task."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path in pdf["path"]:
-                hasher, size, head = hashlib.sha256(), 0, b""
-                with open(path.removeprefix("file:"), "rb") as handle:
-                    while piece := handle.read(_CHUNK):
-                        head = head or piece[:16]
-                        hasher.update(piece)
-                        size += len(piece)
-                yield pd.DataFrame({"path": [path], "sha256": [hasher.hexdigest()], "size_bytes": [size], "head": [head]})
-
-    return paths.select("path").mapInPandas(run, "path string, sha256 string, size_bytes bigint, head binary")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    fits = F.col("length") < ROW_BYTES
+    none = F.lit(None)
+    hashed = listed.where(fits).select(relative_path(root).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"),
+                                       F.substring("content", 1, 16).alias("head"), none.cast("string").alias("reason"))
+    large = listed.where(~fits).select(relative_path(root).alias("path"), none.cast("string").alias("sha256"), F.col("length").alias("size_bytes"),
+                                       none.cast("binary").alias("head"), F.lit("larger_than_a_row").alias("reason"))
+    return hashed.unionByName(large)
 
 
 def read_label_texts(spark: SparkSession, root: str) -> DataFrame:

@@ -5,12 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.fixed_values import PROBE_BATTERY
-from assaylake.functions import kernels
-from assaylake.operators import metadata, model_identity, trigger_search
+from assaylake.operators import metadata, model_identity
 from assaylake.plans.runner import Stage, run_stages
 from assaylake.sources import files, stores, tables
-from assaylake.sources.image_headers import image_metadata
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -46,63 +43,14 @@ def folder(tmp_path_factory):
 
 def test_files_and_images(spark, folder):
     assert files.hash_files(spark, folder).count() == 14
-    found = files.discover_images(spark, folder, limit=2)
-    assert [r["path"] for r in found.select("path").collect()] == ["a/p0.png", "a/p1.png"]
+    assert files.hash_files(spark, folder).where("reason is not null or sha256 is null").count() == 0
+    assert files.discover_images(spark, folder).count() == 13
     good, skipped = files.read_images(spark, folder)
     assert good.count() == 12 and [r["path"] for r in skipped.collect()] == ["broken.jpg"]
     labels = files.attach_label_texts(good.select(F.col("path").alias("image")), files.read_label_texts(spark, folder))
     assert labels.where("text is not null").count() == 0
 
 
-def test_image_features_and_regions(spark, folder):
-    good, _ = files.read_images(spark, folder)
-    rows = {r["path"]: r for r in kernels.image_features(good).collect()}
-    assert rows["copy.png"]["hash"] == rows["q0.png"]["hash"] and rows["copy.png"]["features"] == rows["q0.png"]["features"]
-    assert len(rows["q0.png"]["features"]) == 33 and abs(sum(rows["q0.png"]["red_hist"]) - 1) < 1e-9
-    assert rows["a/p0.png"]["edge_density"] > rows["q0.png"]["edge_density"]
-    regions = kernels.image_regions(good).collect()
-    hits = [r for r in regions if r["state"] == "region"]
-    assert {r["file"] for r in hits} == {f"a/p{i}.png" for i in range(5)}
-    assert len({r["descriptor"] for r in hits}) <= 5 and all(r["cx"] > 0.7 and r["cy"] > 0.7 for r in hits)
-    assert {r["file"] for r in regions if r["state"] == "image_too_small"} == {"small.png"}
-
-
-def test_difference_hash_reads_left_brighter_than_right():
-    falling = np.repeat(np.linspace(255, 0, 90)[None, :, None], 80, axis=0).repeat(3, axis=2).astype(np.uint8)
-    assert kernels.difference_hash(falling) == -1
-    assert kernels.difference_hash(falling[:, ::-1]) == 0
-
-
-def test_probes_and_patches(spark, folder):
-    image = scene(1, False)
-    for _, transform, params in PROBE_BATTERY:
-        extra = {"jpeg_degradation": lambda a, i, quality: a}
-        assert kernels.apply_probe(image, transform, params, 2, extra).shape == image.shape
-    moved = kernels.apply_probe(image, "translation", {"dx": 2, "dy": 2})
-    assert (moved[2:, 2:] == image[:-2, :-2]).all()
-    patched = kernels.apply_patch(image, 8, 1.0, 1.0, "white")
-    assert (patched[-8:, -8:] == 255).all() and (patched[:-8] == image[:-8]).all()
-    good, _ = files.read_images(spark, folder)
-    grid = trigger_search.trigger_grid(spark, image_side=10)
-    assert grid.count() == 36
-    images = good.where("width = 128").withColumn("image_idx", F.abs(F.hash("path")))
-    assert kernels.patch_images(trigger_search.expand_images(images, grid)).count() == 36 * images.count()
-
-
-def test_headers(spark, folder):
-    meta, skipped = image_metadata(files.read_files(spark, folder).where("path not like '%.txt'"))
-    rows = {r["file"]: r for r in meta.collect()}
-    assert rows["q0.png"]["resolution"] == "128x128" and rows["q0.png"]["format"] == "PNG" and rows["q0.png"]["mode"] == "RGB"
-    assert [r["file"] for r in skipped.collect()] == ["broken.jpg"]
-    exif = (b"Exif\0\0II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHII", 0x0110, 2, 5, 38) + struct.pack("<HHII", 0x0132, 2, 20, 43)
-            + struct.pack("<I", 0) + b"CamA\0" + b"2024:01:02 03:04:05\0")
-    jpeg = (b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xdb" + struct.pack(">H", 67) + b"\0" + bytes(range(64))
-            + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 64, 48, 3) + bytes(9) + b"\xff\xda" + struct.pack(">H", 2))
-    row = image_metadata(spark.createDataFrame([("x.jpg", bytearray(jpeg))], "path string, content binary"))[0].first()
-    assert (row["camera"], row["resolution"], row["has_exif"], row["capture_epoch"]) == ("CamA", "48x64", "yes", 1704164645.0)
-    assert len(row["quant_hash"]) == 12
-
-
 def test_model_signatures(spark):
     rows = [("m.pt", b"PK\x03\x04rest"), ("m.pkl", b"\x80\x04x"), ("m.safetensors", struct.pack("<Q", 2) + b"{}"), ("m", b"\x80\x01"), ("n.bin", b"\x80\x02" + bytes(6) + b"{" + bytes(700))]
     got = {r["path"]: r for r in model_identity.model_identity(spark.createDataFrame(rows, "path string, content binary")).collect()}

@@ -35,14 +35,14 @@ def test_known_record_hash(spark):
     assert "record_hash" in bad.first()["missing_fields"]
 
 
-@pytest.mark.parametrize("segment", [1000, 7])
-def test_build_chain_equals_sequential_hashing(spark, segment):
-    df = _rows(spark)
-    built = {(r["chain_id"], r["pos"]): r for r in ch.build_chain(df, ch.PROVENANCE, segment_rows=segment).collect()}
-    assert len(built) == 75
+@pytest.mark.parametrize("length", [25, 12_000])
+def test_build_chain_equals_sequential_hashing(spark, length):
+    df = _rows(spark, 3, length)
+    built = {(r["chain_id"], r["pos"]): r for r in ch.build_chain(df, ch.PROVENANCE).collect()}
+    assert len(built) == 3 * length
     for c in range(3):
         head = GENESIS_HASH
-        for p in range(25):
+        for p in range(length):
             r = built[(f"c{c}", p)]
             assert r["previous_record_hash"] == head
             body = {f: r[f] for f in (*ch.PROVENANCE.fields, "previous_record_hash")}
@@ -69,7 +69,7 @@ def test_issues_do_not_depend_on_segments_or_hot_handling(spark):
     chain = ch.build_chain(_rows(spark, 2, 30), ch.PROVENANCE).withColumn("nonce", F.when(F.col("pos") > 3, "same").otherwise(F.col("nonce")))
     chain = chain.withColumn("record_hash", F.when(F.col("pos") == 8, "x").otherwise(F.col("record_hash")))
     a = sorted(map(tuple, ch.chain_issues(chain, ch.PROVENANCE).collect()), key=repr)
-    b = sorted(map(tuple, ch.chain_issues(chain, ch.PROVENANCE, segment_rows=9, hot_rows=5).collect()), key=repr)
+    b = sorted(map(tuple, ch.chain_issues(chain, ch.PROVENANCE, run_rows=9, hot_rows=5).collect()), key=repr)
     assert a == b and len(a) > 50
 
 
