@@ -39,9 +39,9 @@ def probe_summary(predictions: DataFrame, clean_probe: str = "clean") -> DataFra
     """B2.5 agreement with the clean probe, and mean and population std of confidence and entropy."""
     clean = predictions.where(F.col("probe") == clean_probe).select(
         "model_id", "image_idx", F.col("predicted_class").alias("clean_class"))
-    scored = predictions.join(clean, ["model_id", "image_idx"]).select(
-        "model_id", "probe", (F.col("predicted_class") == F.col("clean_class")).cast("double").alias("same"),
-        F.array_max("probs").alias("confidence"), entropy_nats(F.col("probs")).alias("entropy"))
+    narrow = predictions.select("model_id", "probe", "image_idx", "predicted_class", F.array_max("probs").alias("confidence"),
+                                entropy_nats(F.col("probs")).alias("entropy"))  # no vector goes through the join
+    scored = narrow.join(clean, ["model_id", "image_idx"]).withColumn("same", (F.col("predicted_class") == F.col("clean_class")).cast("double"))
     return scored.groupBy("model_id", "probe").agg(
         F.count(F.lit(1)).alias("images"), F.round(F.avg("same"), _DECIMALS).alias("prediction_agreement"),
         F.round(F.avg("confidence"), _DECIMALS).alias("mean_confidence"),

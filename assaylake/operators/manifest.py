@@ -16,7 +16,7 @@ from ..functions.text import path_order
 from .keyed import HOT_ROWS, lookup_by_key
 from .ordering import FAN_OUT, ordered_digest
 
-MERKLE_LEVELS = 12
+MERKLE_LEVELS = 7
 
 
 def manifest_from_files(files: DataFrame, root: str = "") -> DataFrame:
@@ -50,7 +50,7 @@ def merkle_root(manifest: DataFrame, leaf: str = "sha256", *, block_levels: int
 
     Equal leaves stay one (hash, count) run until blocks are cut, so a hash that fills a third of the
     leaves never gathers in one task. Blocks of 2^k aligned leaves are reduced in parallel; after
-    three rounds that covers 2^36 leaves.
+    five rounds that covers 2^35 leaves.
     """
     spark = manifest.sparkSession
     block = 1 << block_levels

@@ -55,10 +55,13 @@ def to_probabilities(outputs: DataFrame, output_type: str = "auto", group: tuple
     return flagged.withColumn("probs", probs).drop("_is_probability", "_n")
 
 
-def compare_to_clean(patched: DataFrame, clean: DataFrame) -> DataFrame:
-    """One row per candidate and image with classes, confidence gain and L1 change."""
-    base = clean.select("image_idx", F.col("probs").alias("clean_probs"))
-    joined = patched.select("candidate_id", "image_idx", "probs").join(base, "image_idx")
+def compare_to_clean(patched: DataFrame, clean: DataFrame | None = None) -> DataFrame:
+    """One row per candidate and image with classes, confidence gain and L1 change.
+
+    Images that carry `clean_probs` from before they were expanded need no join here.
+    """
+    joined = patched if clean is None else patched.select("candidate_id", "image_idx", "probs").join(
+        clean.select("image_idx", F.col("probs").alias("clean_probs")), "image_idx")
     l1 = array_sum(F.zip_with("probs", "clean_probs", lambda a, b: F.abs(a - b)))
     return joined.select(
         "candidate_id", "image_idx", argmax(F.col("clean_probs")).alias("clean_class"), argmax(F.col("probs")).alias("patched_class"),

@@ -197,7 +197,7 @@ _SHIFT = _shift_sql("1.5")
 
 
 def shift_parts(t: Tables):
-    rows = cut_lineage(inputs.shift_rows(t, 1.5))
+    rows = inputs.shift_rows(t, 1.5)
     summary = sh.feature_summary(rows)
     distances = sh.feature_distances(summary)
     hists = sh.histogram_distances(sh.histogram_summary(rows))
