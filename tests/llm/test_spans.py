@@ -109,3 +109,12 @@ def test_many_parts_in_one_text_and_empty_table(spark):
     assert secrets.secrets_report(cases.empty(spark)).count() == 0
     assert personal_data.personal_data_report(cases.empty(spark)).count() == 0
     assert personal_data.redacted(cases.empty(spark)).columns == cases.empty(spark).columns
+
+
+def test_further_kinds_are_weighed(spark):
+    draw = random.Random(9)
+    plain = [(i, f"word {i} mail u{i}@site{i % 7}.example.com and +1 ({200 + i}) 555-01{i % 90 + 10} card 4111 1111 1111 1111 at {i % 200}.7.9.{i % 250}") for i in range(300)]
+    odd = [(1000, "his ssn is 123-45-6789 here"), (1001, "call (212) 555-0134 now"), (1002, "version 1.2.3.400 and 4111 1111 1111 1112"), (1003, "order 000-00-0000 x")]
+    draw.shuffle(plain)
+    found = cases.by_id(personal_data.personal_data_report(cases.documents(spark, plain + odd)))
+    assert [found[i]["spans"] for i in range(1000, 1004)] == ["ssn:11:22", "local_phone:5:19", "", ""]
