@@ -12,6 +12,11 @@ def _check(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
+def _shares(config, *names: str) -> None:
+    for name in names:
+        _check(0 <= getattr(config, name) <= 1, f"{name} must be in [0, 1]")
+
+
 @dataclass(frozen=True)
 class ContributorConfig:
     volume_factor: float = 3.0
@@ -24,6 +29,14 @@ class ContributorConfig:
     high_score: float = 50.0
     medium_score: float = 25.0
 
+    def __post_init__(self):
+        _check(self.volume_factor > 0, "volume_factor must be positive")
+        _check(self.concentration_min_images >= 1, "concentration_min_images must be >= 1")
+        _shares(self, "concentration_ratio", "elevated_rate", "high_rate", "entropy_factor")
+        _check(self.elevated_rate <= self.high_rate, "elevated_rate must not exceed high_rate")
+        _check(self.entropy_min_contributors >= 1, "entropy_min_contributors must be >= 1")
+        _check(0 <= self.medium_score <= self.high_score, "scores must rise from medium to high")
+
 
 @dataclass(frozen=True)
 class MetadataConfig:
@@ -35,6 +48,12 @@ class MetadataConfig:
     time_outlier_days: float = 365.0
     min_timestamps_for_outlier: int = 5
 
+    def __post_init__(self):
+        _shares(self, "elevated_divergence", "high_divergence", "rare_resolution_fraction")
+        _check(self.elevated_divergence <= self.high_divergence, "elevated_divergence must not exceed high_divergence")
+        _check(self.time_outlier_days > 0, "time_outlier_days must be positive")
+        _check(min(self.min_contributor_images, self.rare_resolution_min_dataset, self.min_timestamps_for_outlier) >= 1, "minimum counts must be >= 1")
+
 
 @dataclass(frozen=True)
 class PatternConfig:
@@ -47,6 +66,12 @@ class PatternConfig:
     majority_support: float = 0.5
     high_count: int = 5
 
+    def __post_init__(self):
+        _check(0 <= self.hamming_tolerance <= 64, "hamming_tolerance must be in [0, 64]")
+        _check(self.min_pattern_images >= 2, "min_pattern_images must be >= 2")
+        _shares(self, "spatial_tolerance", "spatial_min_fraction", "class_min_share", "class_max_p", "majority_support")
+        _check(self.high_count >= 1, "high_count must be >= 1")
+
 
 @dataclass(frozen=True)
 class RegionConfig:
@@ -57,6 +82,11 @@ class RegionConfig:
     max_region_area_fraction: float = 0.25
     max_regions_per_image: int = 3
 
+    def __post_init__(self):
+        _check(self.z_threshold > 0 and self.min_abs_hf >= 0 and self.min_ratio > 0, "region thresholds must be positive")
+        _shares(self, "max_flagged_fraction", "max_region_area_fraction")
+        _check(self.max_regions_per_image >= 1, "max_regions_per_image must be >= 1")
+
 
 @dataclass(frozen=True)
 class ShiftConfig:
@@ -85,6 +115,10 @@ class FingerprintThresholds:
     prediction_distribution_tv: float = 0.10
     mean_probability_js: float = 0.05
 
+    def __post_init__(self):
+        for item in fields(self):
+            _check(getattr(self, item.name) >= 0, f"{item.name} must be non-negative")
+
 
 @dataclass(frozen=True)
 class TensorThresholds:
