@@ -73,21 +73,6 @@ class PatternConfig:
         _check(self.high_count >= 1, "high_count must be >= 1")
 
 
-@dataclass(frozen=True)
-class RegionConfig:
-    z_threshold: float = 6.0
-    min_abs_hf: float = 20.0
-    min_ratio: float = 3.0
-    max_flagged_fraction: float = 0.15
-    max_region_area_fraction: float = 0.25
-    max_regions_per_image: int = 3
-
-    def __post_init__(self):
-        _check(self.z_threshold > 0 and self.min_abs_hf >= 0 and self.min_ratio > 0, "region thresholds must be positive")
-        _shares(self, "max_flagged_fraction", "max_region_area_fraction")
-        _check(self.max_regions_per_image >= 1, "max_regions_per_image must be >= 1")
-
-
 @dataclass(frozen=True)
 class ShiftConfig:
     histogram_bins: int = 16

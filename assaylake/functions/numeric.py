@@ -25,7 +25,7 @@ def safe_float(value: Column) -> Column:
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))  # least and greatest skip nulls
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -47,7 +47,7 @@ def norm(values: Column) -> Column:
 
 def cosine_similarity(left: Column, right: Column) -> Column:
     """Cosine clipped to [-1, 1]; null when either vector is zero."""
-    return clamp(F.try_divide(dot(left, right), norm(left) * norm(right)), -1.0, 1.0)
+    return let(F.try_divide(dot(left, right), norm(left) * norm(right)), lambda c: clamp(c, -1.0, 1.0))
 
 
 def cosine_distance(left: Column, right: Column) -> Column:
@@ -58,7 +58,7 @@ def cosine_distance(left: Column, right: Column) -> Column:
 def softmax(logits: Column) -> Column:
     def powers(x: Column) -> Column:
         return let(F.array_max(x).cast("double"), lambda top: F.transform(
-            x, lambda v: F.exp(clamp(v.cast("double") - top, -700.0, 700.0))))
+            x, lambda v: F.exp(F.greatest(v.cast("double") - top, F.lit(-700.0)))))
 
     def share(e: Column) -> Column:
         return let(array_sum(e), lambda total: F.transform(e, lambda v: v / total))
