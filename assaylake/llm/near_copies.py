@@ -7,10 +7,11 @@ counts if the level is not above the shingle's weight, and a slot keeps its earl
 slot with probability of their weighted Jaccard similarity. A document stops once its latest slot is earlier than its
 next points, so a shingle costs little more than one point.
 
-Slots are banded; documents of one bucket are linked to the bucket's hub and every candidate is verified by exact
-multiset overlap. Those that do not match the hub meet again in the bucket with a new hub among themselves, until every
-one of them matched or was a hub, so nothing is capped and a bucket is never paired with itself as a whole. Bands use
-three different orders for choosing hubs. Links are contracted to classes by alternating star steps.
+Slots are banded. Members of a bucket meet its hub, the document that meets most others. Buckets that still hold several
+classes are then compared in full, in blocks of bounded size inside tasks: pairs whose sketches (a byte of each slot)
+agree well enough and that no link connects yet. Every link is verified by exact multiset overlap. So a group of copies
+is never paired as a whole, pairs leave no task, and no link that would join two classes is left out. Classes are
+contracted by alternating star steps.
 
 Words are `[^\\x20\\x09-\\x0D]+` in lower case. Defined cases: null and empty texts have no words and are copies of each
 other; a text of fewer than five words is one shingle; repeated rows and ids are rows of one class; an empty table
@@ -25,18 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .staging import staged
+from .staging import arrow_rows, staged
 
 SHINGLE = 5
-#: Orders in which a bucket's hub is the first: row numbers with these bits flipped.
-_ORDERS = (0, 0x2A5A5A5A5A5A5A5A, 0x1C3C69C3A5D2E4B7)
-
-
 @dataclass(frozen=True)
 class Bands:
     similarity: float = 0.8
@@ -47,6 +44,11 @@ class Bands:
     def slots(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_agreement(self) -> float:
+        """Sketches of similar texts agree in this share of slots or more, but for one pair in 30,000 at the threshold itself."""
+        return self.similarity - 4 * (self.similarity * (1 - self.similarity) / self.slots) ** 0.5
+
 
 def shingle_bag(table: W.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every shingle, repeats included; a row of one to four words has one shingle of all of them."""
@@ -106,11 +108,11 @@ def _lower(column: pa.Array) -> pa.Array:
 
 
 def signed(docs: DataFrame, text: str, bands: Bands) -> DataFrame:
-    """doc, uid, key (of the word sequence) and buckets (a hash for each band); staged."""
+    """doc, uid, key (of the word sequence), sketch (a byte of each slot) and buckets (a hash for each band); staged."""
     def sign(batches):
         for batch in batches:
-            keys, buckets = [], []
-            for _, part in W.slices(_lower(batch.column("text"))):
+            keys, sketches, buckets = [], [], []
+            for _, part in W.slices(_lower(batch.column("doc").field(place))):
                 table = W.split(part)
                 hashes = table.hashes()
                 keys += [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(table.first[:-1], table.first[1:])]
@@ -119,15 +121,19 @@ def signed(docs: DataFrame, text: str, bands: Bands) -> DataFrame:
                 value = np.zeros((len(part), bands.bands), np.uint64)
                 for k in range(bands.rows):
                     value = W.mix(value + grouped[:, :, k])
+                sketches += [x.tobytes() for x in (W.mix(times) & np.uint64(255)).astype(np.uint8)]
                 some = np.diff(table.first) > 0
                 offsets = np.concatenate(([0], np.cumsum(some * bands.bands))).astype(np.int32)
                 buckets.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[some].reshape(-1).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(keys, pa.binary()), pa.concat_arrays(buckets) if buckets else pa.array([], pa.list_(pa.int64()))],
-                                             ["doc", "key", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()),
+                                              pa.concat_arrays(buckets) if buckets else pa.array([], pa.list_(pa.int64()))],
+                                             ["doc", "key", "sketch", "buckets"])
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text"))
-    schema = T.StructType([rows.schema["doc"], T.StructField("key", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
-    return staged(rows.mapInArrow(sign, schema).withColumn("uid", F.monotonically_increasing_id()), "signed", "zstd")
+    rows, place = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc")), docs.columns.index(text)
+    schema = T.StructType([rows.schema["doc"], T.StructField("key", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
+                           T.StructField("buckets", T.ArrayType(T.LongType()))])
+    with arrow_rows(docs.sparkSession, 500):
+        return staged(rows.mapInArrow(sign, schema).withColumn("uid", F.monotonically_increasing_id()), "signed", "zstd")
 
 
 def _pair_slices(left: pa.Array, right: pa.Array):
@@ -160,69 +166,137 @@ def multiset_similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (uid, hub) whose similarity reaches the threshold; staged."""
-    def compare(batches):
-        for batch in batches:
-            found = multiset_similarity(batch.column("left"), batch.column("right"))
-            kept = pa.array(found >= bands.similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("uid").filter(kept), batch.column("hub").filter(kept)], ["uid", "hub"])
-
-    both = (pairs.join(texts.select("uid", F.col("text").alias("left")), "uid")
-            .join(texts.select(F.col("uid").alias("hub"), F.col("text").alias("right")), "hub"))
-    return staged(both.select("uid", "hub", "left", "right").mapInArrow(compare, "uid long, hub long"), "links")
+    """The pairs (uid, other) whose similarity reaches the threshold; staged. Texts are sent only for pairs with close sketches."""
+    def pick(batch, kept):
+        return pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(kept)) for c in ("uid", "other")], ["uid", "other"])
 
+    def likely(batches):
+        for batch in batches:
+            yield pick(batch, _agreement(*(_sketches(batch.column(c), bands.slots) for c in ("left", "right"))) >= bands.least_agreement)
 
-def _flip(uid: Column, turn: int) -> Column:
-    """Row numbers in the order that the band uses in this turn; its own inverse."""
-    orders = F.array(*[F.lit(_ORDERS[(i + turn) % len(_ORDERS)]) for i in range(len(_ORDERS))])
-    return uid.bitwiseXOR(F.element_at(orders, F.col("band") % len(_ORDERS) + 1))
-
-
-def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
-    """uid, band, bucket and hub of each member of a bucket of two or more; staged."""
-    hubs = members.groupBy("band", "bucket").agg(F.min(_flip(F.col("uid"), turn)).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = staged(hubs.select("band", "bucket", _flip(F.col("hub"), turn).alias("hub")), "hubs")
-    return staged(members.join(hubs, ["band", "bucket"]).select("uid", "band", "bucket", "hub"), "members")
-
+    def compare(batches):
+        for batch in batches:
+            yield pick(batch, multiset_similarity(batch.column("left"), batch.column("right")) >= bands.similarity)
 
-def links(rows: DataFrame, text: str, bands: Bands) -> list[DataFrame]:
-    """Verified links between rows (uid, hub), found in turns. rows: uid, text column in doc, buckets; distinct texts."""
-    members = rows.select("uid", F.posexplode("buckets").alias("band", "bucket"))
-    members = _with_hubs(members, 0)
-    texts = staged(rows.select("uid", F.col(f"doc.{text}").alias("text")).join(members.select("uid").distinct(), "uid", "left_semi"), "texts", "zstd")
-    found, tested, turn = [], None, 0
-    while True:
-        pairs = members.where("uid <> hub").select("uid", "hub").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["uid", "hub"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        matched = verified(pairs, texts, bands)
-        found.append(matched)
-        tested = pairs if tested is None else tested.unionByName(pairs).unionByName(
-            pairs.select(F.col("hub").alias("uid"), F.col("uid").alias("hub")))
-        rest = members.where("uid <> hub").join(_union(found), ["uid", "hub"], "left_anti").select("uid", "band", "bucket")
-        turn += 1
-        members = _with_hubs(rest, turn)
-        if members.isEmpty():
-            return found
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    def both(found: DataFrame, column: str) -> DataFrame:
+        return (found.join(texts.select("uid", F.col(column).alias("left")), "uid")
+                .join(texts.select(F.col("uid").alias("other"), F.col(column).alias("right")), "other").select("uid", "other", "left", "right"))
+
+    close = both(pairs, "sketch").mapInArrow(likely, "uid long, other long")
+    with arrow_rows(pairs.sparkSession, 500):
+        return staged(both(close, "text").mapInArrow(compare, "uid long, other long"), "links")
+
+
+def _sketches(column: pa.Array, slots: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, slots)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(-1)
+
+
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's hub: the one that meets most others over all its buckets."""
+    popular = shared.groupBy("uid").agg(F.sum("n").alias("met"))
+    order = F.shiftleft(F.col("met"), 20).bitwiseOR(F.xxhash64("uid").bitwiseAND(F.lit((1 << 20) - 1)))
+    ranked = shared.join(popular.select("uid", order.alias("rank")), "uid")
+    hubs = staged(ranked.groupBy("band", "bucket").agg(F.max_by("uid", "rank").alias("hub")), "hubs")
+    return _once(shared.join(hubs, ["band", "bucket"]).select("uid", F.col("hub").alias("other")))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.where("uid <> other").select(F.greatest("uid", "other").alias("uid"), F.least("uid", "other").alias("other")).distinct()
+
+
+def _bag_of(texts: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in order, and their weights, of one (lower-case) text."""
+    table = W.split(texts.slice(row, 1))
+    found, _, weight = weighted(*shingle_bag(table, table.hashes()))
+    order = np.argsort(found)
+    return found[order], weight[order]
+
+
+def _bag_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    (found, weight), (other, other_weight) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    at = np.minimum(np.searchsorted(other, found), len(other) - 1)
+    same = other[at] == found
+    shared = np.minimum(weight[same], other_weight[at[same]]).sum()
+    return shared / (weight.sum() + other_weight.sum() - shared)
+
+
+def _joining(table: pa.Table, bands: Bands) -> pa.Table:
+    """Verified links that join classes inside one pair of blocks of a bucket.
+
+    A pair is looked at in the first band that puts it together, if its sketches agree well enough and its rows are not
+    of one class already.
+    """
+    table = table.combine_chunks()
+    uid, label, own = (table[c].to_numpy().copy() for c in ("uid", "label", "own"))
+    band, across = table["band"][0].as_py(), table["i"][0].as_py() != table["j"][0].as_py()
+    sketch = _sketches(table["sketch"].combine_chunks(), bands.slots)
+    earlier = table["buckets"].combine_chunks().flatten().to_numpy().reshape(len(uid), bands.bands)[:, :band]
+    texts, bags, found = _lower(table["text"].combine_chunks()), {}, []
+    for r in range(len(uid) - 1):
+        agree = _agreement(sketch[r], sketch[r + 1:])
+        near = (agree >= bands.least_agreement) & (label[r + 1:] != label[r])
+        if across:
+            near &= own[r + 1:] != own[r]
+        at = np.flatnonzero(near)
+        at = at[~(earlier[at + r + 1] == earlier[r]).any(1)]
+        for v in at[np.argsort(-agree[at], kind="stable")] + r + 1:
+            if label[v] == label[r]:
+                continue
+            for x in (r, v):
+                if x not in bags:
+                    bags[x] = _bag_of(texts, int(x))
+            if _bag_similarity(bags[r], bags[v]) >= bands.similarity:
+                found.append((uid[r], uid[v]))
+                label[label == label[v]] = label[r]
+    return pa.table({"uid": pa.array([a for a, _ in found], pa.int64()), "other": pa.array([b for _, b in found], pa.int64())})
+
+
+def _rest(shared: DataFrame, texts: DataFrame, label: DataFrame, bands: Bands, block: int, block_bytes: int) -> DataFrame:
+    """Links between rows of different classes in one bucket.
+
+    A bucket is compared in blocks of bounded rows and bytes, every block with every other, inside tasks; no pairs leave
+    them but links that join classes. Buckets that are one class by now are left out, and pairs, which their hub has seen.
+    """
+    mark = shared.where("n > 2").join(label, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    mixed = mark.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "bucket")
+    rows = mark.join(staged(mixed, "mixed"), ["band", "bucket"]).join(texts, "uid")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    rows = (rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "uid"), F.col("blocks")).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = rows.select("band", "bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "uid", "label", "sketch", "buckets", "text")
+
+    def join(table: pa.Table) -> pa.Table:
+        return _joining(table, bands)
+
+    return staged(rows.groupBy("band", "bucket", "i", "j").applyInArrow(join, "uid long, other long"), "links")
+
+
+def near_classes(rows: DataFrame, text: str, bands: Bands, *, block: int = 2048, block_bytes: int = 4 << 20) -> DataFrame:
+    """uid and label (the least uid of its class) of every linked row. rows: uid, text column in doc, sketch, buckets; distinct texts.
+
+    First every member of a bucket meets its hub; then buckets that still hold several classes are compared in full.
+    """
+    members = rows.select("uid", F.octet_length(f"doc.{text}").cast("long").alias("bytes"), F.posexplode("buckets").alias("band", "bucket"))
+    sizes = staged(members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1"), "sizes")
+    shared = staged(members.drop("bytes").join(sizes, ["band", "bucket"]), "shared")
+    texts = staged(rows.select("uid", "sketch", "buckets", F.col(f"doc.{text}").alias("text"))
+                   .join(shared.select("uid").distinct(), "uid", "left_semi"), "texts", "zstd")
+    found = verified(staged(_hub_pairs(shared), "pairs"), texts, bands)
+    return classes(found.unionByName(_rest(shared, texts, classes(found), bands, block, block_bytes)))
 
 
 def classes(edges: DataFrame) -> DataFrame:
     """uid and label (the least uid of its class) of every linked row, by alternating large-star and small-star steps."""
-    edges = staged(edges.select(F.greatest("uid", "hub").alias("u"), F.least("uid", "hub").alias("v")).where("u <> v").distinct(), "edges")
+    edges = staged(edges.select(F.greatest("uid", "other").alias("u"), F.least("uid", "other").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = staged(small.select("e.*").where("u <> v").distinct(), "edges")
@@ -237,7 +311,7 @@ def _labelled(rows: DataFrame, text: str, doc_id: str | None, bands: Bands) -> D
     ids = [F.min(f"doc.{doc_id}").alias("id")] if doc_id else []
     copies = staged(rows.groupBy("key").agg(F.min("uid").alias("uid"), F.count("*").alias("n"), *ids), "copies")
     distinct = rows.join(copies.select("uid"), "uid", "left_semi")
-    label = classes(_union(links(distinct, text, bands)))
+    label = near_classes(distinct, text, bands)
     labelled = copies.join(label, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     groups = labelled.groupBy("label").agg(F.sum("n").alias("class_size"), *([F.min("id").alias("class_id")] if doc_id else []))
     return staged(labelled.join(groups, "label").drop("n", "id"), "labelled")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Rows of an Arrow batch for what is written inside, so that a task holds few whole texts at once."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write the rows to the shared folder and read them again.
 
