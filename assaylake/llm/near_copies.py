@@ -224,33 +224,52 @@ def _bag_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nd
     return shared / (weight.sum() + other_weight.sum() - shared)
 
 
-def _joining(table: pa.Table, bands: Bands) -> pa.Table:
-    """Verified links that join classes inside one pair of blocks of a bucket.
-
-    A pair is looked at in the first band that puts it together, if its sketches agree well enough and its rows are not
-    of one class already.
-    """
-    table = table.combine_chunks()
-    uid, label, own = (table[c].to_numpy().copy() for c in ("uid", "label", "own"))
-    band, across = table["band"][0].as_py(), table["i"][0].as_py() != table["j"][0].as_py()
-    sketch = _sketches(table["sketch"].combine_chunks(), bands.slots)
-    earlier = table["buckets"].combine_chunks().flatten().to_numpy().reshape(len(uid), bands.bands)[:, :band]
-    texts, bags, found = _lower(table["text"].combine_chunks()), {}, []
-    for r in range(len(uid) - 1):
-        agree = _agreement(sketch[r], sketch[r + 1:])
-        near = (agree >= bands.least_agreement) & (label[r + 1:] != label[r])
-        if across:
-            near &= own[r + 1:] != own[r]
+class _Block:
+    """Rows of one pair of blocks of a bucket, and which of them are worth comparing."""
+
+    def __init__(self, table: pa.Table, bands: Bands):
+        self.table, self.bands = table.combine_chunks(), bands
+        self.uid, self.label, self.own = (self.table[c].to_numpy().copy() for c in ("uid", "label", "own"))
+        self.across = self.table["i"][0].as_py() != self.table["j"][0].as_py()
+        self.sketch = _sketches(self.table["sketch"].combine_chunks(), bands.slots)
+        own = self.table["buckets"].combine_chunks().flatten().to_numpy().reshape(len(self.uid), bands.bands)
+        self.earlier = own[:, :self.table["band"][0].as_py()]
+
+    def partners(self, r: int) -> np.ndarray:
+        """Later rows of another class whose sketch agrees with row r's, in the first band that puts the two together."""
+        agree = _agreement(self.sketch[r], self.sketch[r + 1:])
+        near = (agree >= self.bands.least_agreement) & (self.label[r + 1:] != self.label[r])
+        if self.across:
+            near &= self.own[r + 1:] != self.own[r]
         at = np.flatnonzero(near)
-        at = at[~(earlier[at + r + 1] == earlier[r]).any(1)]
-        for v in at[np.argsort(-agree[at], kind="stable")] + r + 1:
+        at = at[~(self.earlier[at + r + 1] == self.earlier[r]).any(1)]
+        return at[np.argsort(-agree[at], kind="stable")] + r + 1
+
+
+def _worth(table: pa.Table, bands: Bands) -> pa.Table:
+    """The rows that have a partner."""
+    block = _Block(table, bands)
+    has = np.zeros(len(block.uid), bool)
+    for r in range(len(has) - 1):
+        found = block.partners(r)
+        has[found] = True
+        has[r] |= len(found) > 0
+    return block.table.filter(pa.array(has))
+
+
+def _joining(table: pa.Table, bands: Bands) -> pa.Table:
+    """Verified links that join classes; rows that a link has made one class are not compared again."""
+    block, bags, found = _Block(table, bands), {}, []
+    texts, label = _lower(block.table["text"].combine_chunks()), block.label
+    for r in range(len(label) - 1):
+        for v in block.partners(r):
             if label[v] == label[r]:
                 continue
             for x in (r, v):
                 if x not in bags:
                     bags[x] = _bag_of(texts, int(x))
             if _bag_similarity(bags[r], bags[v]) >= bands.similarity:
-                found.append((uid[r], uid[v]))
+                found.append((block.uid[r], block.uid[v]))
                 label[label == label[v]] = label[r]
     return pa.table({"uid": pa.array([a for a, _ in found], pa.int64()), "other": pa.array([b for _, b in found], pa.int64())})
 
@@ -259,20 +278,27 @@ def _rest(shared: DataFrame, texts: DataFrame, label: DataFrame, bands: Bands, b
     """Links between rows of different classes in one bucket.
 
     A bucket is compared in blocks of bounded rows and bytes, every block with every other, inside tasks; no pairs leave
-    them but links that join classes. Buckets that are one class by now are left out, and pairs, which their hub has seen.
+    them but links that join classes. Sketches are compared first, so that only rows with a partner send their text.
+    Buckets that are one class by now are left out, and buckets of two, which their hub has seen.
     """
     mark = shared.where("n > 2").join(label, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     mixed = mark.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "bucket")
-    rows = mark.join(staged(mixed, "mixed"), ["band", "bucket"]).join(texts, "uid")
+    rows = mark.join(staged(mixed, "mixed"), ["band", "bucket"]).join(texts.select("uid", "sketch", "buckets"), "uid")
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
     rows = (rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "uid"), F.col("blocks")).cast("int"))
             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = rows.select("band", "bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "uid", "label", "sketch", "buckets", "text")
+    rows = rows.select("band", "bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "uid", "label", "sketch", "buckets")
+    keys = ["band", "bucket", "i", "j"]
+
+    def worth(table: pa.Table) -> pa.Table:
+        return _worth(table, bands)
 
     def join(table: pa.Table) -> pa.Table:
         return _joining(table, bands)
 
-    return staged(rows.groupBy("band", "bucket", "i", "j").applyInArrow(join, "uid long, other long"), "links")
+    partnered = staged(rows.groupBy(*keys).applyInArrow(worth, rows.schema), "partnered")
+    with_text = partnered.join(texts.select("uid", "text"), "uid")
+    return staged(with_text.groupBy(*keys).applyInArrow(join, "uid long, other long"), "links")
 
 
 def near_classes(rows: DataFrame, text: str, bands: Bands, *, block: int = 2048, block_bytes: int = 4 << 20) -> DataFrame:
