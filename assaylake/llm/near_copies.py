@@ -108,7 +108,7 @@ def _lower(column: pa.Array) -> pa.Array:
 
 
 def signed(docs: DataFrame, text: str, bands: Bands) -> DataFrame:
-    """doc, uid, key (of the word sequence), sketch (a byte of each slot) and buckets (a hash for each band); staged."""
+    """doc, uid, bytes (of the text), key (of the word sequence), sketch (a byte of each slot) and buckets (a hash for each band); staged."""
     def sign(batches):
         for batch in batches:
             keys, sketches, buckets = [], [], []
@@ -133,7 +133,8 @@ def signed(docs: DataFrame, text: str, bands: Bands) -> DataFrame:
     schema = T.StructType([rows.schema["doc"], T.StructField("key", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
                            T.StructField("buckets", T.ArrayType(T.LongType()))])
     with arrow_rows(docs.sparkSession, 500):
-        return staged(rows.mapInArrow(sign, schema).withColumn("uid", F.monotonically_increasing_id()), "signed", "zstd")
+        more = {"uid": F.monotonically_increasing_id(), "bytes": F.coalesce(F.octet_length(F.col("doc")[text]), F.lit(0)).cast("long")}
+        return staged(rows.mapInArrow(sign, schema).withColumns(more), "signed", "zstd")
 
 
 def _pair_slices(left: pa.Array, right: pa.Array):
@@ -306,11 +307,11 @@ def near_classes(rows: DataFrame, text: str, bands: Bands, *, block: int = 2048,
 
     First every member of a bucket meets its hub; then buckets that still hold several classes are compared in full.
     """
-    members = rows.select("uid", F.octet_length(f"doc.{text}").cast("long").alias("bytes"), F.posexplode("buckets").alias("band", "bucket"))
+    members = rows.select("uid", "bytes", F.posexplode("buckets").alias("band", "bucket"))
     sizes = staged(members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1"), "sizes")
     shared = staged(members.drop("bytes").join(sizes, ["band", "bucket"]), "shared")
     texts = staged(rows.select("uid", "sketch", "buckets", F.col(f"doc.{text}").alias("text"))
-                   .join(shared.select("uid").distinct(), "uid", "left_semi"), "texts", "zstd")
+                   .join(shared.select("uid").distinct().hint("merge"), "uid", "left_semi"), "texts", "zstd")  # grows: never broadcast
     found = verified(staged(_hub_pairs(shared), "pairs"), texts, bands)
     return classes(found.unionByName(_rest(shared, texts, classes(found), bands, block, block_bytes)))
 
