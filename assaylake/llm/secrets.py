@@ -27,8 +27,10 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 # The patterns of weak parts.
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,128}+(?![A-Za-z0-9+/_-])"
+VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,128}+(?![A-Za-z0-9+/_-])(?!=[\"']?[A-Za-z0-9+/_-])"
 SHORT_HEX = "(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
 CLIENT = r"""(?i:client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
+NAMED = rf"(?:{CLIENT})(?![+/])"
 ENDPOINT = r"""(?i:https?|ftp|ssh|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]++"""
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -53,12 +55,19 @@ def _parts(text: Column) -> Column:
         "client": (CLIENT, text.contains("=") | text.contains(":"), None),
         "endpoint": (ENDPOINT, text.contains("://"), None),
     }
+    # Words after "=" too. A client's name or an access id is no secret of its own, or it would be its own complement.
+    values = (f"{NAMED}|{VALUE}", text.rlike("[0-9]"), lambda s: mixed(s) & ~s["match"].rlike(f"^{NAMED}|AKIA[A-Z0-9]{{16}}"))
+
+    def found(pattern, only_if, fits):
+        all_of = S.matches(text, pattern, only_if)
+        return F.filter(all_of, fits) if fits else all_of
 
     def of(kind):
-        pattern, only_if, fits = patterns[kind]
-        found = S.matches(text, pattern, only_if)
-        return F.transform(F.filter(found, fits) if fits else found,
-                           lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        if kind != "secret":
+            return F.transform(found(*patterns[kind]), lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        place = [F.transform(found(*p), lambda s: F.shiftleft(s["start"].cast("long"), 32) + s["end"]) for p in (patterns["secret"], values)]
+        return F.transform(F.array_union(*place), lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.shiftright(x, 32).cast("int").alias("start"),
+                                                                      x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end")))
 
     return F.concat(*[of(k) for k in KINDS])
 
