@@ -26,8 +26,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 # The patterns of weak parts.
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,128}+(?![A-Za-z0-9+/_-])"
-VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,128}+(?![A-Za-z0-9+/_-])(?!=[\"']?[A-Za-z0-9+/_-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?!=[\"']?[A-Za-z0-9+/_-])"
+# A key in letters of one case: a stretch without slashes, so that a dated path is none.
+ONE_CASE = "(?<![A-Za-z0-9+_-])(?=[A-Za-z+_-]*+[0-9][A-Za-z+_-]*+[0-9])(?=[0-9+_-]*+[A-Za-z])[A-Za-z0-9+_-]{16,}+"
 SHORT_HEX = "(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
 CLIENT = r"""(?i:client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
 NAMED = rf"(?:{CLIENT})(?![+/])"
@@ -56,7 +58,7 @@ def _parts(text: Column) -> Column:
         "endpoint": (ENDPOINT, text.contains("://"), None),
     }
     # Words after "=" too. A client's name or an access id is no secret of its own, or it would be its own complement.
-    values = (f"{NAMED}|{VALUE}", text.rlike("[0-9]"), lambda s: mixed(s) & ~s["match"].rlike(f"^{NAMED}|AKIA[A-Z0-9]{{16}}"))
+    values = (f"{NAMED}|{VALUE}", text.rlike("[0-9]"), lambda s: (mixed(s) | s["match"].rlike(ONE_CASE)) & ~s["match"].rlike(f"^{NAMED}|AKIA[A-Z0-9]{{16}}|^[0-9a-f]{{16,23}}$"))
 
     def found(pattern, only_if, fits):
         all_of = S.matches(text, pattern, only_if)
