@@ -3,11 +3,13 @@
 Strong parts (an assigned secret, an access key id, a long hexadecimal string) are reported as they are. Weak parts (an
 opaque word, a short hexadecimal string, a named client, an endpoint) are common in clean text, so each is reported
 only where the parts that complete it lie in its scope: a secret needs an access identifier or an endpoint, a client
-needs a secret, and an endpoint needs both a secret and an access identifier, within `scope` code points of it.
+needs a secret, and an endpoint needs both a secret and an access identifier, with at most `scope` code points between the end of the earlier part and
+the start of the later one.
 
-The scope is an interval join: text is cut into cells of `scope` code points, each part tells its own cell and the two
-beside it where it is, first and last places are kept for each (document, cell, role), and a candidate meets that one
-row. A document with many parts is as many rows, never pairs.
+The scope is an interval join: text is cut into cells of `scope` code points, each part tells the cells it covers and
+the two beside them where it is, first and last places are kept for each (document, cell, role), and a candidate meets
+the rows of the cells it covers. A document with many parts is as many rows, and one for each cell of a long part,
+never pairs.
 
 Defined cases: null and empty texts have no part; repeated rows are scanned each; an empty table gives no row; null ids
 are carried through; columns of any name pass through in `doc`.
@@ -85,28 +87,31 @@ def parts(docs: DataFrame, text: str = "text", doc_columns: tuple[str, ...] | No
 def linked(found: DataFrame, scope: int = 400) -> DataFrame:
     """uid and linked: the weak parts whose complement is in scope."""
     role = F.element_at(F.array(*[F.lit(ROLES.index(ROLE[k])) for k in KINDS]), F.col("part.kind") + 1)
-    each = (found.select("uid", F.explode("parts").alias("part")).withColumn("role", role)
-            .withColumn("cell", F.floor(F.col("part.start") / scope).cast("int")))
-    at = F.col("part.start")
-    seen = each.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("cell", F.col("cell") + F.col("side"))
+    cell_of = lambda place: F.floor(F.col(place) / scope).cast("int")
+    each = found.select("uid", F.explode("parts").alias("part")).withColumn("role", role)
+    start, end = F.col("part.start"), F.col("part.end")
+    covered = each.withColumn("first", cell_of("part.start")).withColumn("last", cell_of("part.end"))
+    seen = covered.withColumn("cell", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)))
+    after, before = F.col("cell") < F.col("first"), F.col("cell") > F.col("last")
     cells = seen.groupBy("uid", "cell").agg(*[a for i, r in enumerate(ROLES) for a in (
-        F.max(F.when((F.col("role") == i) & (F.col("side") == 1), at)).alias(f"{r}_before"),
-        F.max((F.col("role") == i) & (F.col("side") == 0)).alias(f"{r}_here"),
-        F.min(F.when((F.col("role") == i) & (F.col("side") == -1), at)).alias(f"{r}_after"))])
+        F.max(F.when((F.col("role") == i) & before, end)).alias(f"{r}_before"),
+        F.max((F.col("role") == i) & ~before & ~after).alias(f"{r}_here"),
+        F.min(F.when((F.col("role") == i) & after, start)).alias(f"{r}_after"))])
 
     def near(r: str) -> Column:
-        return (F.col(f"{r}_here") | F.coalesce(at - F.col(f"{r}_before") <= scope, F.lit(False))
-                | F.coalesce(F.col(f"{r}_after") - at <= scope, F.lit(False)))
+        return F.max(F.col(f"{r}_here") | F.coalesce(start - F.col(f"{r}_before") <= scope, F.lit(False))
+                     | F.coalesce(F.col(f"{r}_after") - end <= scope, F.lit(False))).alias(r)
 
+    weak = (covered.where(F.col("part.kind") >= len(BASE_KINDS)).withColumn("cell", F.explode(F.sequence("first", "last"))).join(cells, ["uid", "cell"])
+            .groupBy("uid", "part").agg(*[near(r) for r in ROLES]))
     complete = F.lit(False)
     for kind, groups in NEEDS.items():
         for group in groups:
             needed = F.col("part.kind") == KINDS.index(kind)
             for r in group:
-                needed = needed & near(r)
+                needed = needed & F.col(r)
             complete = complete | needed
-    weak = each.where(F.col("part.kind") >= len(BASE_KINDS)).join(cells, ["uid", "cell"]).where(complete)
-    return weak.groupBy("uid").agg(F.collect_list("part").alias("linked"))  # of one document
+    return weak.where(complete).groupBy("uid").agg(F.collect_list("part").alias("linked"))  # of one document
 
 
 def _by_place(spans: Column) -> Column:
