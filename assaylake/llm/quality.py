@@ -22,13 +22,39 @@ from . import words as W
 from .staging import staged
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_letters",
-              "n_upper", "n_exclaimed", "n_lettered_words")
+              "n_upper", "n_exclaimed", "n_lettered_words", "n_span_distinct", "n_span_repeats")
+#: Words of a span: distinct words and repeated windows are counted in each span of a text, so that their shares do not depend on its length.
+SPAN_WORDS = 1_000
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _LETTER = _UPPER | np.isin(np.arange(256), np.arange(97, 123))
 _LINE = np.arange(256) == 10
 
 
+def _covered(words: int, at: np.ndarray, size: int = 3) -> np.ndarray:
+    """Which words lie in a window that starts at one of the given words."""
+    steps = np.zeros(words + 1, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + size, -1) if len(at) else None
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _in_spans(table: W.Words, hashes: np.ndarray, windows: np.ndarray, at: np.ndarray, distinct: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and words in repeated windows, summed over the spans of each row; of the whole row where it is one span."""
+    words = np.diff(table.first)
+    long = words > SPAN_WORDS
+    if not long.any():
+        return distinct, repeats
+    before = np.concatenate(([0], np.cumsum(-(-words // SPAN_WORDS))))
+    span = before[table.row] + (np.arange(len(hashes)) - table.first[table.row]) // SPAN_WORDS
+    of_long = long[table.row]
+    first = np.unique(W.in_row(hashes[of_long], span[of_long]), return_index=True)[1]
+    inside = of_long[at]
+    again = at[inside][W.repeated(W.in_row(windows[inside], span[at[inside]]))]
+    return (np.where(long, W.count_per(table.rows, table.row[of_long][first]), distinct),
+            np.where(long, W.count_per(table.rows, table.row[_covered(len(hashes), again)]), repeats))
+
+
 def _statistics(column: pa.Array) -> dict[str, np.ndarray]:
     parts = {name: [] for name in STATISTICS}
     for _, part in W.slices(column):
@@ -48,18 +74,17 @@ def _statistics(column: pa.Array) -> dict[str, np.ndarray]:
         line_row, line_hash = lines.row[full], lines.hashes()[full]
         windows, at = W.shingles(table, 3, hashes)
         again = at[W.repeated(W.in_row(windows, table.row[at]))]
-        covered = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(covered, again, 1)
-        np.add.at(covered, again + 3, -1) if len(again) else None
-        covered = np.cumsum(covered[:-1]) > 0
+        distinct, repeats = W.distinct_per(n, table.row, hashes), W.count_per(n, table.row[_covered(len(hashes), again)])
+        span_distinct, span_repeats = _in_spans(table, hashes, windows, at, distinct, repeats)
         for name, value in {
             "n_words": np.diff(table.first), "word_chars": counted(code_points)[0], "n_symbols": counted(_SYMBOL[table.data])[0],
             "n_dup_lines": W.count_per(n, line_row) - W.distinct_per(n, line_row, line_hash),
-            "n_repeat_words": W.count_per(n, table.row[covered]), "n_lines": W.count_per(n, line_row),
-            "n_distinct_words": W.distinct_per(n, table.row, hashes), "n_letters": counted(_LETTER[table.data])[0],
+            "n_repeat_words": repeats, "n_lines": W.count_per(n, line_row),
+            "n_distinct_words": distinct, "n_letters": counted(_LETTER[table.data])[0],
             "n_upper": counted(_UPPER[table.data])[0],
             "n_exclaimed": W.count_per(n, table.row[table.data[table.end - 1] == 33]) if len(table.end) else np.zeros(n, np.int64),
             "n_lettered_words": W.count_per(n, table.row[lettered[table.end] > lettered[table.start]]),
+            "n_span_distinct": span_distinct, "n_span_repeats": span_repeats,
         }.items():
             parts[name].append(value)
     return {name: np.concatenate([*value, np.zeros(0, np.int64)]) for name, value in parts.items()}
@@ -93,12 +118,12 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words", "one", (100, 50_000), (50, 100_000)),
+    Rule("length", "n_words", "one", (100, 50_000), (50, float("inf"))),  # nothing is said of long texts
     Rule("word_length", "word_chars", "n_words", (3, 9), (2, 14)),
     Rule("symbols", "n_symbols", "n_words", (0, 0.02), (0, 0.1)),
     Rule("repeated_lines", "n_dup_lines", "n_lines", (0, 0.2), (0, 0.6)),
-    Rule("repeated_windows", "n_repeat_words", "n_words", (0, 0.1), (0, 0.3)),
-    Rule("distinct_words", "n_distinct_words", "n_words", (0.2, 1), (0.08, 1)),
+    Rule("repeated_windows", "n_span_repeats", "n_words", (0, 0.1), (0, 0.3)),
+    Rule("distinct_words", "n_span_distinct", "n_words", (0.2, 1), (0.08, 1)),
     Rule("upper_case", "n_upper", "n_letters", (0, 0.12), (0, 0.3)),
     Rule("exclamation", "n_exclaimed", "n_words", (0, 0.02), (0, 0.15)),
     Rule("lettered_words", "n_lettered_words", "n_words", (0.95, 1), (0.8, 1)),

@@ -46,6 +46,17 @@ def test_verdicts(spark):
     assert all(found[i] for i, _ in good) and not any(found[i] for i, _ in bad)
 
 
+def test_verdict_does_not_depend_on_length(spark):
+    draw = random.Random(6)
+    text = lambda n, size: " ".join(f"{draw.choice(['river', 'stone', 'window', 'garden'])}{'abcdefghij'[w % 10]}{'klmnopqrst'[w // 10 % 10]}{'uvwxyz'[w // 100 % 6]}" for w in (draw.randrange(size) for _ in range(n)))
+    good, short = [(i, text(300, 600)) for i in range(200)], [(1000 + i, text(20, 600)) for i in range(100)]
+    long = [(2000 + i, text(n, 600)) for i, n in enumerate((5_000, 30_000, 60_000, 120_000))]
+    dull = [(3000, " ".join(["river stone window"] * 40_000)), (3001, " ".join(draw.choice(["river", "stone"]) for _ in range(120_000)))]
+    found = cases.by_id(quality.quality_report(cases.documents(spark, good + short + long + dull)))
+    assert [found[i]["kept"] for i, _ in good + long] == [True] * 204
+    assert not any(found[i]["kept"] for i, _ in short + dull)
+
+
 def test_accepted_keeps_columns(spark):
     docs = cases.documents(spark)
     out = quality.accepted(docs)
