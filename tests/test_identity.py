@@ -58,6 +58,14 @@ def test_tensor_digest_tells_dtype_and_shape_of_late_chunks(spark):
     assert len({r["digest_sha256"] for r in tensor_digests(chunks, headers).collect()}) == 2
 
 
+def test_tensor_digest_keeps_every_bit(spark):
+    from assaylake.operators.tensor_stats import tensor_digests
+    values = [0.0, -0.0, 1e-14, 1.0000001e-14, 5e-324, 1e-323, 1e300, 1.0, 1.0 + 2**-52, float("inf"), float("-inf"), float("nan")]
+    chunks = spark.createDataFrame([("m", str(i), 0, [v, 1.0]) for i, v in enumerate(values)], "model_id string, tensor_name string, chunk_no long, values array<double>")
+    headers = chunks.selectExpr("model_id", "tensor_name", "'float64' AS dtype", "array(2) AS shape")
+    assert len({r["digest_sha256"] for r in tensor_digests(chunks, headers).collect()}) == len(values)
+
+
 def test_positions_are_equal_with_and_without_window(spark):
     df = spark.range(300).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.hash("id").alias("o"), "id")
     a = ordering.position_in_group(df, ["k"], [F.col("o"), F.col("id")])
