@@ -33,7 +33,7 @@ def encoded(docs: DataFrame, *, doc_id: str, text: str, end_id: int, vocabulary:
         encoder, part, at = tokens.encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             column, done = W.text_column(batch.column("text")), 0
-            for _, piece in W.slices(column):
+            for _, piece in tokens.slices(column):
                 ids, offsets = encoder.encode(piece)
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 offsets = offsets + np.arange(len(offsets))

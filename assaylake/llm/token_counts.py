@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         encoder = tokens.encoder(path)
         for batch in batches:
             column = W.text_column(batch.column("text"))
-            found = [encoder.counts(part) for _, part in W.slices(column)]
+            found = [encoder.counts(part) for _, part in tokens.slices(column)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pc.binary_length(column).cast(pa.int64()),
                  pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64))], ["doc_id", "n_bytes", "n_tokens"])

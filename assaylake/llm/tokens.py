@@ -1,24 +1,37 @@
 """Token ids of whole texts by a public tokenizer file, inside Arrow tasks.
 
-The vocabulary drops white space and splits letters from punctuation, so a text may be cut at blanks, tabs and line
-ends, and between an ASCII letter or digit and the mark after it, without changing its ids. Texts are cut at all those
-boundaries; each distinct piece of a task is encoded once, in batches of bounded bytes, and kept in a table of bounded
-size.
+The vocabulary drops white space, is in lower case and takes letters, single digits and marks apart, so a text may be
+cut at blanks, tabs and line ends, and next to an ASCII letter or digit where a digit or a mark begins or ends, without
+changing its ids. Texts are cut at all those boundaries; an Arrow dictionary of each slice gives its distinct pieces,
+and each piece is encoded once while a table of bounded size remembers it.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from . import words as W
 
 VOCABULARY = "word_bpe_49k.json"
-_BLANK = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0D])
+SLICE_BYTES = 4 << 20
+
+
+def _bytes(values) -> np.ndarray:
+    return np.isin(np.arange(256), list(values))
+
+
+_BLANK = _bytes([0x20, 0x09, 0x0A, 0x0D])
 #: Marks that no special token of the vocabulary and no contraction begins with or contains.
-_MARK = np.isin(np.arange(256), list(b".,;:!?%$&*#()\""))
+_MARK = _bytes(b".,;:!?%$&*#()\"")
+_DIGIT = _bytes(b"0123456789")
 _ALPHANUMERIC = ~W.NOT_ALPHANUMERIC & (np.arange(256) < 128)
+_LOWER = np.where(_bytes(range(65, 91)), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+_OPEN = ord("<")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -26,74 +39,120 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-def pieces(part) -> W.Words:
-    """The pieces of a slice of a text column."""
-    table = W.split(part, _BLANK)
-    data = table.data
+def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    return W.slices(column, SLICE_BYTES)
+
+
+def pieces(part: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The first piece of each row (rows + 1 numbers) and the pieces of a slice of a text column.
+
+    ASCII letters are put in lower case, but for those before a byte beyond ASCII (the two may compose) and in pieces
+    that may hold a special token, whose case counts.
+    """
+    data, offsets = W.raw(part)
     if not len(data):
-        return table
-    cut = np.flatnonzero(_ALPHANUMERIC[data[:-1]] & _MARK[data[1:]]) + 1
-    cut = cut[~np.isin(cut, table.offsets, assume_unique=False)]  # a new row starts a piece anyway
-    start = np.sort(np.concatenate((table.start, cut)))
-    end = np.sort(np.concatenate((table.end, cut)))
-    row = np.searchsorted(table.offsets, start, "right") - 1
-    return W.Words(table.rows, data, table.offsets, row, start, end, np.searchsorted(row, np.arange(table.rows + 1)))
+        return np.zeros(len(part) + 1, np.int64), pa.array([], pa.large_string())
+    inside, plain, digit, mark = ~_BLANK[data], _ALPHANUMERIC[data], _DIGIT[data], _MARK[data]
+    cut = np.zeros(len(data) + 1, bool)
+    left, right = slice(None, -1), slice(1, None)
+    cut[1:-1] = ((plain[left] & (mark[right] | digit[right])) | ((mark[left] | digit[left]) & plain[right]) | ~inside[left] | ~inside[right])
+    cut[offsets] = True
+    at = np.flatnonzero(cut)
+    real = inside[np.minimum(at, len(data) - 1)] & (at < len(data))
+    start = at[real]
+    ends = np.append(at, len(data))[1:][real]
+    row = np.searchsorted(start, offsets)
+    lower = np.where(np.append(data[1:], 0) < 128, _LOWER[data], data)
+    special = np.flatnonzero(data == _OPEN)
+    for k in np.unique(np.searchsorted(start, special, "right") - 1):
+        lower[start[k]:ends[k]] = data[start[k]:ends[k]]
+    places = np.concatenate(([0], np.cumsum(ends - start)))
+    return row, pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(places.astype(np.int64).tobytes()), pa.py_buffer(lower[inside].tobytes())])
 
 
 class PieceEncoder:
-    """Encodes pieces; `known` distinct ones at most are remembered, then it starts afresh."""
+    """Encodes pieces. Two generations of `known` distinct pieces at most are remembered; what is met again stays."""
 
-    def __init__(self, path: str, known: int = 1_000_000, batch_bytes: int = 1 << 18):
+    def __init__(self, path: str, known: int = 400_000, batch: int = 1000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.known, self.batch_bytes = Tokenizer.from_file(path), known, batch_bytes
-        self._clear()
-
-    def _clear(self):
-        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
-        self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, table: W.Words, which: np.ndarray, hashes: np.ndarray) -> None:
-        size = table.end[which] - table.start[which]
-        batch = np.cumsum(size) // self.batch_bytes
-        lengths, ids = [self.offsets], [self.ids]
-        for b in np.unique(batch):
-            data = table.data
-            texts = [data[s:e].tobytes().decode() for s, e in zip(table.start[which[batch == b]], table.end[which[batch == b]])]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            lengths.append(lengths[-1][-1] + np.cumsum([len(x) for x in found]))
-            ids.append(np.fromiter((i for x in found for i in x), np.uint32))
-        place = np.arange(len(which)) + len(self.offsets) - 1
-        self.offsets, self.ids = np.concatenate(lengths), np.concatenate(ids)
-        merged, place = np.concatenate((self.hash, hashes)), np.concatenate((self.place, place))
-        order = np.argsort(merged, kind="stable")
-        self.hash, self.place = merged[order], place[order]
-
-    def places(self, table: W.Words) -> np.ndarray:
-        """For each piece its place in the table of remembered pieces."""
-        distinct, example, inverse = np.unique(table.hashes(), return_index=True, return_inverse=True)
-        if len(self.hash) > self.known:
-            self._clear()
-        new = ~np.isin(distinct, self.hash, assume_unique=True) if len(self.hash) else np.ones(len(distinct), bool)
-        if new.any():
-            self._learn(table, example[new], distinct[new])
-        return self.place[np.searchsorted(self.hash, distinct)][inverse]
-
-    def counts(self, part) -> np.ndarray:
+        self.tokenizer, self.known, self.batch = Tokenizer.from_file(path), known, batch
+        self._check(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def _check(path: str) -> None:
+        """The cuts hold for vocabularies of this form only."""
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = [p.get("pattern", {}).get("Regex", "") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if normal != ["NFC", "Replace", "Lowercase"] or not split or not split[0].endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") or spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError(f"{path}: not a vocabulary of words, single digits and marks in lower case")
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for k in range(0, len(texts), self.batch) for x in self.tokenizer.encode_batch_fast(texts[k:k + self.batch], add_special_tokens=False)]
+
+    def _words(self, texts: list[str]) -> list[list[int]]:
+        """Pieces of letters only: encoded as one text of many words and parted at the word ends."""
+        out = []
+        for k in range(0, len(texts), self.batch):
+            some = texts[k:k + self.batch]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ends = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else self._whole(some)
+        return out
+
+    def _learn(self, texts: list[str]) -> dict[str, bytes]:
+        model, found = self.tokenizer.model, {}
+        letters, other = [], []
+        for t in texts:
+            if t.isascii() and t.isalpha() and t.islower():
+                found[t] = [x.id for x in model.tokenize(t)]
+            else:
+                (letters if t.isalpha() else other).append(t)
+        found.update(zip(letters, self._words(letters)))
+        found.update(zip(other, self._whole(other)))
+        return {t: np.array(ids, "<u4").tobytes() for t, ids in found.items()}
+
+    def _table(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of the distinct pieces."""
+        if len(self.young) > self.known:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, texts))
+        missing = [t for t, f in zip(texts, found) if f is None]
+        if missing:
+            young.update((t, old[t]) for t in missing if t in old)
+            young.update(self._learn([t for t in missing if t not in old]))
+            found = [young[t] for t in texts]
+        return found
+
+    def _looked_up(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        first, found = pieces(part)
+        coded = found.dictionary_encode()
+        return first, coded.indices.to_numpy(zero_copy_only=False), self._table(coded.dictionary.to_pylist())
+
+    def counts(self, part: pa.Array) -> np.ndarray:
         """Number of tokens of each row of a slice."""
-        table = pieces(part)
-        place = self.places(table)
-        total = np.concatenate(([0], np.cumsum(self.offsets[place + 1] - self.offsets[place])))
-        return total[table.first[1:]] - total[table.first[:-1]]
+        first, piece, table = self._looked_up(part)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        total = np.concatenate(([0], np.cumsum(size[piece])))
+        return np.diff(total[first])
 
-    def encode(self, part) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, and the offset of each row in them."""
-        table = pieces(part)
-        place = self.places(table)
-        length = self.offsets[place + 1] - self.offsets[place]
+        first, piece, table = self._looked_up(part)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin = np.cumsum(size) - size
+        length = size[piece]
         total = np.concatenate(([0], np.cumsum(length)))
-        at = np.repeat(self.offsets[place] - total[:-1], length) + np.arange(total[-1])
-        return self.ids[at], total[table.first]
+        at = np.repeat(begin[piece] - total[:-1], length) + np.arange(total[-1])
+        return np.frombuffer(b"".join(table), "<u4")[at], total[first]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

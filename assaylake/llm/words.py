@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 #: White space of `[^\x20\x09-\x0D]+`: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
@@ -85,35 +84,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: Two primes below 2^31 and a base drawn for each; a prime modulus has no words that agree for every base.
+_PRIMES = (np.uint64(2147483647), np.uint64(2147483629))
+_BASES = (1518500249, 1229782938)
+_LONG = 1 << 24
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        def up(base):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            return np.multiply.accumulate(steps)
-        _POWERS = up(_BASE), up(_BASE_INVERSE)
-    return _POWERS
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo its prime, 0 to n - 1 at least."""
+    prime = _PRIMES[which]
+    if which not in _TABLES or len(_TABLES[which][0]) < n:
+        def up(base: int) -> np.ndarray:
+            out, have = np.ones(n, np.uint64), 1
+            while have < n:  # the next stretch is the first one times one power
+                to = min(n, 2 * have)
+                out[have:to] = out[:to - have] * np.uint64(pow(base, have, int(prime))) % prime
+                have = to
+            return out
+        _TABLES[which] = up(_BASES[which]), up(pow(_BASES[which], -1, int(prime)))
+    return _TABLES[which]
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """64-bit hash of each byte range; ranges are in order. Prefix sums of a polynomial, over blocks of bounded size."""
+    """64-bit hash of each byte range; ranges are in order. Polynomials modulo two primes by prefix sums, over blocks of bounded size."""
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         low = int(start[at])
         to = max(at + 1, int(np.searchsorted(end, low + block, "right")))
         high = int(end[to - 1])
-        powers, inverse = _powers(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers[:high - low], out=sums[1:])
+        letters = data[low:high].astype(np.uint64) + np.uint64(1)
         s, e = start[at:to] - low, end[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * inverse[s]
+        found = (end[at:to] - start[at:to]).astype(np.uint64)
+        for which, prime in enumerate(_PRIMES):
+            powers, inverse = _powers(which, high - low + 1)
+            terms = letters * powers[:high - low]  # below 2^39, so 2^24 of them add up without overflow
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(terms if high - low <= _LONG else terms % prime, out=sums[1:])
+            found = mix(found) + (sums[e] - sums[s]) % prime * inverse[s] % prime
+        out[at:to] = found
         at = to
-    return mix(out + (end - start).astype(np.uint64))
+    return mix(out)
 
 
 def shingles(words: Words, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +134,7 @@ def shingles(words: Words, size: int, hashes: np.ndarray | None = None) -> tuple
     n = max(0, len(hashes) - size + 1)
     total = np.zeros(n, np.uint64)
     for k in range(size):
-        total += mix(hashes[k:k + n] + np.uint64(k + 1)) if k == 0 else hashes[k:k + n] * (_powers(size + 1)[0][k + 1])
+        total += mix(hashes[k:k + n] + np.uint64(k + 1))
     at = np.flatnonzero(words.row[:n] == words.row[size - 1:size - 1 + n])
     return mix(total[at]), at
 
