@@ -104,11 +104,12 @@ def runs_in(first: np.ndarray, row: np.ndarray, rank: np.ndarray, least_words: i
     found = []
     low_lag, high_lag = 1, 1
     while max(least_words, repeats * low_lag) <= longest:
-        # the least guaranteed overlap of the lags low_lag to high_lag; it is never under high_lag (see seeds)
-        size = min(max(least_words - q, (repeats - 1) * q) for q in {low_lag, high_lag, min(high_lag, max(low_lag, least_words // repeats))})
+        # the least guaranteed overlap of the lags low_lag to high_lag, at an end or where both bounds meet; never under high_lag
+        meet = (min(high_lag, max(low_lag, q)) for q in (least_words // repeats, least_words // repeats + 1))
+        size = min(max(least_words - q, (repeats - 1) * q) for q in {low_lag, high_lag, *meet})
         key, at = grams.of(size)
-        if not len(key) and size >= 2:
-            break  # longer grams do not repeat either
+        if not len(key) and low_lag * repeats >= least_words:
+            break  # from here on grams only get longer, and those do not repeat either
         lag = at[1:] - at[:-1]
         seed = (key[1:] == key[:-1]) & (lag >= low_lag) & (lag <= high_lag)
         start, lag = at[:-1][seed], lag[seed]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, languages, near_copies, packing, personal_data, quality, secrets, sharding, token_counts, toxicity
+from . import decontamination, languages, near_copies, packing, periodic_runs, personal_data, quality, secrets, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Query] = {}
 
@@ -65,3 +65,8 @@ def op7(t: Tables) -> DataFrame:
 @query("op3_toxicity")
 def op3(t: Tables) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels)
+
+
+@query("op11_periodic_runs")
+def op11(t: Tables) -> DataFrame:
+    return periodic_runs.runs_report(t.documents)
