@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, languages, near_copies, packing, periodic_runs, personal_data, quality, secrets, sharding, token_counts, toxicity
+from . import decontamination, languages, near_copies, packing, periodic_runs, personal_data, quality, secrets, sharding, token_counts, toxicity, whitening
 
 QUERIES: dict[str, Query] = {}
 
@@ -70,3 +70,8 @@ def op3(t: Tables) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(t: Tables) -> DataFrame:
     return periodic_runs.runs_report(t.documents)
+
+
+@query("op12_embedding_whitening")
+def op12(t: Tables) -> DataFrame:
+    return whitening.whitening_report(t.embeddings)
