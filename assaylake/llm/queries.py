@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..plans.catalog import Query, Tables
-from . import decontamination, languages, near_copies, packing, periodic_runs, personal_data, quality, secrets, sharding, token_counts, toxicity, whitening
+from . import decontamination, languages, near_copies, packing, periodic_runs, personal_data, quality, secrets, sharding, token_counts, token_files, toxicity, whitening
 
 QUERIES: dict[str, Query] = {}
 
@@ -75,3 +75,8 @@ def op11(t: Tables) -> DataFrame:
 @query("op12_embedding_whitening")
 def op12(t: Tables) -> DataFrame:
     return whitening.whitening_report(t.embeddings)
+
+
+@query("op13_token_files")
+def op13(t: Tables) -> DataFrame:
+    return token_files.token_files_report(t.documents)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from . import words as W
 
 VOCABULARY = "word_bpe_49k.json"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def _bytes(values) -> np.ndarray:
@@ -117,7 +118,7 @@ class PieceEncoder:
                 (letters if t.isalpha() else other).append(t)
         found.update(zip(letters, self._words(letters)))
         found.update(zip(other, self._whole(other)))
-        return {t: np.array(ids, "<u4").tobytes() for t, ids in found.items()}
+        return {t: array("I", ids).tobytes() for t, ids in found.items()}
 
     def _table(self, texts: list[str]) -> list[bytes]:
         """The ids of each of the distinct pieces."""
