@@ -16,6 +16,8 @@ import numpy as np
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _MASK = np.uint64(0xFFFFFFFF)
+_PART = 21  # bits of a table entry's parts: three fit 64 bits
+_LAST = np.uint64((1 << _PART) - 1)
 
 
 class CorruptTokens(ValueError):
@@ -41,7 +43,7 @@ def shared_frequencies(counts: np.ndarray, precision: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    precision: int = 20
+    precision: int = 18
     lanes: int = 32
     steps: int = 512
     checkpoint: int = 256
@@ -67,8 +69,15 @@ class Block:
 class Coder:
     def __init__(self, frequencies: np.ndarray, shape: Shape = Shape()):
         self.shape, self.frequency = shape, np.asarray(frequencies, np.uint64)
-        self.start = np.cumsum(self.frequency) - self.frequency
-        self.symbol = np.repeat(np.arange(len(self.frequency), dtype=np.uint32), self.frequency.astype(np.int64))
+        if not 1 <= shape.precision <= _PART - 1 or len(self.frequency) > 1 << _PART:
+            raise ValueError(f"precision and ids have at most {_PART - 1} and {_PART} bits")
+        start = np.cumsum(self.frequency) - self.frequency
+        #: of each id its start and frequency; of each slot its id, the id's frequency and the place in it: one look-up a step
+        self.by_id = (start << np.uint64(_PART)) | self.frequency
+        each = self.frequency.astype(np.int64)
+        inside = np.arange(int(each.sum())) - np.repeat(start.astype(np.int64), each)
+        self.by_slot = ((np.repeat(np.arange(len(each), dtype=np.uint64), each) << np.uint64(2 * _PART))
+                        | (np.repeat(self.frequency, each) << np.uint64(_PART)) | inside.astype(np.uint64))
 
     def _active(self, count: np.ndarray, step: np.ndarray | int) -> np.ndarray | None:
         """Which lanes of each block hold an id at a step; None for all."""
@@ -93,7 +102,8 @@ class Coder:
         precision, top = np.uint64(shape.precision), np.uint64(63 - shape.precision)
         for step in range(shape.steps - 1, -1, -1):
             active = self._active(count, step)
-            frequency, start = self.frequency[symbols[step]], self.start[symbols[step]]
+            entry = self.by_id[symbols[step]]
+            frequency, start = entry & _LAST, entry >> np.uint64(_PART)
             if active is not None:
                 frequency = np.where(active, frequency, np.uint64(1))
             over = state >= (frequency << top)
@@ -126,21 +136,23 @@ class Coder:
         count, first = np.repeat(counts, shape.checkpoints), np.tile(np.arange(shape.checkpoints) * shape.checkpoint, made)
         out = np.zeros((shape.checkpoint, *state.shape), np.uint32)
         precision, mask = np.uint64(shape.precision), np.uint64((1 << shape.precision) - 1)
-        last = len(words) - 1
+        part, parts, last = np.uint64(_PART), np.uint64(2 * _PART), len(words) - 1
         for step in range(shape.checkpoint):
             active = self._active(count, first + step)
-            slot = state & mask
-            symbol = self.symbol[slot.astype(np.int64)]
-            found = self.frequency[symbol] * (state >> precision) + (slot - self.start[symbol])
+            entry = self.by_slot[(state & mask).astype(np.int64)]
+            found = ((entry >> part) & _LAST) * (state >> precision) + (entry & _LAST)
             need = found < _LOW
             if active is not None:
                 need &= active
-            rank = np.cumsum(need, 1)
-            more = words[np.minimum((place[:, None] + rank - 1)[need], last)]
-            found[need] = (found[need] << _WORD) | more
+            each = need.sum(1)
+            at = np.flatnonzero(need)
+            # the words of a step lie one after another in lane order: the n-th lane in need takes the n-th word
+            read = np.arange(len(at)) + np.repeat(place - (np.cumsum(each) - each), each)
+            flat = found.ravel()
+            flat[at] = (flat[at] << _WORD) | words[np.minimum(read, last)]
             state = found if active is None else np.where(active, found, state)
-            place += rank[:, -1]
-            out[step] = symbol
+            place += each
+            out[step] = entry >> parts
         ids = out.reshape(shape.checkpoint, made, shape.checkpoints, shape.lanes).transpose(1, 2, 0, 3).reshape(made, -1)[:, :shape.block]
         ended = state.reshape(made, shape.checkpoints, shape.lanes)[:, -1]
         for b, block in enumerate(blocks):

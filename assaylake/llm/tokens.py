@@ -12,27 +12,36 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from . import words as W
 
 VOCABULARY = "word_bpe_49k.json"
 SLICE_BYTES = 8 << 20
+#: Pieces of up to so many bytes are told apart by one number, longer ones by an Arrow dictionary.
+SHORT = 7
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(SHORT + 1)], np.uint64)
 
 
-def _bytes(values) -> np.ndarray:
-    return np.isin(np.arange(256), list(values))
+_OTHER, _BLANK, _LETTER, _DIGIT, _MARK = range(5)
+#: Marks that no special token of the vocabulary and no contraction begins with or contains.
+_KINDS = {_BLANK: b" \t\n\r", _DIGIT: b"0123456789", _MARK: b".,;:!?%$&*#()\"", _LETTER: b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_KIND = bytes(next((k for k, own in _KINDS.items() if b in own), _OTHER) for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-_BLANK = _bytes([0x20, 0x09, 0x0A, 0x0D])
-#: Marks that no special token of the vocabulary and no contraction begins with or contains.
-_MARK = _bytes(b".,;:!?%$&*#()\"")
-_DIGIT = _bytes(b"0123456789")
-_ALPHANUMERIC = ~W.NOT_ALPHANUMERIC & (np.arange(256) < 128)
-_LOWER = np.where(_bytes(range(65, 91)), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-_OPEN = ord("<")
+def _cuts(left: int, right: int) -> bool:
+    """Whether a text may be cut between bytes of two kinds."""
+    words = (_LETTER, _DIGIT)
+    return _BLANK in (left, right) or (left in words and right in (_DIGIT, _MARK)) or (left in (_DIGIT, _MARK) and right in words)
+
+
+#: For 8 * left + right: 1 where the text may be cut.
+_PAIR = bytes(_cuts(x >> 3, x & 7) for x in range(64)) + bytes(192)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -44,31 +53,62 @@ def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     return W.slices(column, SLICE_BYTES)
 
 
-def pieces(part: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The first piece of each row (rows + 1 numbers) and the pieces of a slice of a text column.
+@dataclass
+class Pieces:
+    """The pieces of a slice of a text column, in order: row r has those from first[r] to first[r + 1]."""
+    first: np.ndarray
+    text: np.ndarray     # bytes of the slice, ASCII letters in lower case
+    start: np.ndarray    # byte range of each piece in it
+    size: np.ndarray
+
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which pieces have up to SHORT bytes, and for those the bytes and their number in one 64-bit number."""
+        short = self.size <= SHORT
+        padded = np.zeros(len(self.text) + 8, np.uint8)
+        padded[:len(self.text)] = self.text
+        eight = np.ndarray(len(self.text) + 1, "<u8", padded, strides=(1,)).copy()  # the 8 bytes from each place on
+        size = self.size[short]
+        return short, (eight[self.start[short]] & _FIRST[size]) | (size.astype(np.uint64) << np.uint64(8 * SHORT))
+
+    def strings(self, which: np.ndarray) -> pa.Array:
+        """Some pieces, given by a mask."""
+        size, start = self.size[which], self.start[which]
+        places = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=places[1:])
+        at = np.arange(places[-1]) + np.repeat(start - places[:-1], size)
+        return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(places), pa.py_buffer(self.text[at])])
+
+
+def pieces(part: pa.Array) -> Pieces:
+    """Cut a slice of a text column.
 
     ASCII letters are put in lower case, but for those before a byte beyond ASCII (the two may compose) and in pieces
     that may hold a special token, whose case counts.
     """
     data, offsets = W.raw(part)
-    if not len(data):
-        return np.zeros(len(part) + 1, np.int64), pa.array([], pa.large_string())
-    inside, plain, digit, mark = ~_BLANK[data], _ALPHANUMERIC[data], _DIGIT[data], _MARK[data]
-    cut = np.zeros(len(data) + 1, bool)
-    left, right = slice(None, -1), slice(1, None)
-    cut[1:-1] = ((plain[left] & (mark[right] | digit[right])) | ((mark[left] | digit[left]) & plain[right]) | ~inside[left] | ~inside[right])
+    text = data.tobytes()
+    kind = np.frombuffer(text.translate(_KIND), np.uint8)
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = np.frombuffer((kind[:-1] * np.uint8(8) + kind[1:]).tobytes().translate(_PAIR), bool)
     cut[offsets] = True
     at = np.flatnonzero(cut)
-    real = inside[np.minimum(at, len(data) - 1)] & (at < len(data))
-    start = at[real]
-    ends = np.append(at, len(data))[1:][real]
-    row = np.searchsorted(start, offsets)
-    lower = np.where(np.append(data[1:], 0) < 128, _LOWER[data], data)
-    special = np.flatnonzero(data == _OPEN)
-    for k in np.unique(np.searchsorted(start, special, "right") - 1):
-        lower[start[k]:ends[k]] = data[start[k]:ends[k]]
-    places = np.concatenate(([0], np.cumsum(ends - start)))
-    return row, pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(places.astype(np.int64).tobytes()), pa.py_buffer(lower[inside].tobytes())])
+    real = kind[at[:-1]] != _BLANK
+    start, size = at[:-1][real], np.diff(at)[real]
+    lower = np.frombuffer(text.translate(_LOWER), np.uint8)
+    keep = np.flatnonzero(data >= 128) - 1  # letters that may compose with what follows
+    keep = keep[keep >= 0]
+    if b"<" in text:
+        for k in np.unique(np.searchsorted(start, np.flatnonzero(data == ord("<")), "right") - 1):
+            keep = np.append(keep, np.arange(start[k], start[k] + size[k]))
+    if len(keep):
+        lower = lower.copy()
+        lower[keep] = data[keep]
+    return Pieces(np.searchsorted(start, offsets), lower, start, size)
+
+
+def _spelled(number: int) -> str:
+    """The piece of a short piece's number."""
+    return number.to_bytes(8, "little")[:number >> (8 * SHORT)].decode()
 
 
 class PieceEncoder:
@@ -82,8 +122,8 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[str | int, bytes] = {}
+        self.old: dict[str | int, bytes] = {}
 
     @staticmethod
     def _check(path: str) -> None:
@@ -120,23 +160,32 @@ class PieceEncoder:
         found.update(zip(other, self._whole(other)))
         return {t: array("I", ids).tobytes() for t, ids in found.items()}
 
-    def _table(self, texts: list[str]) -> list[bytes]:
-        """The ids of each of the distinct pieces."""
+    def _table(self, names: list) -> list[bytes]:
+        """The ids of each of the distinct pieces, which are texts or numbers of short ones."""
         if len(self.young) > self.known:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        found = list(map(young.get, texts))
-        missing = [t for t, f in zip(texts, found) if f is None]
+        found = list(map(young.get, names))
+        missing = [t for t, f in zip(names, found) if f is None]
         if missing:
             young.update((t, old[t]) for t in missing if t in old)
-            young.update(self._learn([t for t in missing if t not in old]))
-            found = [young[t] for t in texts]
+            new = [t for t in missing if t not in old]
+            texts = [_spelled(t) if isinstance(t, int) else t for t in new]
+            learnt = self._learn(texts)
+            young.update(zip(new, map(learnt.__getitem__, texts)))
+            found = list(map(young.__getitem__, names))
         return found
 
     def _looked_up(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        first, found = pieces(part)
-        coded = found.dictionary_encode()
-        return first, coded.indices.to_numpy(zero_copy_only=False), self._table(coded.dictionary.to_pylist())
+        """First piece of each row, place of each piece in the table of distinct ones, and that table."""
+        cut = pieces(part)
+        short, numbers = cut.short()
+        code, distinct = pd.factorize(numbers)
+        coded = cut.strings(~short).dictionary_encode()
+        place = np.empty(len(short), np.int64)
+        place[short] = code
+        place[~short] = coded.indices.to_numpy(zero_copy_only=False) + len(distinct)
+        return cut.first, place, self._table(distinct.tolist() + coded.dictionary.to_pylist())
 
     def counts(self, part: pa.Array) -> np.ndarray:
         """Number of tokens of each row of a slice."""
