@@ -48,9 +48,20 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that no later pass reads, so that the shared folder holds only what is still in use."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            _path(table.sparkSession, folder, lambda system, target: system.delete(target, True))
+
+
+def _path(spark: SparkSession, path: str, act) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    act(target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    _path(spark, path, lambda system, target: system.deleteOnExit(target))
 
 
 def with_uid(df: DataFrame, **columns) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from . import tokens
 from . import words as W
-from .staging import _delete_at_exit, arrow_rows, shared_folder, staged
+from .staging import _delete_at_exit, arrow_rows, dropped, shared_folder, staged
 from .token_coding import Block, Coder, CorruptTokens, Shape, shared_frequencies
 
 FORMAT = "token_ids"
@@ -97,8 +97,8 @@ class _Committed(WriterCommitMessage):
 class TokenWriter(DataSourceArrowWriter):
     """Writes the rows of each partition (doc_id, ids), as they come, into one file."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, width: str):
+        self.path, self.width = path, np.dtype(width)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -123,9 +123,9 @@ class TokenWriter(DataSourceArrowWriter):
             for batch in iterator:
                 binary = batch.column("ids").cast(pa.large_binary())
                 data, offsets = W.raw(binary)
-                docs.append(pa.table([batch.column("doc_id"), pa.array(np.diff(offsets) // 4)], ["doc_id", "ids"]))
-                ids = data.view("<u4") if data.flags.aligned and not data.ctypes.data % 4 else np.frombuffer(data.tobytes(), "<u4")
-                waiting.append(ids.copy())
+                docs.append(pa.table([batch.column("doc_id"), pa.array(np.diff(offsets) // self.width.itemsize)], ["doc_id", "ids"]))
+                ids = np.frombuffer(data.tobytes(), self.width).astype(np.uint32)
+                waiting.append(ids)
                 held, total = held + len(ids), total + len(ids)
                 if held >= group:
                     flush(False)
@@ -222,35 +222,39 @@ class TokenIds(DataSource):
         return TokenReader(self.options["path"], schema)
 
     def writer(self, schema, overwrite):
-        return TokenWriter(self.options["path"])
+        return TokenWriter(self.options["path"], self.options.get("width", "<u4"))
 
 
-def encoded(docs: DataFrame, *, doc_id: str, text: str, end_id: int, vocabulary: str) -> DataFrame:
-    """doc_id, ids (end id last), n_tokens, tie (hash of the ids) and row (by position); staged."""
+def _width(vocabulary: str, end_id: int) -> str:
+    """Ids pass between the passes as little-endian unsigned numbers of 16 bits where all of them fit, else of 32."""
+    return "<u2" if max(tokens.encoder(vocabulary).ids, end_id + 1) <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, *, doc_id: str, text: str, end_id: int, vocabulary: str, width: str) -> DataFrame:
+    """doc_id, ids (end id last), tie (hash of the ids) and row (by position); staged."""
     def encode(batches):
-        encoder = tokens.encoder(vocabulary)
+        encoder, size = tokens.encoder(vocabulary), np.dtype(width).itemsize
         for batch in batches:
             for done, part in tokens.slices(batch.column("text")):
                 ids, offsets = encoder.encode(part)
-                ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
+                ids = np.insert(ids, offsets[1:], end_id).astype(width)
                 offsets = offsets + np.arange(len(offsets))
-                binary = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer((4 * offsets).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+                binary = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer((size * offsets).astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(part)), binary.cast(pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     with arrow_rows(docs.sparkSession, 2000):
         found = rows.mapInArrow(encode, T.StructType([rows.schema["doc_id"], T.StructField("ids", T.BinaryType())]))
-        return staged(found.select("doc_id", "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("tie"),
-                                   F.monotonically_increasing_id().alias("row")), "token-ids", "zstd")
+        return staged(found.select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row")), "token-ids", "zstd")
 
 
-def id_counts(stream: DataFrame) -> np.ndarray:
+def id_counts(stream: DataFrame, width: str) -> np.ndarray:
     """How often each id occurs in all rows: counted in tasks, summed by id; as many rows as different ids reach the driver."""
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = W.raw(batch.column("ids").cast(pa.large_binary()))
-            own = np.bincount(np.frombuffer(data.tobytes(), "<u4"))
+            own = np.bincount(np.frombuffer(data.tobytes(), width))
             if len(own) > len(total):
                 own, total = total, own.astype(np.int64)
             total[:len(own)] += own
@@ -265,23 +269,26 @@ def id_counts(stream: DataFrame) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, vocabulary: str | None = None,
-                      shape: Shape = Shape(), file_ids: int = 1 << 25) -> None:
+                      shape: Shape = Shape(), file_ids: int = 1 << 24) -> None:
     """The token ids of all documents in ascending order of doc_id, in files of about file_ids ids (fewer where that leaves cores idle)."""
     spark = docs.sparkSession
     system, place = file_system(path)
     if system.get_file_info(f"{place}/manifest.json").type != pafs.FileType.NotFound:
         raise ValueError(f"{path} holds token files")
     system.create_dir(place, recursive=True)
-    stream = encoded(docs, doc_id=doc_id, text=text, end_id=end_id, vocabulary=vocabulary or tokens.vocabulary_path())
-    counts = id_counts(stream)
+    vocabulary = vocabulary or tokens.vocabulary_path()
+    width = _width(vocabulary, end_id)
+    stream = encoded(docs, doc_id=doc_id, text=text, end_id=end_id, vocabulary=vocabulary, width=width)
+    counts = id_counts(stream, width)
     write_table(path, shared_frequencies(counts, shape.precision), shape)
     total = int(counts.sum())
     files = max(1, -(-total // file_ids), min(spark.sparkContext.defaultParallelism, -(-total // (GROUP_BLOCKS * shape.block))))
-    order = ("doc_id", "tie", "n_tokens", "row")
+    order = ("doc_id", "tie", "row")
     spark.dataSource.register(TokenIds)
     with arrow_rows(spark, 2000):
         ranged = stream.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-        ranged.write.format(FORMAT).option("path", path).mode("append").save()
+        ranged.write.format(FORMAT).option("path", path).option("width", width).mode("append").save()
+    dropped(stream)
 
 
 def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,16 @@ def _cuts(left: int, right: int) -> bool:
 _PAIR = bytes(_cuts(x >> 3, x & 7) for x in range(64)) + bytes(192)
 
 
+def _shown() -> dict[int, int]:
+    """The character that stands for each byte in the vocabulary: itself where Latin-1 shows it, else the next from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_SHOWN = _shown()
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
     return str(public_tokenizers.path(name))
@@ -120,7 +131,8 @@ class PieceEncoder:
         self.tokenizer, self.known, self.batch = Tokenizer.from_file(path), known, batch
         self._check(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ids = max(vocabulary.values()) + 1
+        self.word_end = np.zeros(self.ids, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[str | int, bytes] = {}
         self.old: dict[str | int, bytes] = {}
@@ -131,8 +143,10 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        split = [p.get("pattern", {}).get("Regex", "") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        if normal != ["NFC", "Replace", "Lowercase"] or not split or not split[0].endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") or spec["model"].get("end_of_word_suffix") != "</w>":
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = [p.get("pattern", {}).get("Regex", "") for p in steps]
+        letters = [p["type"] == "ByteLevel" and not p["add_prefix_space"] for p in steps[1:]] == [True]
+        if normal != ["NFC", "Replace", "Lowercase"] or not letters or not split[0].endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") or spec["model"].get("end_of_word_suffix") != "</w>":
             raise ValueError(f"{path}: not a vocabulary of words, single digits and marks in lower case")
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -152,10 +166,14 @@ class PieceEncoder:
         model, found = self.tokenizer.model, {}
         letters, other = [], []
         for t in texts:
-            if t.isascii() and t.isalpha() and t.islower():
+            if not t.isalpha():
+                other.append(t)
+            elif t.isascii() and t.islower():
                 found[t] = [x.id for x in model.tokenize(t)]
+            elif t == t.lower() and unicodedata.is_normalized("NFC", t):  # what the normaliser would leave as it is
+                found[t] = [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(_SHOWN))]
             else:
-                (letters if t.isalpha() else other).append(t)
+                letters.append(t)
         found.update(zip(letters, self._words(letters)))
         found.update(zip(other, self._whole(other)))
         return {t: array("I", ids).tobytes() for t, ids in found.items()}
