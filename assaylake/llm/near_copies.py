@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .staging import arrow_rows, staged
+from .staging import arrow_rows, settled, staged
 
 SHINGLE = 5
 @dataclass(frozen=True)
@@ -307,6 +307,10 @@ def near_classes(rows: DataFrame, text: str, bands: Bands, *, block: int = 2048,
 
     First every member of a bucket meets its hub; then buckets that still hold several classes are compared in full.
     """
+    return settled(rows.sparkSession, lambda: _near_classes(rows, text, bands, block, block_bytes))
+
+
+def _near_classes(rows: DataFrame, text: str, bands: Bands, block: int, block_bytes: int) -> DataFrame:
     members = rows.select("uid", "bytes", F.posexplode("buckets").alias("band", "bucket"))
     sizes = staged(members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1"), "sizes")
     shared = staged(members.drop("bytes").join(sizes, ["band", "bucket"]), "shared")
@@ -318,6 +322,10 @@ def near_classes(rows: DataFrame, text: str, bands: Bands, *, block: int = 2048,
 
 def classes(edges: DataFrame) -> DataFrame:
     """uid and label (the least uid of its class) of every linked row, by alternating large-star and small-star steps."""
+    return settled(edges.sparkSession, lambda: _contracted(edges))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     edges = staged(edges.select(F.greatest("uid", "other").alias("u"), F.least("uid", "other").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
@@ -335,6 +343,10 @@ def classes(edges: DataFrame) -> DataFrame:
 
 def _labelled(rows: DataFrame, text: str, doc_id: str | None, bands: Bands) -> DataFrame:
     """key, label (uid of the document that stays), class size and least id of each distinct word sequence; staged."""
+    return settled(rows.sparkSession, lambda: _labels(rows, text, doc_id, bands))
+
+
+def _labels(rows: DataFrame, text: str, doc_id: str | None, bands: Bands) -> DataFrame:
     ids = [F.min(f"doc.{doc_id}").alias("id")] if doc_id else []
     copies = staged(rows.groupBy("key").agg(F.min("uid").alias("uid"), F.count("*").alias("n"), *ids), "copies")
     distinct = rows.join(copies.select("uid"), "uid", "left_semi")
@@ -356,4 +368,5 @@ def without_near_copies(docs: DataFrame, *, text: str = "text", bands: Bands = B
     """One document of each class (the first by row), columns as given."""
     rows = signed(docs, text, bands)
     labelled = _labelled(rows, text, None, bands)
-    return rows.join(labelled.select(F.col("label").alias("uid")).distinct(), "uid", "left_semi").select("doc.*")
+    kept = labelled.select(F.col("label").alias("uid")).distinct()  # grows with the documents: never broadcast
+    return rows.join(kept.hint("merge"), "uid", "left_semi").select("doc.*")

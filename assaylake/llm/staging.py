@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONF = "spark.checkpoint.dir"
+#: Folders staged inside `recorded`, so that they can go before the session ends.
+_MADE: ContextVar[list[str] | None] = ContextVar("staged_folders", default=None)
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -45,14 +49,45 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _delete_at_exit(spark, path)
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete staged tables that no later pass reads, so that the shared folder holds only what is still in use."""
-    for table in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            _path(table.sparkSession, folder, lambda system, target: system.delete(target, True))
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are staged inside."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def _folders(table: DataFrame) -> set[str]:
+    """Names of the folders a table reads; staged ones have names of their own."""
+    return {file.rsplit("/", 2)[-2] for file in table.inputFiles()}
+
+
+def release(spark: SparkSession, folders: list[str], *readers: DataFrame) -> list[str]:
+    """Delete staged folders that none of the readers reads; gives those that stay."""
+    used = set().union(*(_folders(r) for r in readers)) if folders else set()
+    stay = [f for f in folders if f.rsplit("/", 1)[-1] in used]
+    for folder in folders:
+        if folder not in stay:
+            _path(spark, folder, lambda system, target: system.delete(target, True))
+    return stay
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), whose last step is staged; what it staged on the way is deleted."""
+    with recorded() as made:
+        out = make()
+    stay = release(spark, made, out)
+    if _MADE.get() is not None:
+        _MADE.get().extend(stay)
+    return out
 
 
 def _path(spark: SparkSession, path: str, act) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from . import tokens
 from . import words as W
-from .staging import _delete_at_exit, arrow_rows, dropped, shared_folder, staged
+from .staging import _delete_at_exit, arrow_rows, recorded, release, shared_folder, staged
 from .token_coding import Block, Coder, CorruptTokens, Shape, shared_frequencies
 
 FORMAT = "token_ids"
@@ -278,7 +278,8 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     system.create_dir(place, recursive=True)
     vocabulary = vocabulary or tokens.vocabulary_path()
     width = _width(vocabulary, end_id)
-    stream = encoded(docs, doc_id=doc_id, text=text, end_id=end_id, vocabulary=vocabulary, width=width)
+    with recorded() as made:
+        stream = encoded(docs, doc_id=doc_id, text=text, end_id=end_id, vocabulary=vocabulary, width=width)
     counts = id_counts(stream, width)
     write_table(path, shared_frequencies(counts, shape.precision), shape)
     total = int(counts.sum())
@@ -288,7 +289,7 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     with arrow_rows(spark, 2000):
         ranged = stream.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "ids")
         ranged.write.format(FORMAT).option("path", path).option("width", width).mode("append").save()
-    dropped(stream)
+    release(spark, made)
 
 
 def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
