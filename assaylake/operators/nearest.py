@@ -1,92 +1,89 @@
-"""A4 distance to a trusted reference population: exact cosine nearest neighbour in blocks."""
+"""A4 distance to a trusted reference population: exact cosine nearest neighbour by ball bounds.
+
+Equal reference vectors are one indexed point that carries its lowest index and its count, so copies cost one
+comparison. Vectors of length zero have distance 1 to everything and stay outside the index.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
-from .hamming import block_count
+from ..functions.numeric import let, norm
+from ..session import cut_lineage
 from .keyed import attach_scalars
+from .metric_balls import BLOCK_ROWS, Balls, build_balls, nearest
 
-BLOCK_ROWS = 16_384
-_SLICE = 256
-
-
-def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-    length = np.linalg.norm(matrix, axis=1)
-    return matrix / np.where(length > 0, length, 1.0)[:, None], length > 0
-
-
-def _nearest_in_block(candidates: pd.DataFrame, reference: pd.DataFrame, leave_one_out: bool) -> pd.DataFrame:
-    if candidates.empty or reference.empty:
-        return pd.DataFrame({"id": [], "distance": [], "ref_index": []})
-    reference = reference.sort_values("ref_index", kind="stable")
-    index = reference["ref_index"].to_numpy()
-    right, right_ok = _unit(reference["features"])
-    left, left_ok = _unit(candidates["features"])
-    ids = candidates["id"].to_numpy()
-    nearest, where = [], []
-    for start in range(0, len(ids), _SLICE):
-        part = slice(start, start + _SLICE)
-        distance = 1.0 - np.clip(left[part] @ right.T, -1.0, 1.0)
-        distance[~left_ok[part], :] = 1.0
-        distance[:, ~right_ok] = 1.0
-        distance = np.round(distance, 12)
-        if leave_one_out:
-            distance[ids[part][:, None] == index[None, :]] = np.inf
-        best = distance.argmin(axis=1)
-        nearest.append(distance[np.arange(len(best)), best])
-        where.append(index[best])
-    result = pd.DataFrame({"id": ids, "distance": np.concatenate(nearest), "ref_index": np.concatenate(where)})
-    return result[np.isfinite(result["distance"])]
-
-
-def nearest_reference(candidates: DataFrame, reference: DataFrame, *, leave_one_out: bool = False,
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Nearest reference row of each candidate: `id, distance, ref_index`; ties go to the lowest index.
-
-    Candidates are `id, features`, the reference is `ref_index, features`. Both sides are cut into
-    hashed blocks; each block pair is one matrix product that keeps one row per candidate, and the
-    minimum over blocks is an ordinary aggregation.
-    """
-    parallel = shuffle_partitions(candidates.sparkSession)
-    total = candidates.count()
-    refs = block_count(reference.count(), block_rows)
-    cands = max(block_count(total, block_rows), min(parallel, block_count(total, _SLICE)))
-    left = (candidates.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(cands)).cast("int").alias("cb"))
-            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(refs - 1)))))
-    right = (reference.select("ref_index", "features", F.pmod(F.xxhash64("ref_index"), F.lit(refs)).cast("int").alias("rb"))
-             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cands - 1)))))
-    id_type = candidates.schema["id"].dataType.simpleString()
+_FAR = 1.0
+
+
+def _unit(features: Column) -> Column:
+    """The vector with length 1; null for a zero vector."""
+    return let(features.cast("array<double>"), lambda x: let(norm(x), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n))))
+
+
+def _points(reference: DataFrame) -> DataFrame:
+    """`v, point (lowest index), count` of each distinct reference vector; staged."""
+    grouped = reference.groupBy("features").agg(F.min("ref_index").alias("point"), F.count(F.lit(1)).alias("count"))
+    return cut_lineage(grouped.select(_unit(F.col("features")).alias("v"), "point", "count"))
 
-    def kernel(c: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return _nearest_in_block(c, r, leave_one_out)
 
-    parts = (left.groupBy("cb", "rb").cogroup(right.groupBy("cb", "rb"))
-             .applyInPandas(kernel, f"id {id_type}, distance double, ref_index bigint"))
-    best = parts.groupBy("id").agg(F.min(F.struct("distance", "ref_index")).alias("best"))
-    return best.select("id", "best.distance", "best.ref_index")
+def _index(points: DataFrame, block_rows: int) -> Balls | None:
+    usable = points.where("v is not null")
+    return None if usable.isEmpty() else build_balls(usable, ball_rows=min(1024, block_rows), block_rows=block_rows)
+
+
+def nearest_reference(candidates: DataFrame, reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Nearest reference row of each candidate: `id, distance, ref_index, compared`; ties go to the lowest index.
+
+    Candidates are `id, features` with ids of their own, the reference is `ref_index, features`; `compared` counts the
+    distinct reference vectors a candidate met. An empty reference gives no row.
+    """
+    points = _points(reference)
+    balls = _index(points, block_rows)
+    queries = cut_lineage(candidates.select("id", _unit(F.col("features")).alias("v")))
+    lowest = points.agg(F.min(F.when(F.col("v").isNull(), F.col("point"))).alias("zero"), F.min("point").alias("any"))
+    zero = attach_scalars(queries.where("v is null").select("id"), lowest.select("any")).where("any is not null").select(
+        "id", F.lit(_FAR).alias("distance"), F.col("any").alias("ref_index"), F.lit(0).cast("long").alias("compared"))
+    usable = queries.where("v is not null")
+    if balls is None:
+        rest = attach_scalars(usable.select("id"), lowest.select("zero")).where("zero is not null")
+        return zero.unionByName(rest.select("id", F.lit(_FAR).alias("distance"), F.col("zero").alias("ref_index"), F.lit(0).cast("long").alias("compared")))
+    found = attach_scalars(nearest(usable, balls, block_rows=block_rows), lowest.select("zero"))
+    own, other = F.struct("distance", "point"), F.struct(F.lit(_FAR).alias("distance"), F.col("zero").alias("point"))
+    best = F.when(F.col("zero").isNotNull() & (other < own), other).otherwise(own)
+    return found.select("id", best["distance"].alias("distance"), best["point"].alias("ref_index"), "compared").unionByName(zero)
+
+
+def leave_one_out(reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`point, count, distance` of each distinct reference vector to its nearest other reference row (0 where it occurs twice)."""
+    points = _points(reference)
+    zero = F.col("v").isNull()
+    alone = points.where((F.col("count") == 1) & ~zero)
+    apart = points.where(~((F.col("count") == 1) & ~zero)).select("point", "count", F.when(zero, F.lit(_FAR)).otherwise(F.lit(0.0)).alias("distance"))
+    balls = _index(points, block_rows)
+    if balls is None:
+        return apart
+    near = nearest(alone.select(F.col("point").alias("id"), "v"), balls, own=True, block_rows=block_rows)
+    zeros = points.agg(F.count_if(zero).alias("zeros"))
+    near = attach_scalars(near, zeros).select(F.col("id").alias("point"), F.lit(1).cast("long").alias("count"),
+                                              F.when(F.col("zeros") > 0, F.least("distance", F.lit(_FAR))).otherwise(F.col("distance")).alias("distance"))
+    return apart.unionByName(near)
 
 
 def fit_reference(reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A4.3 one row `reference_count, threshold`: the largest leave-one-out nearest distance, as float32."""
-    if reference.count() < 2:
+    if reference.limit(2).count() < 2:
         raise ValueError("at least two reference rows are required")
-    own = reference.select(F.col("ref_index").alias("id"), "features")
-    nearest = nearest_reference(own, reference, leave_one_out=True, block_rows=block_rows)
-    return nearest.agg(F.count(F.lit(1)).alias("reference_count"),
-                       F.max(F.col("distance").cast("float")).cast("double").alias("threshold"))
+    return leave_one_out(reference, block_rows=block_rows).agg(
+        F.sum("count").alias("reference_count"), F.max(F.col("distance").cast("float")).cast("double").alias("threshold"))
 
 
 def assess_candidates(candidates: DataFrame, reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A4.4 `id, ref_index, distance, threshold, potential_ood` with a strict comparison."""
-    fitted = fit_reference(reference, block_rows=block_rows).select("threshold")
-    nearest = nearest_reference(candidates, reference, block_rows=block_rows)
-    return (attach_scalars(nearest, fitted)
+    fitted = cut_lineage(fit_reference(reference, block_rows=block_rows).select("threshold"))
+    found = nearest_reference(candidates, reference, block_rows=block_rows)
+    return (attach_scalars(found, fitted)
             .withColumn("potential_ood", F.col("distance") > F.col("threshold"))
             .select("id", F.col("ref_index").alias("nearest_reference_index"), "distance", "threshold", "potential_ood"))
 
@@ -95,3 +92,10 @@ def assessment_totals(results: DataFrame) -> DataFrame:
     """A4.5 totals; an empty candidate set gives zeros."""
     return results.agg(F.count(F.lit(1)).alias("candidate_count"),
                        F.count_if("potential_ood").alias("potential_ood_count"))
+
+
+def visited_share(found: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row: candidates, distinct reference vectors, and the comparisons made against those of a full search."""
+    distinct = reference.select("features").distinct().agg(F.count(F.lit(1)).alias("reference_vectors"))
+    made = found.agg(F.count(F.lit(1)).alias("candidate_count"), F.sum("compared").alias("comparisons"))
+    return attach_scalars(made, distinct).withColumn("share", F.col("comparisons") / (F.col("candidate_count") * F.col("reference_vectors")))

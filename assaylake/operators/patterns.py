@@ -6,6 +6,7 @@ falling peak, y0, x0. A null descriptor belongs to no pattern.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,36 +15,37 @@ from ..functions.numeric import ratio
 from ..functions.statistics import hypergeometric_tail_udf
 from ..functions.text import zone
 from ..session import cut_lineage
+from .components import connected_components
 from .hamming import BUCKET_ROWS, hamming_pairs
 from .keyed import attach_scalars, lookup_by_key
 from .ordering import number_rows
 
+#: Edges of a component that one task settles.
+TASK_EDGES = 1_000_000
+
 
 def _turn() -> Column:
     return F.struct(F.col("file"), (-F.col("peak_hf")).alias("fall"), F.col("y0"), F.col("x0"), F.col("region_no"))
 
 
-def first_fit_leaders(candidates: DataFrame, config: PatternConfig = PatternConfig(), *,
-                      bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """A8.4 `descriptor, leader`: the same assignment as joining the first cluster that is close enough.
+def _settled_in_task(edges: pd.DataFrame) -> pd.DataFrame:
+    """First fit over one component: `descriptor, leader` of every node. Edges are `later, earlier` with their ranks."""
+    earlier: dict[int, list[tuple[int, int]]] = {}
+    rank = dict(zip(edges["earlier"], edges["earlier_rank"]))
+    rank.update(zip(edges["later"], edges["later_rank"]))
+    for node, other, place in zip(edges["later"], edges["earlier"], edges["earlier_rank"]):
+        earlier.setdefault(node, []).append((place, other))
+    leader: dict[int, int] = {}
+    for node in sorted(rank, key=rank.get):
+        fits = [(place, other) for place, other in earlier.get(node, ()) if leader[other] == other]
+        leader[node] = min(fits)[1] if fits else node
+    return pd.DataFrame({"descriptor": list(leader), "leader": list(leader.values())}, dtype="int64")
 
-    In order of first appearance a descriptor leads when no earlier leader is within the tolerance;
-    everyone else follows their earliest leader. Each round settles every descriptor whose earlier
-    neighbours are settled, and its result is written before the next one.
-    """
-    first = (candidates.where("descriptor is not null").groupBy("descriptor").agg(F.min(_turn()).alias("turn")))
-    first = cut_lineage(first)
-    pairs = hamming_pairs(first, config.hamming_tolerance, column="descriptor", bucket_rows=bucket_rows)
-    a = first.select(F.col("descriptor").alias("hash_a"), F.col("turn").alias("turn_a"))
-    b = first.select(F.col("descriptor").alias("hash_b"), F.col("turn").alias("turn_b"))
-    earlier_a = F.col("turn_a") < F.col("turn_b")
-    edges = cut_lineage(pairs.join(a, "hash_a").join(b, "hash_b").select(
-        F.when(earlier_a, F.col("hash_b")).otherwise(F.col("hash_a")).alias("later"),
-        F.when(earlier_a, F.col("hash_a")).otherwise(F.col("hash_b")).alias("earlier"),
-        F.least("turn_a", "turn_b").alias("earlier_turn")))
-    # descriptors without an earlier neighbour lead at once
+
+def _settled_in_rounds(edges: DataFrame) -> DataFrame:
+    """The same for components beyond one task: each round settles every node whose earlier neighbours are settled."""
     waiting = edges.select(F.col("later").alias("descriptor")).distinct()
-    leaders = first.select("descriptor").join(waiting, "descriptor", "left_anti")
+    leaders = edges.select(F.col("earlier").alias("descriptor")).distinct().join(waiting, "descriptor", "left_anti")
     open_rows = waiting
     while True:
         followers = (edges.join(leaders.select(F.col("descriptor").alias("earlier")), "earlier", "left_semi")
@@ -57,13 +59,44 @@ def first_fit_leaders(candidates: DataFrame, config: PatternConfig = PatternConf
         leaders = cut_lineage(leaders.unionByName(fresh))
         open_rows = open_rows.join(leaders, "descriptor", "left_anti")
     earliest = (edges.join(leaders.select(F.col("descriptor").alias("earlier")), "earlier", "left_semi")
-                .groupBy(F.col("later").alias("descriptor"))
-                .agg(F.min(F.struct("earlier_turn", "earlier")).alias("best"))
-                .select("descriptor", F.col("best.earlier").alias("leader")))
+                .groupBy(F.col("later").alias("descriptor")).agg(F.min_by("earlier", "earlier_rank").alias("leader")))
     own = leaders.select("descriptor", F.col("descriptor").alias("leader"))
     return own.unionByName(earliest.join(leaders, "descriptor", "left_anti"))
 
 
+def first_fit_leaders(candidates: DataFrame, config: PatternConfig = PatternConfig(), *,
+                      bucket_rows: int = BUCKET_ROWS, task_edges: int = TASK_EDGES) -> DataFrame:
+    """A8.4 `descriptor, leader`: the same assignment as joining the first cluster that is close enough.
+
+    In order of first appearance a descriptor leads when no earlier leader is within the tolerance;
+    everyone else follows their earliest leader. Only descriptors of one connected component decide on each other, so
+    components of up to `task_edges` edges are settled one by one inside tasks, long chains included; only larger ones
+    take rounds over the whole table.
+    """
+    turns = candidates.where("descriptor is not null").groupBy("descriptor").agg(F.min(_turn()).alias("turn"))
+    first = cut_lineage(number_rows(turns, [F.col("turn")], "rank").select("descriptor", "rank"))
+    pairs = hamming_pairs(first, config.hamming_tolerance, column="descriptor", bucket_rows=bucket_rows)
+    a = first.select(F.col("descriptor").alias("hash_a"), F.col("rank").alias("rank_a"))
+    b = first.select(F.col("descriptor").alias("hash_b"), F.col("rank").alias("rank_b"))
+    earlier_a = F.col("rank_a") < F.col("rank_b")
+    edges = cut_lineage(pairs.join(a, "hash_a").join(b, "hash_b").select(
+        F.when(earlier_a, F.col("hash_b")).otherwise(F.col("hash_a")).alias("later"),
+        F.when(earlier_a, F.col("hash_a")).otherwise(F.col("hash_b")).alias("earlier"),
+        F.greatest("rank_a", "rank_b").alias("later_rank"), F.least("rank_a", "rank_b").alias("earlier_rank")))
+    component = connected_components(edges, "later", "earlier")
+    placed = edges.join(component.withColumnRenamed("node", "later"), "later")
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut_lineage(lookup_by_key(placed, sizes, ["component"], size="_n", spread=[F.col("later"), F.col("earlier")]))
+    settled = placed.where(F.col("_n") <= task_edges).drop("_n").groupBy("component").applyInPandas(
+        _settled_in_task, "descriptor long, leader long")
+    giant = placed.where(F.col("_n") > task_edges)
+    if not giant.isEmpty():
+        settled = settled.unionByName(_settled_in_rounds(giant.drop("_n", "component")))
+    settled = cut_lineage(settled)
+    alone = first.select("descriptor").join(settled, "descriptor", "left_anti")
+    return settled.unionByName(alone.select("descriptor", F.col("descriptor").alias("leader")))
+
+
 def assign_leaders(candidates: DataFrame, leaders: DataFrame) -> DataFrame:
     """Candidates with their pattern leader (null without a descriptor)."""
     sizes = candidates.groupBy("descriptor").agg(F.count(F.lit(1)).alias("_n"))

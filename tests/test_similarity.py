@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.config import PatternConfig
 from assaylake.functions.statistics import exact_median, hypergeometric_tail
-from assaylake.operators import hamming, labels, near_duplicates, nearest, patterns
+from assaylake.operators import components, hamming, labels, metric_balls, near_duplicates, nearest, patterns
 
 
 def _signed(v):
@@ -47,7 +47,8 @@ def test_near_duplicate_pairs_stand_for_all_file_pairs(spark):
     assert (report["images_hashed"], report["images_skipped"], report["near_duplicate_pair_count"]) == (4, 1, 3)
 
 
-def test_first_fit_equals_sequential_loop(spark):
+@pytest.mark.parametrize("task_edges", [1_000_000, 3])
+def test_first_fit_equals_sequential_loop(spark, task_edges):
     rng, hashes = random.Random(3), _hashes(3)
     rows = [(f"f{rng.randrange(60):02d}", i, float(rng.randrange(20, 60)), rng.randrange(10), rng.randrange(10), 0.5, 0.5,
              rng.choice(hashes) if rng.random() < 0.9 else None) for i in range(150)]
@@ -59,7 +60,7 @@ def test_first_fit_equals_sequential_loop(spark):
                 leaders.append(r[7])
             expected[(r[0], r[1])] = r[7] if hit is None else hit
     df = spark.createDataFrame(rows, "file string, region_no int, peak_hf double, y0 int, x0 int, cx double, cy double, descriptor long")
-    assigned = patterns.assign_leaders(df, patterns.first_fit_leaders(df, PatternConfig()))
+    assigned = patterns.assign_leaders(df, patterns.first_fit_leaders(df, PatternConfig(), task_edges=task_edges))
     assert {(r["file"], r["region_no"]): r["leader"] for r in assigned.collect() if r["leader"] is not None} == expected
 
 
@@ -121,3 +122,67 @@ def test_conflicts_count_copies_once_per_profile_pair(spark):
     df = spark.createDataFrame(rows, "image string, hash long, class_set array<int>, features array<double>")
     found = labels.conflicting_profiles(labels.label_profiles(df)).agg(F.sum("conflict_pairs")).first()[0]
     assert found == 12
+
+
+def test_first_fit_on_a_long_path_takes_few_jobs(spark, monkeypatch):
+    """Each descriptor is close to the next one only: 10,000 of them, every second leads."""
+    path = spark.range(10_000).select(F.format_string("f%05d", "id").alias("file"), F.col("id").alias("descriptor"))
+    pairs = spark.range(9_999).select(F.col("id").alias("hash_a"), (F.col("id") + 1).alias("hash_b"))
+    monkeypatch.setattr(patterns, "hamming_pairs", lambda *a, **k: pairs)
+    rows = path.selectExpr("file", "0 as region_no", "1.0 as peak_hf", "0 as y0", "0 as x0", "descriptor")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    found = {r["descriptor"]: r["leader"] for r in patterns.first_fit_leaders(rows).collect()}
+    jobs = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+    assert found == {i: i - i % 2 for i in range(10_000)} and jobs < 400
+
+
+def test_connected_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(300)]
+    label = {}
+
+    def top(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            label[high] = low
+    found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == {x: top(x) for x in list(label)}
+
+
+@pytest.mark.parametrize("dims,ball_rows,block_rows", [(3, 20, 15), (6, 7, 10_000), (2, 50, 8)])
+def test_ball_search_equals_full_search(spark, dims, ball_rows, block_rows):
+    """Clusters, copies, opposite and equal directions; every row's nearest other one and every candidate's."""
+    rng = np.random.default_rng(dims)
+    centres = rng.normal(size=(9, dims))
+    x = np.concatenate([centres[rng.integers(9, size=700)] + rng.normal(size=(700, dims)) * 0.05, -centres, np.repeat(centres[:2], 200, 0), 3 * centres[:3]])
+    v = x / np.linalg.norm(x, axis=1)[:, None]
+    points = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v[:900])], "point long, v array<double>")
+    queries = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v[900:])], "id long, v array<double>")
+    balls = metric_balls.build_balls(points, ball_rows=ball_rows, block_rows=block_rows)
+    full = metric_balls.cosine_distances(v[900:], v[:900])
+    for r in metric_balls.nearest(queries, balls, block_rows=block_rows).collect():
+        assert (r["distance"], r["point"]) == (full[r["id"]].min(), full[r["id"]].argmin()) and 0 < r["compared"] <= 900
+    own = metric_balls.cosine_distances(v[:900], v[:900])
+    np.fill_diagonal(own, np.inf)
+    found = metric_balls.nearest(points.withColumnRenamed("point", "id"), balls, own=True, block_rows=block_rows).collect()
+    assert len(found) == 900 and all((r["distance"], r["point"]) == (own[r["id"]].min(), own[r["id"]].argmin()) for r in found)
+    assert sum(r["compared"] for r in found) < 0.6 * 900 * 900
+
+
+def test_nearest_with_zero_vectors_copies_and_an_empty_reference(spark):
+    schema = "id long, features array<double>"
+    reference = spark.createDataFrame([(4, [0.0, 0.0]), (7, [1.0, 0.0]), (9, [1.0, 0.0]), (2, [0.0, 1.0])], "ref_index long, features array<double>")
+    candidates = spark.createDataFrame([(1, [-1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0])], schema)
+    found = {r["id"]: (r["distance"], r["ref_index"]) for r in nearest.nearest_reference(candidates, reference).collect()}
+    assert found == {1: (1.0, 2), 2: (0.0, 7), 3: (1.0, 2)}
+    assert nearest.fit_reference(reference).first().asDict() == {"reference_count": 4, "threshold": 1.0}
+    assert nearest.nearest_reference(candidates, reference.limit(0)).count() == 0
+    totals = nearest.assessment_totals(nearest.assess_candidates(candidates.limit(0), reference)).first()
+    assert (totals["candidate_count"], totals["potential_ood_count"]) == (0, 0)
+    zeros = nearest.nearest_reference(candidates, reference.where("ref_index = 4")).collect()
+    assert {(r["id"], r["distance"], r["ref_index"]) for r in zeros} == {(1, 1.0, 4), (2, 1.0, 4), (3, 1.0, 4)}
