@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from . import tokens
 from . import words as W
-from .staging import staged
+from .staging import arrow_rows, staged
 
 _ENCODED = "part int, local_start long, doc_tokens long, ids binary"
 
@@ -47,7 +47,8 @@ def encoded(docs: DataFrame, *, doc_id: str, text: str, end_id: int, vocabulary:
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string(_ENCODED).fields])
-    return staged(rows.mapInArrow(encode, schema), "encoded", "zstd")
+    with arrow_rows(docs.sparkSession, 4000):
+        return staged(rows.mapInArrow(encode, schema), "encoded", "zstd")
 
 
 def packed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1, vocabulary: str | None = None) -> DataFrame:
