@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import let, norm
 from ..session import cut_lineage
 from .keyed import attach_scalars
-from .metric_balls import BLOCK_ROWS, Balls, build_balls, nearest
+from .metric_balls import BALL_ROWS, BLOCK_ROWS, Balls, build_balls, nearest
 
 _FAR = 1.0
 
@@ -28,19 +28,19 @@ def _points(reference: DataFrame) -> DataFrame:
     return cut_lineage(grouped.select(_unit(F.col("features")).alias("v"), "point", "count"))
 
 
-def _index(points: DataFrame, block_rows: int) -> Balls | None:
+def _index(points: DataFrame, ball_rows: int, block_rows: int) -> Balls | None:
     usable = points.where("v is not null")
-    return None if usable.isEmpty() else build_balls(usable, ball_rows=min(1024, block_rows), block_rows=block_rows)
+    return None if usable.isEmpty() else build_balls(usable, ball_rows=min(ball_rows, block_rows), block_rows=block_rows)
 
 
-def nearest_reference(candidates: DataFrame, reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_reference(candidates: DataFrame, reference: DataFrame, *, ball_rows: int = BALL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Nearest reference row of each candidate: `id, distance, ref_index, compared`; ties go to the lowest index.
 
     Candidates are `id, features` with ids of their own, the reference is `ref_index, features`; `compared` counts the
     distinct reference vectors a candidate met. An empty reference gives no row.
     """
     points = _points(reference)
-    balls = _index(points, block_rows)
+    balls = _index(points, ball_rows, block_rows)
     queries = cut_lineage(candidates.select("id", _unit(F.col("features")).alias("v")))
     lowest = points.agg(F.min(F.when(F.col("v").isNull(), F.col("point"))).alias("zero"), F.min("point").alias("any"))
     zero = attach_scalars(queries.where("v is null").select("id"), lowest.select("any")).where("any is not null").select(
@@ -55,13 +55,13 @@ def nearest_reference(candidates: DataFrame, reference: DataFrame, *, block_rows
     return found.select("id", best["distance"].alias("distance"), best["point"].alias("ref_index"), "compared").unionByName(zero)
 
 
-def leave_one_out(reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def leave_one_out(reference: DataFrame, *, ball_rows: int = BALL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`point, count, distance` of each distinct reference vector to its nearest other reference row (0 where it occurs twice)."""
     points = _points(reference)
     zero = F.col("v").isNull()
     alone = points.where((F.col("count") == 1) & ~zero)
     apart = points.where(~((F.col("count") == 1) & ~zero)).select("point", "count", F.when(zero, F.lit(_FAR)).otherwise(F.lit(0.0)).alias("distance"))
-    balls = _index(points, block_rows)
+    balls = _index(points, ball_rows, block_rows)
     if balls is None:
         return apart
     near = nearest(alone.select(F.col("point").alias("id"), "v"), balls, own=True, block_rows=block_rows)
@@ -71,18 +71,18 @@ def leave_one_out(reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> Data
     return apart.unionByName(near)
 
 
-def fit_reference(reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def fit_reference(reference: DataFrame, *, ball_rows: int = BALL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A4.3 one row `reference_count, threshold`: the largest leave-one-out nearest distance, as float32."""
     if reference.limit(2).count() < 2:
         raise ValueError("at least two reference rows are required")
-    return leave_one_out(reference, block_rows=block_rows).agg(
+    return leave_one_out(reference, ball_rows=ball_rows, block_rows=block_rows).agg(
         F.sum("count").alias("reference_count"), F.max(F.col("distance").cast("float")).cast("double").alias("threshold"))
 
 
-def assess_candidates(candidates: DataFrame, reference: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def assess_candidates(candidates: DataFrame, reference: DataFrame, *, ball_rows: int = BALL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A4.4 `id, ref_index, distance, threshold, potential_ood` with a strict comparison."""
-    fitted = cut_lineage(fit_reference(reference, block_rows=block_rows).select("threshold"))
-    found = nearest_reference(candidates, reference, block_rows=block_rows)
+    fitted = cut_lineage(fit_reference(reference, ball_rows=ball_rows, block_rows=block_rows).select("threshold"))
+    found = nearest_reference(candidates, reference, ball_rows=ball_rows, block_rows=block_rows)
     return (attach_scalars(found, fitted)
             .withColumn("potential_ood", F.col("distance") > F.col("threshold"))
             .select("id", F.col("ref_index").alias("nearest_reference_index"), "distance", "threshold", "potential_ood"))

@@ -60,14 +60,14 @@ def with_headers(headers: DataFrame, stats: DataFrame, keys: tuple[str, ...] = (
     return headers.join(stats, list(keys), "left").fillna(0, counts)
 
 
-def tensor_digests(chunks: DataFrame, headers: DataFrame, *, decimals: int | None = None, fan_out: int = FAN_OUT) -> DataFrame:
+def tensor_digests(chunks: DataFrame, headers: DataFrame, *, fan_out: int = FAN_OUT) -> DataFrame:
     """B3.1 digest per tensor over dtype, shape and all values in chunk order, as hexadecimal text that keeps every bit.
 
-    With `decimals`, values enter with so many decimals, and smaller changes do not show. Each chunk is hashed where it lies, the chunk digests by tree_digest, and dtype and shape enter the final hash.
+    Each chunk is hashed where it lies, the chunk digests by tree_digest, and dtype and shape enter the final hash.
     """
     def text(v: Column) -> Column:
         return (F.when(F.isnan(v), "nan").when(v == _INF, "inf").when(v == -_INF, "-inf")
-                .otherwise(F.format_string("%a" if decimals is None else f"%.{decimals}f", v)))
+                .otherwise(F.format_string("%a", v)))
 
     item = F.concat(F.lit('"'), sha256_text(F.array_join(F.transform("values", text), ",")), F.lit('"'))
     tree = tree_digest(chunks.select("model_id", "tensor_name", F.col("chunk_no").alias("idx"), item.alias("item")),

@@ -237,25 +237,23 @@ def b3_rank_distribution(t: Tables):
     return ts.rank_distribution(_headers(t))
 
 
-@query("b3_tensor_digests", with_sql(inputs.CHUNKS, _HEADERS, """hashed AS (
+_TENSOR_DIGESTS = with_sql(inputs.CHUNKS, _HEADERS, """hashed AS (
   SELECT model_id, tensor_name, chunk_no AS i, '"' || sha256(list_aggregate(list_transform(vals, lambda x: CASE WHEN isnan(x) THEN 'nan' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'inf' ELSE '-inf' END
-    ELSE printf('%.12f', x) END), 'string_agg', ',')) || '"' AS item FROM chunks),
+    ELSE replace(regexp_replace(printf('%a', x), '(0x[01])p', '\\1.0p'), 'p+', 'p') END), 'string_agg', ',')) || '"' AS item FROM chunks),
 runs AS (SELECT model_id, tensor_name, i // 4096 AS run, '"' || sha256('[' || string_agg(item, ',' ORDER BY i) || ']') || '"' AS item FROM hashed GROUP BY ALL),
 blocks AS (SELECT model_id, tensor_name, run // 4096 AS block, '"' || sha256('[' || string_agg(item, ',' ORDER BY run) || ']') || '"' AS item FROM runs GROUP BY ALL),
 trees AS (SELECT model_id, tensor_name, sha256('[' || string_agg(item, ',' ORDER BY block) || ']') AS digest FROM blocks GROUP BY ALL)""", """
-SELECT model_id, tensor_name, sha256('float64|[' || r || ',' || c || ']|' || digest) AS digest_sha256 FROM trees JOIN headers USING (model_id, tensor_name)"""))
+SELECT model_id, tensor_name, sha256('float64|[' || r || ',' || c || ']|' || digest) AS digest_sha256 FROM trees JOIN headers USING (model_id, tensor_name)""")
+
+
+@query("b3_tensor_digests", _TENSOR_DIGESTS)
 def b3_tensor_digests(t: Tables):
-    return ts.tensor_digests(inputs.chunks(t), _headers(t), decimals=12)  # as its SQL
+    return ts.tensor_digests(inputs.chunks(t), _headers(t))
 
 
-@query("b3_tensor_exact_digests", with_sql(inputs.CHUNKS, _HEADERS, """hashed AS (
-  SELECT model_id, tensor_name, chunk_no AS i, '"' || sha256(list_aggregate(list_transform(vals, lambda x: CASE WHEN isnan(x) THEN 'nan' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'inf' ELSE '-inf' END
-    ELSE replace(regexp_replace(printf('%a', x), '(0x[01])p', '\\1.0p'), 'p+', 'p') END), 'string_agg', ',')) || '"' AS item FROM chunks),
-runs AS (SELECT model_id, tensor_name, i // 4096 AS run, '"' || sha256('[' || string_agg(item, ',' ORDER BY i) || ']') || '"' AS item FROM hashed GROUP BY ALL),
-blocks AS (SELECT model_id, tensor_name, run // 4096 AS block, '"' || sha256('[' || string_agg(item, ',' ORDER BY run) || ']') || '"' AS item FROM runs GROUP BY ALL),
-trees AS (SELECT model_id, tensor_name, sha256('[' || string_agg(item, ',' ORDER BY block) || ']') AS digest FROM blocks GROUP BY ALL)""", """
-SELECT model_id, tensor_name, sha256('float64|[' || r || ',' || c || ']|' || digest) AS digest_sha256 FROM trees JOIN headers USING (model_id, tensor_name)"""))
+@query("b3_tensor_exact_digests", _TENSOR_DIGESTS)
 def b3_tensor_exact_digests(t: Tables):
+    """The same under the name of the round before."""
     return ts.tensor_digests(inputs.chunks(t), _headers(t))
 
 
