@@ -125,9 +125,9 @@ def previous_value(rows: DataFrame, column: str, name: str, *, run_rows: int = R
     return joined.withColumn(name, F.when(at_start, F.col("_edge")).otherwise(F.col(name))).drop("_run", "_edge")
 
 
-def _repeated(rows: DataFrame, key: str, flag: str, hot_rows: int) -> DataFrame:
-    """True where an earlier position of the chain already has the same value."""
-    seen = (rows.groupBy("chain_id", key).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
+def _repeated(rows: DataFrame, base: DataFrame, key: str, flag: str, hot_rows: int) -> DataFrame:
+    """True where an earlier position of the chain already has the same value; `base` has the same records."""
+    seen = (base.groupBy("chain_id", key).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
             .where("_n > 1"))
     looked = lookup_by_key(rows, seen, ["chain_id", key], size="_n", spread=[F.col("pos")], hot_rows=hot_rows)
     return looked.withColumn(flag, F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))).drop("_n", "_first")
@@ -149,10 +149,10 @@ def chain_issues(chain: DataFrame, spec: ChainSpec, *, signature_valid: Column |
                  run_rows: int = RUN_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """C1.5 / C4.4 all integrity issues: `chain_id, pos, sequence, issue_type, expected_sequence, message`."""
     columns = ["chain_id", "pos", "sequence", spec.unique, spec.previous, spec.hash, "hash_valid", "signature_checked", "signature_valid"]
-    rows = verify_records(chain, spec, signature_valid=signature_valid).select(*columns)
-    rows = previous_value(rows, spec.hash, "_prev", run_rows=run_rows)
-    rows = _repeated(rows, "sequence", "_seq_again", hot_rows)
-    rows = _repeated(rows, spec.unique, "_id_again", hot_rows)
+    base = cut_lineage(verify_records(chain, spec, signature_valid=signature_valid).select(*columns))  # every record is hashed once
+    rows = previous_value(base, spec.hash, "_prev", run_rows=run_rows)
+    rows = _repeated(rows, base, "sequence", "_seq_again", hot_rows)
+    rows = _repeated(rows, base, spec.unique, "_id_again", hot_rows)
     expected = F.col("pos") + 1
     gap = ~F.col("sequence").eqNullSafe(expected)
 

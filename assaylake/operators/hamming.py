@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hamming
-from ..session import cut_lineage
+from ..session import cut_lineage, widen
 from .keyed import lookup_by_key
 
 BUCKET_ROWS = 2_000
@@ -66,6 +66,7 @@ def hamming_pairs(hashes: DataFrame, threshold: int, *, column: str = "hash",
     rows = distinct.count()
     masks = _masks(threshold, rows)
     mask_array = F.array(*[F.lit(_signed(m)) for m in masks])
+    distinct = widen(distinct)  # few hashes are one file, but each is there once for every mask
     keyed = (distinct.withColumn("mask", F.explode(mask_array))
              .withColumn("value", F.col("hash").bitwiseAND(F.col("mask"))))
     found = []

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_ROWS = 1_000_000
 SALTS = 64
 HOT_KEYS = 10_000
@@ -36,6 +38,7 @@ def lookup_by_key(
     whose small side is there COLD_SALTS times, so rows of a key that `stats` does not know are spread as well.
     """
     keys = list(keys)
+    stats = cut_lineage(stats)  # read three times below, and often made from `rows` by an aggregation
     values = [c for c in stats.columns if c not in keys]
     least = F.greatest(F.lit(hot_rows), (stats.agg(F.sum(size)).scalar() / HOT_KEYS).cast("long"))
     hot = stats.where(F.col(size) > least).select(

@@ -10,7 +10,7 @@ from ..operators import model_identity as mi
 from ..operators import tensor_stats as ts
 from ..operators import trigger_search as tr
 from ..operators.ordering import tree_digest_sql
-from ..session import cut_lineage
+from ..session import cut_lineage, widen
 from . import inputs
 from .catalog import Tables, query, with_sql
 from .dataset import r6
@@ -366,7 +366,7 @@ def _clean(t: Tables):
 def _compared(t: Tables):
     clean = _clean(t).withColumnRenamed("probs", "clean_probs")
     images = t.embeddings.select(F.col("vec_id").alias("image_idx"), "embedding").join(clean, "image_idx")
-    patched = tr.expand_images(images, tr.trigger_grid(t.spark))
+    patched = tr.expand_images(widen(images), tr.trigger_grid(t.spark))
     factor = F.when(F.col("pattern") == "white", 1.0).when(F.col("pattern") == "black", 0.5).when(F.col("pattern") == "mean", 0.9).otherwise(-1.0)
     push = F.col("patch_size") * (F.col("x_fraction") + F.col("y_fraction")) / 4.0
     output = F.transform("embedding", lambda x, i: x.cast("double") * 8.0 * factor + F.when((F.col("pattern") == "white") & (i == 3), push).otherwise(0.0))

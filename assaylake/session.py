@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; only a local session without the setting gets a folder of its own."""
     folder = spark.conf.get(SHARED, None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
             raise ValueError(f"set {SHARED} to a folder every executor can reach")
         folder = "file://" + tempfile.mkdtemp(prefix="assaylake-")
         spark.conf.set(SHARED, folder)
