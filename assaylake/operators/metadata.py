@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..config import MetadataConfig
 from ..fixed_values import EDITING_SOFTWARE_MARKERS, FORMAT_EXTENSIONS, METADATA_ATTRIBUTES
 from ..functions.numeric import ratio
-from ..functions.statistics import exact_median
 from ..functions.text import extension
 from .keyed import attach_scalars, lookup_by_key
+from .order_statistics import grouped_medians
 
 
 def assign_contributor(rows: DataFrame, mapping: DataFrame | None = None, *, from_path: bool = False) -> DataFrame:
@@ -71,21 +71,22 @@ def contributor_divergence(counts: DataFrame, config: MetadataConfig = MetadataC
     return graded.withColumn("code", level)
 
 
-def median_capture(rows: DataFrame, config: MetadataConfig = MetadataConfig()) -> float | None:
-    """A7.5 exact median capture time, null with too few time stamps."""
-    if rows.where("capture_epoch is not null").limit(config.min_timestamps_for_outlier).count() \
-            < config.min_timestamps_for_outlier:
-        return None
-    return exact_median(rows, "capture_epoch")
+def median_capture(rows: DataFrame, config: MetadataConfig = MetadataConfig()) -> Column:
+    """A7.5 exact median capture time as a scalar, null with too few time stamps."""
+    whole = rows.select(F.lit(0).alias("all"), "capture_epoch")
+    median = grouped_medians(whole, ["all"], "capture_epoch").where(F.col("count") >= config.min_timestamps_for_outlier)
+    return median.select("median").scalar()
 
 
 def image_findings(rows: DataFrame, config: MetadataConfig = MetadataConfig(), *,
-                   median_epoch: float | None = None, reference_time: float | None = None) -> DataFrame:
+                   median_epoch: Column | float | None = None, reference_time: float | None = None) -> DataFrame:
     """A7.4 rule checks per image, one row per hit."""
     resolutions = rows.groupBy("resolution").agg(F.count(F.lit(1)).alias("resolution_count"))
     total = rows.agg(F.count(F.lit(1)).alias("image_total"))
     looked = attach_scalars(lookup_by_key(rows, resolutions, ["resolution"], size="resolution_count",
                                           spread=[F.col("file")]), total)
+    if median_epoch is not None:
+        looked = looked.withColumn("_median", F.lit(median_epoch))
     ext = extension(F.col("file"))
     mismatch = F.lit(False)
     for name, allowed in FORMAT_EXTENSIONS.items():
@@ -98,7 +99,7 @@ def image_findings(rows: DataFrame, config: MetadataConfig = MetadataConfig(), *
             & (F.col("resolution_count") / F.col("image_total") < config.rare_resolution_fraction))
     taken = F.col("capture_epoch")
     late = (taken > F.lit(reference_time)) if reference_time is not None else F.lit(False)
-    odd = (F.abs(taken - F.lit(median_epoch)) > config.time_outlier_days * 86400) if median_epoch is not None else F.lit(False)
+    odd = F.coalesce(F.abs(taken - F.col("_median")) > config.time_outlier_days * 86400, F.lit(False)) if median_epoch is not None else F.lit(False)
 
     def rule(hit: Column, code: str, severity: str, level: str) -> Column:
         return F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"),

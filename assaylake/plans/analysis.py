@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..fixed_values import ISSUE_MESSAGES
 from ..functions.text import severity_rank
 from ..operators import analyst as an
+from ..operators import search_index as si
 from ..operators import shift as sh
 from ..operators.chain import PROVENANCE, chain_issues, chain_status
 from ..session import cut_lineage
 from ..sources import stores
 from ..sources.tables import parse_records, pick_engine_payload
 from . import inputs, records
-from .catalog import Tables, query, with_sql
+from .catalog import QUERIES, Tables, query, with_sql
 
 # one assessment per document source, with four engine results as JSON
 _RESULTS = """per_source AS (SELECT source, count(*) AS n, count(*) FILTER (n_chars < 300) AS short, count(*) FILTER (n_chars > 6000) AS long FROM documents GROUP BY source),
@@ -224,27 +225,52 @@ def q17_search(t: Tables):
     return an.search(index, "SRC7/")
 
 
-@query("q17_search_all_kinds", with_sql(_FINDINGS, inputs.MANIFEST, """indexed AS (
+_SEARCH_TABLE = """indexed AS (
   SELECT 'Finding' AS kind, finding_id AS key, title || ' ' || severity || ' ' || affected_asset AS label FROM findings
   UNION ALL SELECT 'Asset', sha256, path FROM manifest
   UNION ALL SELECT 'Assessment', CAST(o_orderkey AS VARCHAR), o_orderpriority || ' ' || o_orderstatus FROM orders
   UNION ALL SELECT 'Audit', CAST(event_id AS VARCHAR), event_type || ' asset-src1/' || user_id FROM events
   UNION ALL SELECT 'Engine', CAST(item_id AS VARCHAR), text FROM benchmark
-  UNION ALL SELECT 'Record', CAST(conv_id AS VARCHAR) || '/' || turn, role || ': ' || text FROM conversations)""", """
+  UNION ALL SELECT 'Record', CAST(conv_id AS VARCHAR) || '/' || turn, role || ': ' || text FROM conversations)"""
+
+
+@query("q17_search_all_kinds", with_sql(_FINDINGS, inputs.MANIFEST, _SEARCH_TABLE, """
 SELECT DISTINCT kind, key, label FROM indexed WHERE contains(lower(label), 'src1/') OR contains(lower(label), 'urgent')"""))
 def q17_search_all_kinds(t: Tables):
+    index = _search_table(t)
+    return an.search(index, "SRC1/").unionByName(an.search(index, "Urgent")).distinct()
+
+
+def _search_table(t: Tables):
     """One search table over findings, assets, assessments, audit entries, engine texts and records."""
     def rows(df, kind, key, *label):
         return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key") if isinstance(key, str) else key.alias("key"), F.concat(*label).alias("label"))
 
     blank = F.lit(" ")
-    index = (rows(records.document_findings(t), "Finding", "finding_id", "title", blank, "severity", blank, "affected_asset")
+    return (rows(records.document_findings(t), "Finding", "finding_id", "title", blank, "severity", blank, "affected_asset")
              .unionByName(rows(inputs.manifest(t), "Asset", "sha256", "path"))
              .unionByName(rows(t.orders, "Assessment", "o_orderkey", "o_orderpriority", blank, "o_orderstatus"))
              .unionByName(rows(t.events, "Audit", "event_id", "event_type", F.lit(" asset-src1/"), F.col("user_id").cast("string")))
              .unionByName(rows(t.benchmark, "Engine", "item_id", "text"))
              .unionByName(rows(t.conversations, "Record", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "role", F.lit(": "), "text")))
-    return an.search(index, "SRC1/").unionByName(an.search(index, "Urgent")).distinct()
+
+
+@query("q17_indexed_search", QUERIES["q17_search_all_kinds"].sql)
+def q17_indexed_search(t: Tables):
+    """The same hits by the trigram index."""
+    index = si.build_index(_search_table(t))
+    return si.search(index, "SRC1/").unionByName(si.search(index, "Urgent")).distinct()
+
+
+@query("q17_search_cost", with_sql(_FINDINGS, inputs.MANIFEST, _SEARCH_TABLE, """
+SELECT needle, (SELECT count(*) FROM indexed) AS labels, count(*) FILTER (contains(lower(label), lower(needle))) AS hits, true AS few_checked
+FROM indexed, (SELECT unnest(['SRC1/', 'Urgent', 'nowhere to be found']) AS needle) GROUP BY needle"""))
+def q17_search_cost(t: Tables):
+    """How many labels each needle has, and whether the index compared less than two labels for each hit."""
+    index = si.build_index(_search_table(t))
+    costs = [si.search_cost(index, needle) for needle in ("SRC1/", "Urgent", "nowhere to be found")]
+    rows = costs[0].unionByName(costs[1]).unionByName(costs[2])
+    return rows.select("needle", "labels", "hits", (F.col("checked") <= 2 * F.col("hits")).alias("few_checked"))
 
 
 @query("q18_activity_feed", """

@@ -10,6 +10,7 @@ from ..operators import manifest as ma
 from ..operators import metadata as me
 from ..operators import near_duplicates as nd
 from ..operators import nearest as ne
+from ..operators import order_statistics as os_
 from ..operators import patterns as pa
 from ..operators.ordering import tree_digest_sql
 from ..session import cut_lineage
@@ -368,7 +369,19 @@ def a7_contributor_divergence(t: Tables):
 @query("a7_median_capture", with_sql(inputs.METADATA, "SELECT median(capture_epoch) AS median_epoch FROM metadata"))
 def a7_median_capture(t: Tables):
     rows = cut_lineage(inputs.metadata(t).select("capture_epoch"))
-    return rows.agg(F.lit(me.median_capture(rows)).cast("double").alias("median_epoch"))
+    return rows.agg(F.max(F.lit(0)).alias("one")).select(me.median_capture(rows).alias("median_epoch"))
+
+
+@query("a7_supplier_spread", """
+SELECT l_suppkey, round(median, 6) AS median, round(mad, 6) AS mad, outliers FROM (
+  SELECT l_suppkey, any_value(m) AS median, any_value(d) AS mad, count(*) FILTER (abs(0.6745 * (v - m) / nullif(d, 0)) >= 3.5) AS outliers FROM (
+    SELECT l_suppkey, v, median(v) OVER (PARTITION BY l_suppkey) AS m, mad(v) OVER (PARTITION BY l_suppkey) AS d
+    FROM (SELECT l_suppkey, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) + CASE WHEN l_linenumber = 7 THEN 9000 ELSE 0 END AS v FROM lineitem)) GROUP BY l_suppkey)""")
+def a7_supplier_spread(t: Tables):
+    """Medians, median absolute deviations and robust outliers of unit prices by supplier, the contributor of a line; every seventh line is overpriced."""
+    price = F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double") + F.when(F.col("l_linenumber") == 7, 9000).otherwise(0)
+    found = os_.group_spread(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", price.alias("v")), ["l_suppkey"], "v")
+    return found.select("l_suppkey", r6("median"), r6("mad"), "outliers")
 
 
 @query("a7_image_findings", with_sql(inputs.METADATA, _IMAGE_FINDINGS, "SELECT * FROM image_findings"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import array_sum
 from ..operators import fingerprint as fp
 from ..operators import inference
 from ..operators import model_identity as mi
+from ..operators import probes as pb
 from ..operators import tensor_stats as ts
 from ..operators import trigger_search as tr
 from ..operators.ordering import tree_digest_sql
@@ -246,6 +248,29 @@ trees AS (SELECT model_id, tensor_name, sha256('[' || string_agg(item, ',' ORDER
 SELECT model_id, tensor_name, sha256('float64|[' || r || ',' || c || ']|' || digest) AS digest_sha256 FROM trees JOIN headers USING (model_id, tensor_name)""")
 
 
+_V = "CAST(embedding AS DOUBLE[])"
+_PROBE_SQL = {
+    "clean": _V, "flip": f"list_reverse({_V})", "scale_down": f"list_transform({_V}, lambda x: x * 0.7)", "scale_up": f"list_transform({_V}, lambda x: x * 1.3)",
+    "offset": f"list_transform({_V}, lambda x: x + 0.1)",
+    "contrast_down": f"list_transform({_V}, lambda x: list_avg({_V}) + (x - list_avg({_V})) * 0.6)",
+    "contrast_up": f"list_transform({_V}, lambda x: list_avg({_V}) + (x - list_avg({_V})) * 1.5)",
+    "blur": f"list_transform({_V}, lambda x, i: list_avg({_V}[greatest(i - 1, 1):i + 1]))",
+    "shift": f"list_concat({_V}[len(embedding) - 1:], {_V}[:len(embedding) - 2])",
+}
+
+
+@query("u2_probe_inputs", "SELECT probe, count(*) AS vectors, round(avg(p[1]), 6) AS first_entry, round(avg(list_sum(p)), 6) AS total, round(avg(list_sum(list_transform(p, lambda x: x * x))), 6) AS square FROM ("
+       + " UNION ALL ".join(f"SELECT '{name}' AS probe, {sql} AS p FROM embeddings WHERE embedding IS NOT NULL" for name, sql in _PROBE_SQL.items())
+       + ") GROUP BY probe UNION ALL SELECT 'noise', count(*), NULL, NULL, NULL FROM embeddings WHERE embedding IS NOT NULL")
+def u2_probe_inputs(t: Tables):
+    """The ten standard probes of every embedding, summed up; the noise is Spark's own, so only its rows are compared."""
+    made = pb.probe_inputs(t.embeddings.where("embedding is not null"), pb.battery(t.spark), row_id="vec_id", vector="embedding")
+    noisy, p = F.col("probe") == "noise", F.col("embedding")
+    total = lambda values: F.round(F.avg(F.when(~noisy, values)), 6)
+    return made.groupBy("probe").agg(F.count(F.lit(1)).alias("vectors"), total(p[0]).alias("first_entry"), total(array_sum(p)).alias("total"),
+                                     total(array_sum(F.transform(p, lambda x: x * x))).alias("square"))
+
+
 @query("b3_tensor_digests", _TENSOR_DIGESTS)
 def b3_tensor_digests(t: Tables):
     return ts.tensor_digests(inputs.chunks(t), _headers(t))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import IMAGE_EXTENSIONS
 from ..functions.text import extension
+from ..session import shuffle_partitions
 
 ROW_BYTES = 2_000_000_000
+CHUNK_BYTES = 1 << 20
+HEAD_BYTES = 16
 
 
 def relative_path(root: str, path: Column | None = None) -> Column:
@@ -40,19 +48,42 @@ def read_images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return good, skipped
 
 
-def hash_files(spark: SparkSession, root: str) -> DataFrame:
-    """S3 / A1.1 `path, sha256, size_bytes, head, reason` of all files; no content column leaves this step.
+def _open(path: str):
+    """A file of the listing as a stream."""
+    from pyarrow import fs
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_file(place)
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 and first bytes of each listed file, read in chunks."""
+    for pdf in batches:
+        found = []
+        for path in pdf["full_path"]:
+            digest, head = hashlib.sha256(), None
+            with _open(path) as file:
+                while chunk := file.read(CHUNK_BYTES):
+                    head = chunk[:HEAD_BYTES] if head is None else head
+                    digest.update(chunk)
+            found.append((digest.hexdigest(), head or b""))
+        yield pdf[["path"]].assign(sha256=[d for d, _ in found], size_bytes=pdf["size_bytes"], head=[h for _, h in found])
+
+
+def hash_files(spark: SparkSession, root: str, *, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """S3 / A1.1 `path, sha256, size_bytes, head` of all files, of any size; no content column leaves this step.
 
-    A row holds less than 2 GB, so a larger file is listed without a digest and with the reason.
+    Files that fit a row are read and hashed in the JVM; larger ones are listed without their content and each is read
+    in chunks by the task that gets it. The digest is the same either way.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    fits = F.col("length") < ROW_BYTES
-    none = F.lit(None)
+    fits = F.col("length") < row_bytes
     hashed = listed.where(fits).select(relative_path(root).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"),
-                                       F.substring("content", 1, 16).alias("head"), none.cast("string").alias("reason"))
-    large = listed.where(~fits).select(relative_path(root).alias("path"), none.cast("string").alias("sha256"), F.col("length").alias("size_bytes"),
-                                       none.cast("binary").alias("head"), F.lit("larger_than_a_row").alias("reason"))
-    return hashed.unionByName(large)
+                                       F.substring("content", 1, HEAD_BYTES).alias("head"))
+    large = listed.where(~fits).select(relative_path(root).alias("path"), F.col("path").alias("full_path"), F.col("length").alias("size_bytes"))
+    chunked = large.repartition(shuffle_partitions(spark), "path").mapInPandas(_digests, "path string, sha256 string, size_bytes long, head binary")
+    return hashed.unionByName(chunked)
 
 
 def read_label_texts(spark: SparkSession, root: str) -> DataFrame:
