@@ -351,9 +351,12 @@ def c3_trigger_finding(t: Tables):
     return fi.findings_from_triggers(graded).select("affected_asset", "severity", "confidence", "finding_id")
 
 
-@query("c3_evidence_digest", with_sql(_RAW, "SELECT * FROM " + tree_digest_sql("findings", "finding_id, affected_asset", """
+_FINDING_ITEM = """
   '{"affected_asset":"' || affected_asset || '","category":"' || category || '","confidence":"' || printf('%.6f', confidence) || '","evidence":"' || replace(evidence, '"', chr(92) || '"')
-  || '","finding_id":"' || finding_id || '","severity":"' || severity || '","source_engine":"' || source_engine || '","title":"' || title || '"}'""")))
+  || '","finding_id":"' || finding_id || '","severity":"' || severity || '","source_engine":"' || source_engine || '","title":"' || title || '"}'"""
+
+
+@query("c3_evidence_digest", with_sql(_RAW, "SELECT * FROM " + tree_digest_sql("findings", "finding_id, affected_asset", _FINDING_ITEM)))
 def c3_evidence_digest(t: Tables):
     return fi.evidence_digest(document_findings(t))
 
@@ -405,12 +408,61 @@ def c5_limitations(t: Tables):
     return re.limitations(extra)
 
 
-@query("c5_report")
+_AREAS = ("dataset_integrity", "model_integrity", "inference_provenance", "distribution_shift", "findings_and_evidence", "audit_trail")
+_SECTIONS_SQL = f"""section_rows AS (
+  SELECT i AS position, area, CASE WHEN i = 0 THEN 'assessed' ELSE 'not_assessed' END AS status, NULL::BOOLEAN AS valid, CASE WHEN area = 'distribution_shift' THEN 'none' END AS severity,
+    NULL::BOOLEAN AS shift_detected, CASE WHEN i = 0 THEN (SELECT CAST(count(*) AS VARCHAR) FROM findings) END AS result, CASE WHEN i > 0 THEN name || ' was not assessed.' END AS message
+  FROM (SELECT unnest(range(6)) AS i, unnest({list(_AREAS)}) AS area, unnest({[a.replace("_", " ").title() for a in _AREAS]}) AS name))"""
+
+
+def _results(findings):
+    return findings.agg(F.lit("dataset_integrity").alias("area"), F.lit("completed").alias("status"), F.lit(None).cast("boolean").alias("valid"),
+                        F.max("severity").alias("severity"), F.lit(None).cast("boolean").alias("shift_detected"), F.count(F.lit(1)).cast("string").alias("result"))
+
+
+@query("c5_sections", with_sql(_RAW, _SECTIONS_SQL, "SELECT * FROM section_rows"))
+def c5_sections(t: Tables):
+    """The areas of a report of which one ran."""
+    return re.sections(_results(document_findings(t)))
+
+
+def _json_sql(**columns: str) -> str:
+    """A JSON object of text, numbers and truth values; nulls are written."""
+    part = lambda name, kind: f"""'"{name}":' || """ + (f"""coalesce('"' || {name} || '"', 'null')""" if kind == "text" else f"coalesce(CAST({name} AS VARCHAR), 'null')")
+    return "'{' || " + " || ',' || ".join(part(name, kind) for name, kind in sorted(columns.items())) + " || '}'"
+
+
+def _list_sql(source: str, **columns: str) -> str:
+    return f"(SELECT '[' || string_agg(j, ',' ORDER BY position, j) || ']' FROM (SELECT position, {_json_sql(**columns)} AS j FROM {source}))"
+
+
+_FIXED_LIMITS = " UNION ALL ".join(f"SELECT {i} AS position, '{text}' AS limitation" for i, text in enumerate(re.DEFAULT_LIMITATIONS.values()))
+_REPORT_SQL = ("""counted AS (SELECT 0 AS critical_count, count(*) FILTER (severity = 'high') AS high_count, count(*) FILTER (severity = 'medium') AS medium_count,
+  count(*) FILTER (severity = 'low') AS low_count, count(*) FILTER (severity = 'none') AS none_count FROM findings),
+told AS (SELECT counted.*, finding_count, ['none', 'low', 'medium', 'high'][top + 1] AS highest_severity, provenance_chain_valid, true AS audit_chain_valid, distribution_shift_detected FROM counted, exec)""",
+               f"""covered AS (SELECT i AS position, area, i IN (0, 4) AS assessed, CASE WHEN i IN (0, 4) THEN 'available' ELSE 'not_assessed' END AS status,
+  CASE WHEN i = 4 THEN (SELECT count(*) FROM findings) END AS finding_count FROM (SELECT unnest(range(6)) AS i, unnest({list(_AREAS)}) AS area))""",
+               f"""actions AS (SELECT row_number() OVER (ORDER BY position) - 1 AS position, action FROM (
+  SELECT 1 AS position, '{re.ACTIONS["high"]}' AS action FROM exec WHERE high_count > 0 UNION ALL SELECT 2, '{re.ACTIONS["provenance"]}' FROM exec WHERE NOT provenance_chain_valid
+  UNION ALL SELECT 3, '{re.ACTIONS["none"]}' FROM exec WHERE high_count = 0 AND provenance_chain_valid))""",
+               f"limits AS ({_FIXED_LIMITS} UNION ALL SELECT 1000, 'Dataset evidence does not by itself establish intent.' WHERE EXISTS (FROM findings))",
+               "parts AS (SELECT 'documents' AS assessment_id, " + ", ".join((
+                   _list_sql("covered", area="text", assessed="bool", finding_count="number", position="number", status="text") + " AS asset_coverage",
+                   f"(SELECT {_json_sql(audit_chain_valid='bool', critical_count='number', distribution_shift_detected='bool', finding_count='number', high_count='number', highest_severity='text', low_count='number', medium_count='number', none_count='number', provenance_chain_valid='bool')} FROM told) AS executive_summary",
+                   "(SELECT digest FROM " + tree_digest_sql("findings", "finding_id, affected_asset", _FINDING_ITEM) + ") AS findings_digest",
+                   _list_sql("limits", limitation="text", position="number") + " AS limitations",
+                   _list_sql("actions", action="text", position="number") + " AS recommended_actions",
+                   _list_sql("section_rows", area="text", message="text", position="number", result="text", severity="text", shift_detected="bool", status="text", valid="bool") + " AS sections")) + ")")
+_REPORT_DIGEST = "sha256('{' || " + " || ',' || ".join(
+    f"""'"{c}":"' || replace(replace({c}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"'"""
+    for c in ("assessment_id", "asset_coverage", "executive_summary", "findings_digest", "limitations", "recommended_actions", "sections")) + " || '}')"
+
+
+@query("c5_report", _recursive(inputs.TAMPERED, _PREVIOUS, _STATUS, _RAW, *_SHIFT, _SUMMARY_SQL, _SECTIONS_SQL, *_REPORT_SQL, f"SELECT *, {_REPORT_DIGEST} AS report_digest FROM parts"))
 def c5_report(t: Tables):
     findings = cut_lineage(document_findings(t))
     summary = cut_lineage(_summary(t))
-    results = findings.agg(F.lit("dataset_integrity").alias("area"), F.lit("completed").alias("status"), F.lit(None).cast("boolean").alias("valid"),
-                           F.max("severity").alias("severity"), F.lit(None).cast("boolean").alias("shift_detected"), F.count(F.lit(1)).cast("string").alias("result"))
+    results = _results(findings)
     limits = re.limitations(findings.select(F.explode("limitations").alias("limitation")))
     return re.assurance_report("documents", summary, re.coverage(results.select("area"), findings), re.sections(results),
                                re.recommended_actions(summary), limits, findings)
