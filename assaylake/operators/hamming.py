@@ -11,6 +11,8 @@ from __future__ import annotations
 from itertools import combinations
 from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from ..session import cut_lineage, widen
 from .keyed import lookup_by_key
 
 BUCKET_ROWS = 2_000
+JOIN_ROWS = 64
 REFINE_ROUNDS = 2
 _ALL = (1 << 64) - 1
 
@@ -103,5 +106,51 @@ def hamming_pairs(hashes: DataFrame, threshold: int, *, column: str = "hash",
     return pairs.distinct()
 
 
+def _forest(hashes: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links that join the same hashes as all pairs within the threshold do: each hash that is reached scans what is not reached yet.
+
+    In a dense bucket the first scans reach nearly everything, so little is left to compare; no more links than hashes come out.
+    """
+    left, links = hashes, []
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            near = np.bitwise_count((left ^ x).view(np.uint64)) <= threshold  # of a signed number it would count the magnitude
+            if near.any():
+                found = left[near]
+                links += [(int(min(x, y)), int(max(x, y))) for y in found]
+                reached += list(found)
+                left = left[~near]
+    return links
+
+
+def hamming_links(hashes: DataFrame, threshold: int, *, column: str = "hash", bucket_rows: int = BUCKET_ROWS,
+                  join_rows: int = JOIN_ROWS) -> DataFrame:
+    """`hash_a < hash_b` links whose connected components are those of all pairs within `threshold`.
+
+    Buckets of equal bands as in `hamming_pairs`; those of up to `join_rows` hashes are joined, larger ones give a spanning
+    forest inside a task, in blocks of `bucket_rows` hashes with every block against every other. So a bucket of n hashes
+    gives about n links for each block it meets, never n * n pairs.
+    """
+    distinct = cut_lineage(hashes.select(F.col(column).alias("hash")).where("hash is not null").distinct())
+    masks = _masks(threshold, distinct.count())
+    keyed = (widen(distinct).withColumn("mask", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])))
+             .withColumn("value", F.col("hash").bitwiseAND(F.col("mask"))))
+    sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = cut_lineage(lookup_by_key(keyed, sizes, ["mask", "value"], size="n", spread=[F.col("hash")]).where("n is not null"))
+    joined = _compare(sized.where(F.col("n") <= join_rows).drop("n"), threshold, []).drop("hamming_distance")
+    blocks = F.ceil(F.col("n") / bucket_rows).cast("int")
+    dense = (sized.where(F.col("n") > join_rows).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("mask", "value", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "hash"))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_forest(np.unique(pdf["hash"].to_numpy()), threshold), columns=["hash_a", "hash_b"], dtype="int64")
+
+    linked = dense.groupBy("mask", "value", "i", "j").applyInPandas(forest, "hash_a long, hash_b long")
+    return joined.unionByName(linked).distinct()
+
+
 def block_count(rows: int, block: int) -> int:
     return max(1, ceil(rows / block))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hamming import BUCKET_ROWS, hamming_pairs
+from ..session import cut_lineage
+from .components import connected_components
+from .hamming import BUCKET_ROWS, hamming_links, hamming_pairs
 
 THRESHOLD = 8
 
@@ -50,3 +52,16 @@ def near_duplicate_report(files: DataFrame, pairs: DataFrame) -> DataFrame:
                        F.count_if(F.col("hash").isNull()).alias("images_skipped"))
     total = pairs.agg(F.coalesce(F.sum("file_pairs"), F.lit(0)).cast("long").alias("near_duplicate_pair_count"))
     return counts.withColumn("near_duplicate_pair_count", total.scalar())
+
+
+def near_duplicate_groups(files: DataFrame, *, threshold: int = THRESHOLD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Groups of files linked by equal or close hashes: `group_hash` (the least of the group), `hash_count, file_count, first_path`.
+
+    A file is in one group at most, and a group of any density costs as many links as hashes; pairs come from
+    `near_duplicate_pairs` on request. `files` is `path, hash`, null where there is no hash.
+    """
+    counts = cut_lineage(files.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("path")))
+    linked = connected_components(hamming_links(counts, threshold, bucket_rows=bucket_rows), "hash_a", "hash_b")
+    grouped = counts.join(linked.withColumnRenamed("node", "hash"), "hash", "left").withColumn("group_hash", F.coalesce("component", "hash"))
+    return grouped.groupBy("group_hash").agg(
+        F.count(F.lit(1)).alias("hash_count"), F.sum("files").alias("file_count"), F.min("path").alias("first_path")).where("file_count > 1")

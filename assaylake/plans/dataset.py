@@ -106,6 +106,16 @@ def a3_near_duplicate_report(t: Tables):
     return nd.near_duplicate_report(files, nd.near_duplicate_pairs(files))
 
 
+@query("a3_near_duplicate_groups", with_sql(inputs.HASHED, _GROUPS, _PAIRS, """walk AS (
+  SELECT hash AS node, hash AS seen FROM hash_groups
+  UNION
+  SELECT node, CASE WHEN p.hash_a = seen THEN p.hash_b ELSE p.hash_a END FROM walk JOIN hash_pairs p ON seen IN (p.hash_a, p.hash_b)),
+grouped AS (SELECT node, min(seen) AS group_hash FROM walk GROUP BY node)""", """
+SELECT group_hash, count(*) AS hash_count, CAST(sum(n) AS BIGINT) AS file_count, min(f) AS first_path FROM grouped JOIN hash_groups ON hash = node GROUP BY group_hash HAVING sum(n) > 1""").replace("WITH ", "WITH RECURSIVE ", 1))
+def a3_near_duplicate_groups(t: Tables):
+    return nd.near_duplicate_groups(inputs.hashed(t).select("path", "hash"))
+
+
 # --- A4 -------------------------------------------------------------------------------------
 _COSINE = "round(1 - greatest(-1, least(1, list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[])))), 12)"
 _FIT = f"""trusted AS (SELECT * FROM embeddings WHERE label < 3),

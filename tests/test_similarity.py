@@ -39,6 +39,38 @@ def test_hamming_pairs_equal_brute_force(spark, threshold, bucket_rows):
     assert set(rows) == expected and len(rows) == len(expected)
 
 
+@pytest.mark.parametrize("bucket_rows,join_rows", [(2000, 64), (7, 3), (2000, 1)])
+def test_hamming_links_join_what_all_pairs_join(spark, bucket_rows, join_rows):
+    hashes = _hashes(5)
+    label = {h: h for h in hashes}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(hashes):
+        for b in hashes[i + 1:]:
+            if _distance(a, b) <= 8:
+                low, high = sorted((top(a), top(b)))
+                label[high] = low
+    links = hamming.hamming_links(spark.createDataFrame([(h,) for h in hashes], "hash long"), 8, bucket_rows=bucket_rows, join_rows=join_rows).collect()
+    assert all(_distance(r["hash_a"], r["hash_b"]) <= 8 and r["hash_a"] < r["hash_b"] for r in links)
+    found = components.connected_components(spark.createDataFrame([tuple(r) for r in links], "a long, b long"), "a", "b").collect()
+    assert {r["node"]: r["component"] for r in found} == {h: top(h) for h in hashes if any(top(o) == top(h) for o in hashes if o != h)}
+
+
+def test_a_dense_bucket_gives_few_links(spark):
+    """20,000 hashes within 12 bits of each other: far fewer links than the 200 million pairs."""
+    rng = random.Random(9)
+    close = {sum(1 << b for b in rng.sample(range(40), 6)) for _ in range(20_000)}
+    files = spark.createDataFrame([(f"f{i}", h) for i, h in enumerate(sorted(close))] + [("lone", -1), ("copy", -1), ("none", None)], "path string, hash long")
+    links = hamming.hamming_links(files, 8)
+    assert links.count() < 40 * len(close) * 9
+    groups = {r["group_hash"]: (r["hash_count"], r["file_count"]) for r in near_duplicates.near_duplicate_groups(files).collect()}
+    assert groups == {min(close): (len(close), len(close)), -1: (1, 2)}
+
+
 def test_near_duplicate_pairs_stand_for_all_file_pairs(spark):
     files = [("a", 0), ("b", 0), ("c", 1), ("d", None), ("e", -1)]
     df = spark.createDataFrame(files, "path string, hash long")
