@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, cosine_similarity
-from .keyed import lookup_by_key
+from ..functions.numeric import clamp, cosine_similarity, norm
+from ..session import cut_lineage
+from .keyed import attach_scalars, lookup_by_key
 from .near_duplicates import THRESHOLD
 from .hamming import BUCKET_ROWS, hamming_pairs
 
@@ -100,12 +101,26 @@ def label_profiles(images: DataFrame) -> DataFrame:
             .withColumn("profile", F.sha2(F.to_json(F.struct("hash", "class_set", "features", "image")), 256)))
 
 
+def _ringed(profiles: DataFrame, similarity: float) -> DataFrame:
+    """Profiles with the ring of their distance to one fixed profile.
+
+    On unit vectors a cosine of at least `similarity` is a chord of at most sqrt(2 - 2 similarity), so by the triangle
+    inequality similar profiles lie in the same ring of that width or in neighbouring ones. Zero vectors are similar to nothing.
+    """
+    usable = profiles.where(norm(F.col("features")) > 0)
+    pivot = usable.agg(F.min_by("features", "profile").alias("pivot"))  # one vector
+    cosine = F.coalesce(cosine_similarity(F.col("features"), F.col("pivot")), F.lit(0.0))
+    width = (2 - 2 * similarity) ** 0.5 + 1e-6
+    return attach_scalars(usable, pivot).withColumn("ring", F.floor(F.sqrt(2 - 2 * cosine) / width)).drop("pivot")
+
+
 def conflicting_profiles(profiles: DataFrame, *, threshold: int = THRESHOLD, similarity: float = SIMILARITY,
                          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A5.6 pairs of profiles within the hash threshold whose class sets differ and appearance agrees.
 
     `conflict_pairs` is the number of image pairs a row stands for. Copies are already one profile, so
-    a group of equal images adds one row per differing label, not one per pair of copies.
+    a group of equal images adds one row per differing label, not one per pair of copies. Of the appearances under one
+    hash only those in neighbouring rings around a fixed one meet (see `_ringed`).
     """
     near = hamming_pairs(profiles, threshold, bucket_rows=bucket_rows)
     hashes = profiles.select("hash").distinct()
@@ -113,11 +128,13 @@ def conflicting_profiles(profiles: DataFrame, *, threshold: int = THRESHOLD, sim
              .unionByName(hashes.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"),
                                         F.lit(0).alias("hamming_distance"))))
     side = ["profile", "image", "class_set", "features", "files"]
-    a = profiles.select(F.col("hash").alias("hash_a"), *[F.col(c).alias(f"{c}_a") for c in side])
-    b = profiles.select(F.col("hash").alias("hash_b"), *[F.col(c).alias(f"{c}_b") for c in side])
+    ringed = cut_lineage(_ringed(profiles, similarity)) if similarity > 0 else profiles.withColumn("ring", F.lit(0).cast("long"))
+    near_rings = F.explode(F.sequence(F.col("ring") - 1, F.col("ring") + 1))
+    a = ringed.select(F.col("hash").alias("hash_a"), *[F.col(c).alias(f"{c}_a") for c in side], near_rings.alias("ring"))
+    b = ringed.select(F.col("hash").alias("hash_b"), "ring", *[F.col(c).alias(f"{c}_b") for c in side])
     alike = appearance_similarity(F.col("features_a"), F.col("features_b"))
     once = F.struct("image_a", "profile_a") < F.struct("image_b", "profile_b")
-    pairs = links.join(a, "hash_a").join(b, "hash_b").where(once & (F.col("class_set_a") != F.col("class_set_b")))
+    pairs = links.join(a, "hash_a").join(b, ["hash_b", "ring"]).where(once & (F.col("class_set_a") != F.col("class_set_b")))
     return (pairs.withColumn("similarity", alike).where(F.col("similarity") >= similarity)
             .select("profile_a", "profile_b", "image_a", "image_b", "hamming_distance", "similarity", "class_set_a",
                     "class_set_b", "files_a", "files_b", (F.col("files_a") * F.col("files_b")).alias("conflict_pairs")))

@@ -156,6 +156,26 @@ def test_conflicts_count_copies_once_per_profile_pair(spark):
     assert found == 12
 
 
+@pytest.mark.parametrize("similarity", [0.9, 0.5, 0.0])
+def test_conflicts_equal_all_pairs(spark, similarity):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 3))
+    rows = []
+    for i in range(140):
+        features = [0.0] * 3 if i % 35 == 0 else [float(v) for v in centres[rng.integers(6)] + rng.normal(size=3) * 0.3]
+        rows.append((f"i{i:03d}", [0, 3, 1 << 40][int(rng.integers(3))], [int(rng.integers(2))], features))
+    df = spark.createDataFrame(rows, "image string, hash long, class_set array<int>, features array<double>")
+
+    def alike(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return min(1.0, max(0.0, float(np.dot(a, b)) / size)) if size else 0.0
+
+    want = {tuple(sorted((a[0], b[0]))) for i, a in enumerate(rows) for b in rows[i + 1:] if _distance(a[1], b[1]) <= 8 and a[2] != b[2] and alike(a[3], b[3]) >= similarity}
+    found = labels.conflicting_profiles(labels.label_profiles(df), similarity=similarity).collect()
+    named = [tuple(sorted((r["image_a"], r["image_b"]))) for r in found]
+    assert len(named) == len(set(named)) and set(named) <= want and sum(r["conflict_pairs"] for r in found) == len(want) > 0  # equal zero vectors are one profile
+
+
 def test_first_fit_on_a_long_path_takes_few_jobs(spark, monkeypatch):
     """Each descriptor is close to the next one only: 10,000 of them, every second leads."""
     path = spark.range(10_000).select(F.format_string("f%05d", "id").alias("file"), F.col("id").alias("descriptor"))
