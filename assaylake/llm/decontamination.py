@@ -8,7 +8,7 @@ against partitions whose smallest item it could hold. Pairs whose signature esti
 deviations of the threshold are verified on all shingles of the item.
 
 Words are runs of letters and digits in lower case. Defined cases: null and empty texts, and texts or items of fewer
-than five words, have no shingle and match nothing; equal items all match; repeated documents each match; null ids are
+than five words, have no shingle and match nothing; equal items all match (they are searched once, and joined to the hits); repeated documents each match; null ids are
 carried through; an empty benchmark marks no document. Columns of the documents are kept as they are.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .staging import staged
 
 SHINGLE = 5
 
@@ -80,7 +81,7 @@ class ItemIndex:
     def __init__(self, table: pa.Table):
         order = np.argsort(table["n"].to_numpy(), kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
-        self.ids = table["item"].combine_chunks() if table.num_rows else pa.array([], table.schema.field("item").type)
+        self.ids = table["set"].combine_chunks() if table.num_rows else pa.array([], pa.string())
         self.n = table["n"].to_numpy()
         self.partition = np.frompyfunc(lambda n: int(n).bit_length() - 1, 1, 1)(self.n).astype(np.int64)
         self.shingles = [np.asarray(x, np.int64).view(np.uint64) for x in table["shingles"].to_pylist()]
@@ -122,26 +123,29 @@ class ItemIndex:
                 yield r, i, found
 
 
-def _index_passes(sketches: DataFrame, search: Search):
-    """The items in indexes of at most about `index_values` values each."""
-    with_shingles = sketches.where("n > 0")
-    total = with_shingles.agg(F.sum(F.col("n") + search.permutations)).first()[0] or 0
+def numbered_items(items: DataFrame, id_column: str, text_column: str, search: Search) -> DataFrame:
+    """The sketches of items that have shingles, each with the name of its shingle set; staged."""
+    sketches = item_sketches(items, id_column, text_column, search).where("n > 0")
+    return staged(sketches.withColumn("set", F.md5(F.to_json("shingles").cast("binary"))), "items")
+
+
+def _index_passes(numbered: DataFrame, search: Search):
+    """The distinct shingle sets in indexes of about `index_values` values each: copies of an item are one set, however many there are."""
+    sets = staged(numbered.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "minima")]), "item-sets")
+    total = sets.agg(F.sum(F.col("n") + search.permutations)).first()[0] or 0
     passes = max(1, -(-total // search.index_values))
     for k in range(passes):
-        part = with_shingles.where(F.pmod(F.xxhash64("shingles"), F.lit(passes)) == k) if passes > 1 else with_shingles
-        yield part.toArrow()
+        yield sets.where(F.pmod(F.xxhash64("set"), F.lit(passes)) == k).toArrow()
 
 
-def mark_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), *, text: str = "text", item_id: str = "item_id",
-               item_text: str = "text") -> DataFrame:
-    """doc (struct of the whole row) and leaks: array of (item, shingles, found, containment) for each contained item."""
-    kind = items.schema[item_id].dataType
-    leak = T.StructType([T.StructField("item", kind), T.StructField("shingles", T.LongType()), T.StructField("found", T.LongType()),
+def mark_leaks(docs: DataFrame, numbered: DataFrame, search: Search = Search(), *, text: str = "text") -> DataFrame:
+    """doc (struct of the whole row) and leaks: array of (set, shingles, found, containment) for each shingle set of an item that it contains."""
+    leak = T.StructType([T.StructField("set", T.StringType()), T.StructField("shingles", T.LongType()), T.StructField("found", T.LongType()),
                          T.StructField("containment", T.DoubleType())])
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text"),
                       F.array().cast(T.ArrayType(leak)).alias("leaks"))
     spark = docs.sparkSession
-    for table in _index_passes(item_sketches(items, item_id, item_text, search), search):
+    for table in _index_passes(numbered, search):
         shared = spark.sparkContext.broadcast(ItemIndex(table))  # at most index_values values
 
         def probe(batches, shared=shared):
@@ -158,7 +162,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), *,
                 size = index.n[which] if len(flat) else np.zeros(0, np.int64)
                 new = pa.StructArray.from_arrays([index.ids.take(pa.array(which)), pa.array(size, pa.int64()), pa.array(counts),
                                                   pa.array(counts / np.maximum(1, size), pa.float64())],
-                                                 ["item", "shingles", "found", "containment"])
+                                                 ["set", "shingles", "found", "containment"])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), batch.column("leaks"),
                                                   pa.ListArray.from_arrays(pa.array(ends), new)], ["doc", "text", "leaks", "more"])
@@ -168,13 +172,16 @@ def mark_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), *,
     return out.select("doc", "leaks")
 
 
-def leaking_pairs(docs: DataFrame, items: DataFrame, search: Search = Search(), doc_id: str = "doc_id") -> DataFrame:
-    """A row for each (document, item) it contains."""
-    pairs = mark_leaks(docs.select(doc_id, "text"), items, search).select(F.col(f"doc.{doc_id}").alias("doc_id"), F.explode("leaks").alias("leak"))
-    return pairs.select("doc_id", F.col("leak.item").alias("item_id"), F.col("leak.shingles").alias("n_shingles"),
-                        F.col("leak.found").alias("n_found"), F.col("leak.containment").alias("containment"))
+def leaking_pairs(docs: DataFrame, items: DataFrame, search: Search = Search(), doc_id: str = "doc_id", *, item_id: str = "item_id",
+                  item_text: str = "text") -> DataFrame:
+    """A row for each (document, item) it contains. The items of a set are joined to its hits as rows."""
+    numbered = numbered_items(items, item_id, item_text, search)
+    found = mark_leaks(docs.select(doc_id, "text"), numbered, search).select(F.col(f"doc.{doc_id}").alias("doc_id"), F.explode("leaks").alias("leak"))
+    pairs = found.select("doc_id", "leak.*").join(numbered.select("set", F.col("item").alias("item_id")), "set")
+    return pairs.select("doc_id", "item_id", F.col("shingles").alias("n_shingles"), F.col("found").alias("n_found"), "containment")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), text: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, search: Search = Search(), text: str = "text", *, item_id: str = "item_id",
+                  item_text: str = "text") -> DataFrame:
     """The documents that contain no item, columns as given."""
-    return mark_leaks(docs, items, search, text=text).where(F.size("leaks") == 0).select("doc.*")
+    return mark_leaks(docs, numbered_items(items, item_id, item_text, search), search, text=text).where(F.size("leaks") == 0).select("doc.*")

@@ -57,3 +57,15 @@ def test_columns_and_empty_tables(spark):
     assert out.schema == docs.schema and out.count() == docs.count() - 2
     none = items.limit(0)
     assert D.without_leaks(docs, none).count() == docs.count() and D.leaking_pairs(cases.empty(spark), items).count() == 0
+
+
+def test_copies_of_an_item_are_indexed_once(spark):
+    """A third of the benchmark is one text: the index holds it once, and every copy is a row of the result."""
+    texts = [(i, f"start {i} " + " ".join(f"q{k}" for k in range(40)) + " end") for i in range(5)]
+    items = spark.createDataFrame([(k, " ".join(f"q{j}" for j in range(30))) for k in range(400)] + [(1000 + k, " ".join(f"z{k}x{j}" for j in range(9))) for k in range(800)],
+                                  "item_id long, text string")
+    search = D.Search(index_values=10_000)
+    tables = list(D._index_passes(D.numbered_items(items, "item_id", "text", search), search))
+    assert sum(t.num_rows for t in tables) == 801 and max(sum(t["n"].to_pylist()) + 64 * t.num_rows for t in tables) < 2 * search.index_values
+    found = D.leaking_pairs(cases.documents(spark, texts), items, search).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, k) for i in range(5) for k in range(400)} and len(found) == 2000
