@@ -1,28 +1,32 @@
 """Exact Hamming-distance self-join over 64-bit hashes.
 
 A pair within distance t that is split into t + j bands agrees on at least j of them, so rows are keyed
-by every choice of j bands (`mask`, `hash & mask`) and only equal keys are compared. Buckets that stay
-too large are keyed again on their remaining bits; whatever is still large after that is compared in
-bounded blocks. No candidate is dropped.
+by every choice of j bands (`mask`, `hash & mask`) and only equal keys are compared, many buckets of a mask
+in one task. Buckets too large for that are keyed again on their remaining bits; whatever is still large
+after that is compared in bounded blocks. No candidate is dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import ceil
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hamming
 from ..session import cut_lineage, widen
-from .keyed import lookup_by_key
 
 BUCKET_ROWS = 2_000
 JOIN_ROWS = 64
 REFINE_ROUNDS = 2
+#: Rows that one task compares at once, in buckets.
+PART_BUCKETS = 32
+#: Pairs that a task holds before it gives them away.
+HELD_PAIRS = 1 << 20
+_PAIR = "hash_a long, hash_b long, hamming_distance int"
 _ALL = (1 << 64) - 1
 
 
@@ -50,15 +54,105 @@ def _submasks(mask: int, threshold: int) -> list[int]:
     return [mask | band for band in _bands(rest, threshold + 1)]
 
 
-def _compare(keyed: DataFrame, threshold: int, extra: list[str]) -> DataFrame:
-    left = keyed.select("mask", "value", *extra, F.col("hash").alias("hash_a"))
-    right = keyed.select("mask", "value", *extra, F.col("hash").alias("hash_b"))
-    joined = left.join(right, ["mask", "value", *extra]) if not extra else left.join(
-        right.drop("slice").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))),
-        ["mask", "value", "slices", "slice"])
-    distance = hamming(F.col("hash_a"), F.col("hash_b"))
-    return (joined.where((F.col("hash_a") < F.col("hash_b")) & (distance <= threshold))
-            .select("hash_a", "hash_b", distance.alias("hamming_distance")))
+def _close(hashes: np.ndarray, value: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with one value and hashes within the threshold: after sorting by value, each row meets the next one, the one after that ..."""
+    order = np.argsort(value, kind="stable")
+    hashes, value = hashes[order], value[order]
+    left, step = np.arange(len(hashes)), 0
+    while True:
+        step += 1
+        left = left[left + step < len(hashes)]
+        left = left[value[left] == value[left + step]]  # equal values are neighbours, so a row that has met its last one is done
+        if not len(left):
+            return
+        near = left[np.bitwise_count((hashes[left] ^ hashes[left + step]).view(np.uint64)) <= threshold]
+        if len(near):
+            yield hashes[near], hashes[near + step]
+
+
+def _batches(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The pairs as `hash_a, hash_b, hamming_distance` with the lesser hash first."""
+    held, rows = [], 0
+
+    def batch() -> pa.RecordBatch:
+        x, y = (np.concatenate([pair[i] for pair in held]) for i in (0, 1))
+        a, b, distance = np.minimum(x, y), np.maximum(x, y), np.bitwise_count((x ^ y).view(np.uint64))
+        other = a < b
+        return pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(distance[other].astype(np.int32))],
+                                          names=["hash_a", "hash_b", "hamming_distance"])
+
+    for pair in found:
+        held.append(pair)
+        rows += len(pair[0])
+        if rows >= HELD_PAIRS:
+            yield batch()
+            held, rows = [], 0
+    if held:
+        yield batch()
+
+
+def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    table = pa.Table.from_batches(list(batches))
+    return [table[name].to_numpy() for name in names]
+
+
+def _keyed(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """Each hash under every mask: `hash, mask, value`. Few hashes are one file, but each is there once for every mask."""
+    return (widen(distinct).withColumn("mask", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])))
+            .withColumn("value", F.col("hash").bitwiseAND(F.col("mask"))))
+
+
+def _part(rows: int, bucket_rows: int) -> Column:
+    """The values of a mask dealt into parts of about PART_BUCKETS full buckets."""
+    return F.pmod(F.xxhash64("value"), F.lit(max(1, ceil(rows / (PART_BUCKETS * bucket_rows))))).cast("int")
+
+
+def _hot(keyed: DataFrame, bucket_rows: int) -> DataFrame | None:
+    """`mask, value, n` of the values that fill a part beyond measure; None where every part is of moderate size.
+
+    Sizes of parts are aggregated before they are shuffled, and values are counted in crowded parts only.
+    """
+    parts = keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * PART_BUCKETS * bucket_rows)
+    crowded = cut_lineage(parts.select("mask", "part"))
+    if crowded.isEmpty():
+        return None
+    inside = keyed.join(F.broadcast(crowded), ["mask", "part"], "left_semi")
+    return cut_lineage(inside.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows))
+
+
+def _compare(keyed: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of rows of `mask, part, value, hash` that share mask and value, a part in one task."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(_close(*_columns(batches, "hash", "value"), threshold))
+
+    return keyed.groupBy("mask", "part").applyInArrow(compare, _PAIR)
+
+
+def _in_blocks(hot: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows of large buckets `mask, value, hash, n` in blocks of `bucket_rows`, every block with every other: `mask, value, i, j, own, hash`."""
+    blocks = F.ceil(F.col("n") / bucket_rows).cast("int")
+    return (hot.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("mask", "value", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "hash"))
+
+
+def _across(hashes: np.ndarray, own: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs of one block, or between two."""
+    first = own == own.min()
+    left, right = (hashes[first], hashes[~first]) if not first.all() else (hashes, hashes)
+    for x in left:
+        near = right[np.bitwise_count((right ^ x).view(np.uint64)) <= threshold]
+        if len(near):
+            yield np.full(len(near), x), near
+
+
+def _compare_blocks(hot: DataFrame, threshold: int, bucket_rows: int) -> DataFrame:
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, own = _columns(batches, "hash", "own")
+        if key[2] == key[3] or own.min() < own.max():  # the other block may be empty
+            yield from _batches(_across(hashes, own, threshold))
+
+    return _in_blocks(hot, bucket_rows).groupBy("mask", "value", "i", "j").applyInArrow(compare, _PAIR)
 
 
 def hamming_pairs(hashes: DataFrame, threshold: int, *, column: str = "hash",
@@ -67,28 +161,20 @@ def hamming_pairs(hashes: DataFrame, threshold: int, *, column: str = "hash",
     spark = hashes.sparkSession
     distinct = cut_lineage(hashes.select(F.col(column).alias("hash")).where("hash is not null").distinct())
     rows = distinct.count()
-    masks = _masks(threshold, rows)
-    mask_array = F.array(*[F.lit(_signed(m)) for m in masks])
-    distinct = widen(distinct)  # few hashes are one file, but each is there once for every mask
-    keyed = (distinct.withColumn("mask", F.explode(mask_array))
-             .withColumn("value", F.col("hash").bitwiseAND(F.col("mask"))))
+    keyed = _keyed(distinct, _masks(threshold, rows)).withColumn("part", _part(rows, bucket_rows))
     found = []
     rounds = 0
-    while rows > bucket_rows:
-        sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
-        hot_masks = [r[0] for r in sizes.where(F.col("n") > bucket_rows).select("mask").distinct().collect()]
-        if not hot_masks:
+    while True:
+        values = _hot(keyed, bucket_rows)
+        if values is None:
+            found.append(_compare(keyed, threshold))
             break
-        sized = lookup_by_key(keyed, sizes, ["mask", "value"], size="n", spread=[F.col("hash")])
-        sized = cut_lineage(sized)
-        found.append(_compare(sized.where(F.col("n") <= bucket_rows).drop("n"), threshold, []))
-        hot = sized.where(F.col("n") > bucket_rows)
-        if rounds == refine_rounds:
-            slices = F.ceil(F.col("n") / bucket_rows).cast("int")
-            sliced = hot.select("mask", "value", "hash", slices.alias("slices"),
-                                F.pmod(F.xxhash64("hash"), slices).cast("int").alias("slice"))
-            found.append(_compare(sliced, threshold, ["slices", "slice"]))
-            keyed = None
+        sized = keyed.join(F.broadcast(values), ["mask", "value"], "left")  # one value for each bucket_rows rows at most
+        found.append(_compare(sized.where("n is null").drop("n"), threshold))
+        hot = cut_lineage(sized.where("n is not null").drop("part"))
+        hot_masks = [r[0] for r in values.select("mask").distinct().collect()]
+        if rounds == refine_rounds or not hot_masks:
+            found.append(_compare_blocks(hot, threshold, bucket_rows))
             break
         finer = [(m, [_signed(s) for s in _submasks(m & _ALL, threshold)]) for m in hot_masks]
         table = spark.createDataFrame(finer, "mask bigint, finer array<bigint>")
@@ -96,10 +182,8 @@ def hamming_pairs(hashes: DataFrame, threshold: int, *, column: str = "hash",
         table = table.withColumn("finer", F.when(F.size("finer") > 0, F.col("finer")).otherwise(F.array("mask")))
         keyed = (hot.join(F.broadcast(table), "mask")
                  .select("hash", F.explode("finer").alias("mask"))
-                 .withColumn("value", F.col("hash").bitwiseAND(F.col("mask"))))
+                 .withColumn("value", F.col("hash").bitwiseAND(F.col("mask"))).distinct().withColumn("part", _part(rows, bucket_rows)))
         rounds += 1
-    if keyed is not None:
-        found.append(_compare(keyed, threshold, []))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -125,31 +209,46 @@ def _forest(hashes: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return links
 
 
+def _links(hashes: np.ndarray, value: np.ndarray, threshold: int, join_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All close pairs of buckets of up to `join_rows` hashes, a spanning forest of each larger one."""
+    _, bucket, sizes = np.unique(value, return_inverse=True, return_counts=True)
+    small = sizes[bucket] <= join_rows
+    yield from _close(hashes[small], value[small], threshold)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(sizes)
+    for at in np.nonzero(sizes > join_rows)[0]:
+        links = _forest(hashes[order[ends[at] - sizes[at]:ends[at]]], threshold)
+        if links:
+            yield tuple(np.array(links, dtype=np.int64).T)
+
+
 def hamming_links(hashes: DataFrame, threshold: int, *, column: str = "hash", bucket_rows: int = BUCKET_ROWS,
                   join_rows: int = JOIN_ROWS) -> DataFrame:
     """`hash_a < hash_b` links whose connected components are those of all pairs within `threshold`.
 
-    Buckets of equal bands as in `hamming_pairs`; those of up to `join_rows` hashes are joined, larger ones give a spanning
-    forest inside a task, in blocks of `bucket_rows` hashes with every block against every other. So a bucket of n hashes
-    gives about n links for each block it meets, never n * n pairs.
+    Buckets of equal bands as in `hamming_pairs`; those of up to `join_rows` hashes are compared in full, larger ones give a
+    spanning forest, those that fill a part in blocks of `bucket_rows` hashes with every block against every other. So a
+    bucket of n hashes gives about n links for each block it meets, never n * n pairs.
     """
     distinct = cut_lineage(hashes.select(F.col(column).alias("hash")).where("hash is not null").distinct())
-    masks = _masks(threshold, distinct.count())
-    keyed = (widen(distinct).withColumn("mask", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])))
-             .withColumn("value", F.col("hash").bitwiseAND(F.col("mask"))))
-    sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = cut_lineage(lookup_by_key(keyed, sizes, ["mask", "value"], size="n", spread=[F.col("hash")]).where("n is not null"))
-    joined = _compare(sized.where(F.col("n") <= join_rows).drop("n"), threshold, []).drop("hamming_distance")
-    blocks = F.ceil(F.col("n") / bucket_rows).cast("int")
-    dense = (sized.where(F.col("n") > join_rows).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
-             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("mask", "value", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "hash"))
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_forest(np.unique(pdf["hash"].to_numpy()), threshold), columns=["hash_a", "hash_b"], dtype="int64")
-
-    linked = dense.groupBy("mask", "value", "i", "j").applyInPandas(forest, "hash_a long, hash_b long")
-    return joined.unionByName(linked).distinct()
+    rows = distinct.count()
+    keyed = _keyed(distinct, _masks(threshold, rows)).withColumn("part", _part(rows, bucket_rows))
+    values = _hot(keyed, bucket_rows)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(_links(*_columns(batches, "hash", "value"), threshold, join_rows))
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _forest(np.unique(_columns(batches, "hash")[0]), threshold)
+        if links:
+            yield from _batches(iter([tuple(np.array(links, dtype=np.int64).T)]))
+
+    if values is None:
+        return keyed.groupBy("mask", "part").applyInArrow(link, _PAIR).drop("hamming_distance").distinct()
+    sized = keyed.join(F.broadcast(values), ["mask", "value"], "left")
+    linked = sized.where("n is null").drop("n").groupBy("mask", "part").applyInArrow(link, _PAIR)
+    dense = _in_blocks(sized.where("n is not null"), bucket_rows).groupBy("mask", "value", "i", "j").applyInArrow(forest, _PAIR)
+    return linked.unionByName(dense).drop("hamming_distance").distinct()
 
 
 def block_count(rows: int, block: int) -> int:

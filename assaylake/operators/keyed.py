@@ -13,6 +13,9 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 HOT_KEYS = 10_000
 COLD_SALTS = 4
+#: Keys beyond which the small side of a lookup is sorted and merged: its files are packed and it is there COLD_SALTS times, so
+#: Spark would take it for small and have the driver hold it for a broadcast.
+MERGED_KEYS = 100_000
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -50,5 +53,5 @@ def lookup_by_key(
     wide = F.col("_hot") | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     salted = (rows.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.when(wide, F.lit(COLD_SALTS) + F.pmod(at, F.lit(salts))).otherwise(F.pmod(at, F.lit(COLD_SALTS))).cast("int")))
-    joined = salted.join(cold, [*keys, "_salt"], "left")
+    joined = salted.join(cold.hint("merge") if stats.count() > MERGED_KEYS else cold, [*keys, "_salt"], "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot_{v}"), F.col(v)).alias(v) for v in values])

@@ -27,11 +27,12 @@ def near_duplicate_pairs(files: DataFrame, threshold: int = THRESHOLD, *,
 
     `file_pairs` is the number of file pairs the row stands for.
     """
-    groups = hash_groups(files)
+    groups = cut_lineage(hash_groups(files))  # read four times
     pairs = hamming_pairs(groups, threshold, bucket_rows=bucket_rows)
     a = groups.select(F.col("hash").alias("hash_a"), F.col("file_count").alias("files_a"), F.col("representative").alias("file_a"))
     b = groups.select(F.col("hash").alias("hash_b"), F.col("file_count").alias("files_b"), F.col("representative").alias("file_b"))
-    across = (pairs.join(a, "hash_a").join(b, "hash_b")
+    # merged: packed paths in a file look small enough for a broadcast, which the driver would have to hold
+    across = (pairs.join(a.hint("merge"), "hash_a").join(b.hint("merge"), "hash_b")
               .withColumn("file_pairs", F.col("files_a") * F.col("files_b")))
     within = groups.where("file_count > 1").select(
         F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("hamming_distance"),

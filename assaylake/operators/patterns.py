@@ -79,7 +79,7 @@ def first_fit_leaders(candidates: DataFrame, config: PatternConfig = PatternConf
     a = first.select(F.col("descriptor").alias("hash_a"), F.col("rank").alias("rank_a"))
     b = first.select(F.col("descriptor").alias("hash_b"), F.col("rank").alias("rank_b"))
     earlier_a = F.col("rank_a") < F.col("rank_b")
-    edges = cut_lineage(pairs.join(a, "hash_a").join(b, "hash_b").select(
+    edges = cut_lineage(pairs.join(a.hint("merge"), "hash_a").join(b.hint("merge"), "hash_b").select(
         F.when(earlier_a, F.col("hash_b")).otherwise(F.col("hash_a")).alias("later"),
         F.when(earlier_a, F.col("hash_a")).otherwise(F.col("hash_b")).alias("earlier"),
         F.greatest("rank_a", "rank_b").alias("later_rank"), F.least("rank_a", "rank_b").alias("earlier_rank")))
