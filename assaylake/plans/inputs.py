@@ -6,8 +6,11 @@ features, tensors and model outputs, and events for record streams.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import chain as chains
 from ..operators.ordering import position_in_group
@@ -45,27 +48,26 @@ def manifest(t: Tables) -> DataFrame:
                               F.octet_length("text").cast("long").alias("size_bytes"))
 
 
-def hashed(t: Tables) -> DataFrame:
-    """Documents with the difference hash of their text grid."""
-    # one byte per character, so that a cell is cut in constant time from the binary form
-    flat = F.regexp_replace("text", f"[^{_BRIGHT}]", "x").cast("binary")
+_IS_BRIGHT = np.array([chr(c) in _BRIGHT for c in range(128)] + [False])
+
 
-    def cells(m):
-        def cell(c):
-            start = F.floor(c * F.length(m) / 72).cast("int")
-            return F.substring(m, start + 1, F.floor((c + 1) * F.length(m) / 72).cast("int") - start).cast("string")
+@F.pandas_udf(T.LongType())
+def _grid_hash(texts: pd.Series) -> pd.Series:
+    """The 64 comparisons of neighbouring cells of each text, first one highest; a missing text has none."""
+    def of(text: str | None) -> int:
+        if text is None:
+            return 0
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        before = np.concatenate([[0], np.cumsum(_IS_BRIGHT[np.minimum(points, 128)])])
+        cells = np.diff(before[np.arange(73) * len(points) // 72]).reshape(8, 9)
+        return int.from_bytes(np.packbits(cells[:, :-1] > cells[:, 1:]).tobytes(), "big", signed=True)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(71)), lambda c: F.length(F.translate(cell(c), "x", "")))
+    return pd.Series([of(text) for text in texts], dtype="int64")
 
-    def value(b):
-        # b is bound as a lambda variable, so the 72 cells are cut once per text
-        left = lambda i: F.floor(i / 8).cast("int") * 9 + i % 8
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(
-            F.get(b, left(i)) > F.get(b, left(i) + 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(63) - i))
-            .otherwise(F.lit(0).cast("long"))))
 
-    bits = F.transform(F.transform(F.array(flat), cells), value)[0]
-    return widen(t.documents).select("doc_id", doc_path(), "lang", "source", "n_chars", bits.alias("hash"))
+def hashed(t: Tables) -> DataFrame:
+    """Documents with the difference hash of their text grid."""
+    return widen(t.documents).select("doc_id", doc_path(), "lang", "source", "n_chars", _grid_hash("text").alias("hash"))
 
 
 # --- labels ---------------------------------------------------------------------------------
