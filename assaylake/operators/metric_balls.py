@@ -2,9 +2,10 @@
 
 The indexed points are dealt to their nearest pivot; a ball is cut into rings of its members' distance to the pivot.
 For a query at distance D from a pivot, no member of the ring [low, high] is closer than max(D - high, low - D, 0). Every
-query visits its rings in a fixed order, near pivots first and in growing steps, and leaves out each ring whose bound is
+query visits a few rings in a fixed order, near pivots first, and then all that are left, except each ring whose bound is
 above the best distance found so far; a ring that cannot win is never visited, one that can always is. Pivots and rings
-are bounded in number and go to every task; points and queries meet only by ring, in blocks of bounded rows on both sides.
+are bounded in number and go to every task; points and queries meet only by ring at first, then by group of rings, in blocks
+of bounded rows on both sides, so a query is copied for every group of rings and not for every ring.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ BLOCK_ROWS = 16_384
 #: Chord lengths come from square roots of rounded differences; bounds give way by this much, so no tie is lost.
 SLACK = 1e-6
 _CELLS = 1 << 21
+#: Rings in visiting order that are visited one by one, by round; what is left is visited by groups of rings.
+FIRST_STEPS = (1, 4)
+#: Rows of a group of rings at least: smaller blocks only add groups.
+LEAST_GROUP = 4_096
+#: Cosines further apart than this differ in the twelfth decimal.
+_TIE = 4e-12
 
 
 def chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -39,6 +46,24 @@ def cosine_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(1.0 - np.clip(a @ b.T, -1.0, 1.0), 12)
 
 
+def _least(a: np.ndarray, b: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of `a` the least of its `cosine_distances` to the rows of `b` and the first place of it; only rows with a near tie are rounded whole."""
+    cosine = a @ b.T
+    if skip is not None:
+        cosine[skip] = -np.inf
+    top = cosine.max(1)
+    place = cosine.argmax(1)
+    distance = np.round(1.0 - np.clip(top, -1.0, 1.0), 12)
+    tied = np.nonzero(np.count_nonzero(cosine >= top[:, None] - _TIE, axis=1) > 1)[0]
+    if len(tied):
+        whole = np.round(1.0 - np.clip(cosine[tied], -1.0, 1.0), 12)
+        if skip is not None:
+            whole[skip[tied]] = np.inf
+        place[tied] = whole.argmin(1)
+    distance[np.isneginf(top)] = np.inf
+    return distance, place
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
@@ -154,11 +179,8 @@ def _compared(visits: DataFrame, balls: Balls, block_rows: int, own: bool) -> Da
         points, right_side, ids = members["point"].to_numpy(), _matrix(members["v"]), queries["id"].to_numpy()
         left_side, found = _matrix(queries["v"]), []
         for start in range(0, len(ids), 256):
-            distance = cosine_distances(left_side[start:start + 256], right_side)
-            if own:
-                distance[ids[start:start + 256][:, None] == points[None, :]] = np.inf
-            best = distance.argmin(axis=1)
-            found.append((distance[np.arange(len(best)), best], points[best]))
+            distance, best = _least(left_side[start:start + 256], right_side, ids[start:start + 256][:, None] == points[None, :] if own else None)
+            found.append((distance, points[best]))
         out = pd.DataFrame({"id": ids, "distance": np.concatenate([d for d, _ in found]), "point": np.concatenate([p for _, p in found]), "compared": len(points)})
         out.loc[~np.isfinite(out["distance"]), "compared"] -= 1
         return out
@@ -167,23 +189,89 @@ def _compared(visits: DataFrame, balls: Balls, block_rows: int, own: bool) -> Da
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, f"id {kind}, distance double, point {point}, compared long")
 
 
+def _rest(state: DataFrame, balls: Balls, block_rows: int, own: bool) -> DataFrame:
+    """Best member of all rings that a query has not visited and that can win: `id, distance, point, compared`, a row for each group of rings.
+
+    A group holds rings of about `block_rows` members (LEAST_GROUP at least); a query goes to each group in which a ring can win, and there meets
+    ring by ring while its best distance falls.
+    """
+    plain, block_rows = balls.plain, max(block_rows, LEAST_GROUP)
+    catalog = balls.members.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).orderBy("ring").toPandas()  # as many rows as rings
+    group = np.zeros(len(balls.ball), dtype=np.int64)
+    group[catalog["ring"]] = (np.cumsum(catalog["n"]) - catalog["n"]) // block_rows
+    slices = ceil(state.count() / block_rows)
+    kind, point = state.schema["id"].dataType.simpleString(), balls.members.schema["point"].dataType.simpleString()
+    columns = ["id", "distance", "point", "compared"]
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, order, worth in _unvisited(batches, plain):
+            query, at = np.nonzero(worth)
+            query, to = np.divmod(np.unique(query * (group.max() + 1) + group[order[query, at]]), group.max() + 1)
+            first = [o[:d].tolist() for o, d in zip(order, part["done"])]
+            rows = max(1, (1 << 23) // len(part["v"].iloc[0]))  # 64 MB of vectors at once
+            for start in range(0, len(query), rows):
+                q = query[start:start + rows]
+                yield pd.DataFrame({"to": to[start:start + rows], "id": part["id"].to_numpy()[q], "v": part["v"].to_numpy()[q],
+                                    "distance": part["distance"].to_numpy()[q], "seen": [first[i] for i in q]})
+
+    def kernel(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or members.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        members = members.sort_values(["ring", "point"], kind="stable")
+        rings, starts = np.unique(members["ring"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(members))
+        points, right_side, ids, left_side = members["point"].to_numpy(), _matrix(members["v"]), queries["id"].to_numpy(), _matrix(queries["v"])
+        pivots, ball, low, high, _ = plain
+        away = chords(left_side, pivots[ball[rings]])
+        bound = np.maximum(away - high[rings], low[rings] - away)
+        for row, seen in enumerate(queries["seen"]):
+            bound[row, np.isin(rings, seen)] = np.inf
+        known = queries["distance"].to_numpy()
+        best, at, met = np.full(len(ids), np.inf), np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        for k in np.argsort(bound.min(0), kind="stable"):
+            limit = np.sqrt(2.0 * np.minimum(np.minimum(known, best), 2.0)) + SLACK
+            worth = np.nonzero(bound[:, k] <= limit)[0]
+            inside = np.arange(starts[k], ends[k])
+            rows = max(1, (1 << 22) // len(inside))
+            for start in range(0, len(worth), rows):
+                q = worth[start:start + rows]
+                skip = ids[q][:, None] == points[inside][None, :] if own else None
+                distance, place = _least(left_side[q], right_side[inside], skip)
+                place = inside[place]
+                met[q] += len(inside) - (0 if skip is None else skip.sum(1))
+                better = (distance < best[q]) | ((distance == best[q]) & (points[place] < points[at[q]]))
+                best[q[better]], at[q[better]] = distance[better], place[better]
+        return pd.DataFrame({"id": ids, "distance": best, "point": points[at], "compared": met})
+
+    numbered = state.sparkSession.createDataFrame([(int(r), int(group[r])) for r in catalog["ring"]], "ring int, to long")
+    slice_of = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(slices)).cast("int")
+    left = state.mapInPandas(plan, f"to long, id {kind}, v array<double>, distance double, seen array<int>").withColumn("slice", slice_of)
+    right = (balls.members.join(F.broadcast(numbered), "ring").select("to", "ring", "point", "v")
+             .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
+    return left.groupBy("to", "slice").cogroup(right.groupBy("to", "slice")).applyInPandas(
+        kernel, f"id {kind}, distance double, point {point}, compared long")
+
+
 def nearest(queries: DataFrame, balls: Balls, *, own: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Nearest indexed point of every query `id, v` (unit vectors): `id, distance` (cosine, 12 decimals), `point`, `compared`.
 
     Ties go to the lowest point. `own` leaves out the point whose name is the query's id. `compared` counts the indexed
-    points a query was compared with. Rounds widen (1, 4, 16, ... rings in visiting order), so their number is bounded.
+    points a query was compared with. Two rounds visit single rings, one all that is left.
     """
     point = balls.members.schema["point"].dataType
     state = queries.select("id", "v", F.lit(0).alias("done"), F.lit(float("inf")).alias("distance"), F.lit(None).cast(point).alias("point"), F.lit(0).cast("long").alias("compared"))
-    state, done, width, finished = cut_lineage(widen(state)), 0, 1, []
-    while True:
-        visits = cut_lineage(_visits(state, balls, width))
-        hits = _compared(visits, balls, block_rows, own).where(F.col("distance") < float("inf")).groupBy("id").agg(
+    state, done, finished = cut_lineage(widen(state)), 0, []
+    for width in (*FIRST_STEPS, None):
+        if width is None:
+            met = _rest(state, balls, block_rows, own)
+        else:
+            met = _compared(cut_lineage(_visits(state, balls, width)), balls, block_rows, own)
+        hits = met.where(F.col("distance") < float("inf")).groupBy("id").agg(
             F.min(F.struct("distance", "point")).alias("hit"), F.sum("compared").alias("more"))
         mine = F.struct("distance", "point")
         best = F.when(F.col("hit").isNull() | (mine < F.col("hit")), mine).otherwise(F.col("hit"))
-        done, width = done + width, width * 4
-        state = state.join(hits, "id", "left").select(
+        done = len(balls.ball) if width is None else done + width
+        state = state.join(hits.hint("merge"), "id", "left").select(
             "id", "v", F.lit(done).alias("done"), best["distance"].alias("distance"), best["point"].alias("point"),
             (F.col("compared") + F.coalesce("more", F.lit(0))).alias("compared"))
         if done >= len(balls.ball):
