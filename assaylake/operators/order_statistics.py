@@ -2,7 +2,7 @@
 
 A group's values are counted once. Each round cuts every group's current range into bins, finds the bin of the wanted
 rank by a cumulative count, and goes on with the least and greatest value in it; after a fixed number of rounds the few values
-left are ranked. Everything stays rows: ranks, ranges and results are columns of one row for each group.
+left are ranked. Small groups need no rounds. Everything stays rows: ranks, ranges and results are columns of one row for each group.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .keyed import lookup_by_key
 
 ROUNDS = 2
 BINS = 1024
+#: Where no group holds more distinct values than this, all of them are ranked at once.
+RANKED_VALUES = 100_000
 #: Median absolute deviation of a normal distribution, as a share of its standard deviation.
 NORMAL_MAD = 0.6745
 
@@ -29,7 +31,8 @@ def _within(base: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
 
 
-def grouped_medians(rows: DataFrame, keys: Sequence[str], value: str, *, rounds: int = ROUNDS, bins: int = BINS) -> DataFrame:
+def grouped_medians(rows: DataFrame, keys: Sequence[str], value: str, *, rounds: int = ROUNDS, bins: int = BINS,
+                    ranked_values: int = RANKED_VALUES) -> DataFrame:
     """`keys, count, median` of the non-null, non-NaN values of every group, exact at every size; keys are not null."""
     keys = list(keys)
     number = F.col(value).cast("double")
@@ -39,6 +42,14 @@ def grouped_medians(rows: DataFrame, keys: Sequence[str], value: str, *, rounds:
     sizes = cut_lineage(sizes)
     targets = sizes.select(*keys, "held", "low", "high", F.explode(both).alias("want")).withColumn("rank", F.col("want"))
     order = Window.partitionBy(*keys, "want")
+    largest = sizes.agg(F.max("held")).first()[0] or 0
+    if largest <= ranked_values:
+        group = Window.partitionBy(*keys)
+        first = F.coalesce(F.sum("n").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = base.withColumn("count", F.sum("n").over(group)).withColumn("before", first)
+        holds = lambda rank: (F.col("before") <= F.expr(rank)) & (F.expr(rank) < F.col("before") + F.col("n"))
+        return ranked.where(holds("(count - 1) div 2") | holds("count div 2")).groupBy(*keys).agg(
+            F.first("count").alias("count"), (F.min("v") / 2 + F.max("v") / 2).alias("median"))
     for _ in range(rounds):
         share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)  # halves: a difference may pass the largest double
         place = F.when(F.col("high") > F.col("low"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(0).cast("int")
