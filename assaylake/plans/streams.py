@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import SHIFT_FEATURES, SHIFT_HISTOGRAMS
 from ..operators import chain as ch
 from ..operators import nearest as ne
-from ..session import cut_lineage, shared_folder
+from ..session import cut_lineage, shared_folder, shuffle_partitions
 from ..streaming import chain_state, drain, replays, shift_windows
 from . import inputs
 from .catalog import Tables, query, with_sql
@@ -32,7 +32,8 @@ def _arriving(t: Tables, rows: DataFrame, folder: str, files: int, **options) ->
 def x1_stream_chain_issues(t: Tables):
     """The issues of all chains when their records arrive shuffled over several batches."""
     folder = _folder(t)
-    stream = _arriving(t, inputs.tampered(t), folder, 4, maxFilesPerTrigger=2)
+    half = max(2, shuffle_partitions(t.spark))  # files of each of two batches
+    stream = _arriving(t, inputs.tampered(t), folder, 2 * half, maxFilesPerTrigger=half)
     return drain.drained(chain_state.stream_chain_issues(stream, ch.PROVENANCE), folder, "issues").drop("message")
 
 

@@ -1,26 +1,36 @@
 """C1.5 over a stream: chains checked record by record in keyed state, whatever order the records arrive in.
 
-State of a chain: its head (hash and next position), the values its records must not repeat with the position that
-used them first (each forgotten after a time to live), and records that came before their predecessor. Those wait until
-the gap closes; a timer releases them when it does not.
+State of a chain: its head (hash and next position), the values its records must not repeat (each forgotten after a time to
+live), and records that came before their predecessor. Those wait until the gap closes; a timer releases them when it does not.
+
+A call to the state store costs more than checking a record, so state is kept in blocks of about BLOCK records (as JSON text, the
+cheapest form on the way there) that are read and written once for a chain and batch: waiting records and sequences by their number, values by linear hashing, where one
+block is split for every BLOCK new values.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 from ..fixed_values import GENESIS_HASH
 from ..operators.chain import ChainSpec, record_hash
 
+BLOCK = 64
+#: Blocks of a state that a task holds before it writes them.
+HELD_BLOCKS = 4_096
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_RECORD = "sequence long, value string, previous string, hash string, sound boolean, signed boolean"
+#: What a record's JSON text holds; a missing field is null.
+_FIELDS = ("sequence", "value", "previous", "hash", "sound", "signed")
+_HEAD = "hash string, next long, last_waiting long, used_values long, timed boolean"
 OUT = "chain_id string, pos long, sequence long, issue_type string, expected_sequence long, message string"
+_ISSUE = Row("chain_id", "pos", "sequence", "issue_type", "expected_sequence", "message")
 #: Issues that only a stream knows; the batch check sees every position once and without gaps.
 REPEATED_POSITION = "repeated_position"
 MISSING_POSITIONS = "missing_positions"
@@ -41,36 +51,118 @@ class _Names:
     messages: dict
 
 
+def _bucket(value: str, buckets: int) -> int:
+    """Linear hashing: the low bits that number the buckets, one bit less for those that are not split yet."""
+    top = 1 << buckets.bit_length() - 1
+    low = int.from_bytes(hashlib.blake2b(value.encode("utf-8"), digest_size=8).digest(), "big") & (2 * top - 1)
+    return low if low < buckets else low - top
+
+
+class _Blocks:
+    """A map state `block -> entries` as dicts, while the rows of one chain are handled.
+
+    `fresh`: the state holds nothing yet. Entries whose value is not above `oldest` are forgotten.
+    """
+
+    def __init__(self, state: MapState, fresh: bool, oldest: int | None = None):
+        self.state, self.fresh, self.oldest = state, fresh, oldest
+        self.held: dict[int, dict] = {}
+        self.changed: set[int] = set()
+
+    def at(self, block: int, *, change: bool = False) -> dict:
+        if block not in self.held:
+            if len(self.held) >= HELD_BLOCKS:
+                self.flush()
+            stored = None if self.fresh else self.state.getValue((block,))
+            rows = json.loads(stored[0]) if stored is not None else ()
+            self.held[block] = {k: v for k, v in rows if self.oldest is None or v > self.oldest}
+        if change:
+            self.changed.add(block)
+        return self.held[block]
+
+    def flush(self) -> None:
+        for block in self.changed:
+            if self.held[block]:
+                self.state.updateValue((block,), (json.dumps(list(self.held[block].items())),))
+            elif not self.fresh:
+                self.state.removeKey((block,))
+        self.held, self.changed, self.fresh = {}, set(), False
+
+
 class ChainProcessor(StatefulProcessor):
     def __init__(self, names: _Names, check_signatures: bool, ttl_ms: int | None, wait_ms: int):
         self.names, self.check_signatures, self.ttl_ms, self.wait_ms = names, check_signatures, ttl_ms, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "hash string, next long")
-        self.values = handle.getMapState("values", "value string", "pos long", self.ttl_ms)
-        self.sequences = handle.getMapState("sequences", "sequence long", "pos long", self.ttl_ms)
-        self.early = handle.getMapState("early", "pos long", _RECORD)
-        self.waiting = handle.getValueState("waiting", "least long, most long")
+        self.head_state = handle.getValueState("head", _HEAD)
+        self.value_state = handle.getMapState("values", "block long", "entries string", self.ttl_ms)
+        self.sequence_state = handle.getMapState("sequences", "block long", "entries string", self.ttl_ms)
+        self.early_state = handle.getMapState("early", "block long", "entries string")
 
     def close(self) -> None:
         pass
 
+    def _open(self, now: int) -> None:
+        """The state of the chain whose rows or timer come next."""
+        stored = self.head_state.get()
+        self.head, self.next, self.last_waiting, self.used_values, self.timed = stored or (GENESIS_HASH, 0, None, 0, False)
+        oldest = None if self.ttl_ms is None else now - self.ttl_ms
+        self.now = now
+        self.values = _Blocks(self.value_state, not self.used_values, oldest)
+        self.sequences = _Blocks(self.sequence_state, stored is None, oldest)
+        self.early = _Blocks(self.early_state, self.last_waiting is None)
+
+    def _store(self) -> None:
+        """Write what has changed and set a timer where records wait."""
+        for blocks in (self.values, self.sequences, self.early):
+            blocks.flush()
+        if self.last_waiting is not None and self.last_waiting < self.next:
+            self.last_waiting = None
+        if self.last_waiting is not None and not self.timed:
+            self.handle.registerTimer(self.now + self.wait_ms)
+            self.timed = True
+        self.head_state.update((self.head, self.next, self.last_waiting, self.used_values, self.timed))
+
     def _issue(self, pos: int, sequence: int | None, name: str, expected: int | None = None) -> tuple:
         return pos, sequence, name, expected, {**_STREAM_MESSAGES, **self.names.messages}[name]
 
-    @staticmethod
-    def _again(state, key, pos: int) -> bool:
-        """Whether an earlier position has the key; otherwise this one is the first."""
-        if key is None:
+    def _sequence_again(self, sequence: int | None) -> bool:
+        """Whether an earlier position has the sequence; otherwise this one is the first."""
+        if sequence is None:
             return False
-        if state.containsKey((key,)):
+        if sequence in self.sequences.at(sequence // BLOCK):
             return True
-        state.updateValue((key,), (pos,))
+        self.sequences.at(sequence // BLOCK, change=True)[sequence] = self.now
         return False
 
-    def _checked(self, pos: int, record: tuple, head: str, gap: bool = False) -> list[tuple]:
-        sequence, value, previous, _, sound, signed = record
+    def _value_again(self, value: str | None) -> bool:
+        """The same for the value."""
+        if value is None:
+            return False
+        buckets = self.used_values // BLOCK + 1
+        bucket = _bucket(value, buckets)
+        if value in self.values.at(bucket):
+            return True
+        self.values.at(bucket, change=True)[value] = self.now
+        self.used_values += 1
+        if self.used_values // BLOCK + 1 > buckets:
+            self._split(buckets)
+        return False
+
+    def _split(self, buckets: int) -> None:
+        """One more bucket, with its share of the bucket that it is split from."""
+        source = buckets - (1 << buckets.bit_length() - 1)
+        old = dict(self.values.at(source, change=True))
+        moved = {v: used for v, used in old.items() if _bucket(v, buckets + 1) == buckets}
+        if moved:
+            self.values.at(buckets, change=True).update(moved)
+            left = self.values.at(source, change=True)
+            for value in moved:
+                del left[value]
+
+    def _checked(self, pos: int, record: str, gap: bool = False) -> list[tuple]:
+        sequence, value, previous, own, sound, signed = map(json.loads(record).get, _FIELDS)
         found = []
         if not sound:
             found.append(self._issue(pos, sequence, self.names.tampering))
@@ -78,78 +170,50 @@ class ChainProcessor(StatefulProcessor):
             found.append(self._issue(pos, sequence, "invalid_signature"))
         if gap:
             found.append(self._issue(pos, sequence, MISSING_POSITIONS))
-        elif previous != head:
+        elif previous != self.head:
             found.append(self._issue(pos, sequence, "broken_chain"))
         if sequence != pos + 1:
             found.append(self._issue(pos, sequence, "sequence_discontinuity", pos + 1))
-        if self._again(self.sequences, sequence, pos):
+        if self._sequence_again(sequence):
             found.append(self._issue(pos, sequence, "duplicate_sequence"))
-        if self._again(self.values, value, pos):
+        if self._value_again(value):
             found.append(self._issue(pos, sequence, self.names.reuse))
+        self.head, self.next = own, pos + 1
         return found
 
-    def _released(self, head: str, at: int, gap: bool) -> tuple[list[tuple], str, int]:
-        """Buffered records from position `at` on, as far as they follow one another."""
+    def _released(self, gap: bool = False) -> list[tuple]:
+        """Waiting records from the next position on, as far as they follow one another."""
         found = []
-        while self.early.containsKey((at,)):
-            record = tuple(self.early.getValue((at,)))
-            self.early.removeKey((at,))
-            found += self._checked(at, record, head, gap)
-            head, at, gap = record[3], at + 1, False
-        return found, head, at
-
-    def _wait(self, now: int, at: int) -> None:
-        """Remember which buffered positions are left and set a timer for them."""
-        least, most = tuple(self.waiting.get()) if self.waiting.exists() else (None, None)
-        if least is None or most < at:
-            self.waiting.clear()
-            return
-        if not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(now + self.wait_ms)
-
-    def _out(self, key, found: list[tuple]) -> Iterator[pd.DataFrame]:
-        columns = ["pos", "sequence", "issue_type", "expected_sequence", "message"]
-        table = pd.DataFrame(found, columns=columns).astype({"sequence": "Int64", "expected_sequence": "Int64"})
-        table.insert(0, "chain_id", key[0])
-        yield table
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        head, at = tuple(self.head.get()) if self.head.exists() else (GENESIS_HASH, 0)
-        batch = pd.concat(list(rows)).astype(object)
-        batch = batch.where(batch.notna(), None)
-        found, least, most = [], None, None
-        for pos, *record in sorted(batch[["pos", "sequence", "value", "previous", "hash", "sound", "signed"]].itertuples(index=False, name=None), key=lambda r: r[0]):
-            if pos < at or (pos > at and self.early.containsKey((pos,))):
-                found.append(self._issue(pos, record[0], REPEATED_POSITION))
-            elif pos > at:
-                self.early.updateValue((pos,), tuple(record))
-                least, most = min(pos, least or pos), max(pos, most or pos)
-            else:
-                found += self._checked(pos, tuple(record), head)
-                more, head, at = self._released(record[3], pos + 1, False)
-                found += more
-        self.head.update((head, at))
-        if least is not None:
-            old = tuple(self.waiting.get()) if self.waiting.exists() else (least, most)
-            self.waiting.update((min(least, old[0]), max(most, old[1])))
-        self._wait(timerValues.getCurrentProcessingTimeInMs(), at)
-        yield from self._out(key, found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        head, at = tuple(self.head.get()) if self.head.exists() else (GENESIS_HASH, 0)
+        while self.last_waiting is not None and self.next <= self.last_waiting and self.next in self.early.at(self.next // BLOCK):
+            record = self.early.at(self.next // BLOCK, change=True).pop(self.next)
+            found += self._checked(self.next, record, gap)
+            gap = False
+        return found
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self._open(timerValues.getCurrentProcessingTimeInMs())
         found = []
-        if self.waiting.exists():
-            left = sorted(p for (p,) in self.early.keys() if p >= at)
-            if left:
-                found, head, at = self._released(head, left[0], True)
-                self.head.update((head, at))
-                rest = [p for p in left if p >= at]
-                if rest:
-                    self.waiting.update((rest[0], rest[-1]))
-                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-                else:
-                    self.waiting.clear()
-        yield from self._out(key, found)
+        for pos, record in sorted(((row["pos"], row["record"]) for row in rows), key=lambda r: r[0]):
+            if pos < self.next or (pos > self.next and pos in self.early.at(pos // BLOCK)):
+                found.append(self._issue(pos, json.loads(record).get("sequence"), REPEATED_POSITION))
+            elif pos > self.next:
+                self.early.at(pos // BLOCK, change=True)[pos] = record
+                self.last_waiting = max(pos, self.last_waiting or pos)
+            else:
+                found += self._checked(pos, record)
+                found += self._released()
+        self._store()
+        yield from (_ISSUE(key[0], *issue) for issue in found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._open(timerValues.getCurrentProcessingTimeInMs())
+        self.timed, found = False, []
+        if self.last_waiting is not None:
+            first = min(block for (block,) in self.early_state.keys())
+            self.next = min(self.early.at(first))
+            found = self._released(gap=True)
+        self._store()
+        yield from (_ISSUE(key[0], *issue) for issue in found)
 
 
 def stream_chain_issues(records: DataFrame, spec: ChainSpec, *, signature_valid: Column | None = None, forget_after_seconds: float | None = None,
@@ -163,8 +227,9 @@ def stream_chain_issues(records: DataFrame, spec: ChainSpec, *, signature_valid:
     """
     use_keyed_state(records.sparkSession)
     signed = F.lit(True) if signature_valid is None else F.coalesce(signature_valid, F.lit(False))
-    rows = records.select("chain_id", "pos", "sequence", F.col(spec.unique).alias("value"), F.col(spec.previous).alias("previous"),
-                          F.col(spec.hash).alias("hash"), record_hash(spec).eqNullSafe(F.col(spec.hash)).alias("sound"), signed.alias("signed"))
+    fields = (F.col("sequence"), F.col(spec.unique), F.col(spec.previous), F.col(spec.hash), record_hash(spec).eqNullSafe(F.col(spec.hash)), signed)
+    record = F.to_json(F.struct(*[field.alias(name) for name, field in zip(_FIELDS, fields)]))
+    rows = records.select("chain_id", "pos", record.alias("record"))
     ttl = None if forget_after_seconds is None else int(1000 * forget_after_seconds)
     processor = ChainProcessor(_Names(spec.tampering, spec.reuse, dict(spec.messages)), signature_valid is not None, ttl, int(1000 * wait_seconds))
-    return rows.groupBy("chain_id").transformWithStateInPandas(processor, OUT, "append", "ProcessingTime")
+    return rows.groupBy("chain_id").transformWithState(processor, OUT, "append", "ProcessingTime")
