@@ -75,12 +75,13 @@ def build_chain(rows: DataFrame, spec: ChainSpec, *, heads: DataFrame | None = N
 
     `rows` has the covered fields; `heads` (`chain_id, head`) continues existing chains. A hash needs its predecessor,
     so a chain is one ordered pass by nature: one shuffle on the chain, a sort that spills, and a fold that keeps only
-    the running hash. The JSON text around the hash is made in the JVM; the Python side only hashes.
+    the running hash. The JSON text around the hash is made in the JVM, after the sort: before it, every field would be
+    shuffled and sorted twice. The Python side only hashes.
     """
     before, after = _around(spec)
     columns = [c for c in rows.columns if c not in (spec.previous, spec.hash)]
     schema = rows.select(*columns).schema.add(spec.previous, "string").add(spec.hash, "string")
-    part = rows.select(*columns, before.alias("_before"), after.alias("_after"))
+    part = rows.select(*columns)
     start = F.lit(GENESIS_HASH)
     if heads is not None:
         part = part.join(heads.select("chain_id", F.col("head").alias("_head")), "chain_id", "left")
@@ -91,7 +92,8 @@ def build_chain(rows: DataFrame, spec: ChainSpec, *, heads: DataFrame | None = N
         return _fold(batches, previous_col, hash_col)
 
     part = part.withColumn("_head", start)
-    return part.repartition("chain_id").sortWithinPartitions("chain_id", "pos").mapInPandas(fold, schema)
+    ordered = part.repartition("chain_id").sortWithinPartitions("chain_id", "pos")
+    return ordered.withColumns({"_before": before, "_after": after}).mapInPandas(fold, schema)
 
 
 def chain_heads(chain: DataFrame, spec: ChainSpec) -> DataFrame:

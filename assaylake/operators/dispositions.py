@@ -9,7 +9,7 @@ from ..fixed_values import DISPOSITIONS
 from ..functions.hashing import canonical_json, sha256_text
 from ..session import cut_lineage
 from .chain import AUDIT, build_chain, chain_heads
-from .ordering import position_in_group
+from .ordering import previous_in_group
 
 NOTE_LIMIT = 4_000
 
@@ -47,16 +47,14 @@ def append_decisions(decisions: DataFrame, audit_chain: DataFrame, batch: DataFr
     stored = current_dispositions(decisions).select("assessment_id", "finding_id", F.col("disposition").alias("_stored"))
     # the previous decision in the batch is the one placed just before on the same finding
     keys = ["assessment_id", "finding_id"]
-    good = position_in_group(good, keys, [F.col("pos")], "_k")
-    earlier = good.select(*keys, (F.col("_k") + 1).alias("_k"), F.col("disposition").alias("_batch"))
-    rows = (good.join(earlier, [*keys, "_k"], "left").join(stored, keys, "left")
-            .withColumn("old_disposition", F.coalesce("_batch", "_stored")).drop("_batch", "_stored", "_k")
+    rows = (previous_in_group(good, keys, [F.col("pos")], "disposition", "_batch").join(stored, keys, "left")
+            .withColumn("old_disposition", F.coalesce("_batch", "_stored")).drop("_batch", "_stored")
             .withColumn("payload_digest", binding_digest()))
     heads = cut_lineage(chain_heads(audit_chain, AUDIT))
     placed = (rows.withColumn("chain_id", F.col("assessment_id")).join(heads.select("chain_id", "length"), "chain_id", "left")
               .withColumn("pos", F.col("pos") + F.coalesce("length", F.lit(0))).withColumn("sequence", F.col("pos") + 1))
     placed = placed.withColumns({"event_type": F.lit("ANALYST_DISPOSITION_CHANGED"), "source_engine": F.lit("C3")}).drop("length")
-    linked = build_chain(placed, AUDIT, heads=heads.select("chain_id", "head"))
+    linked = cut_lineage(build_chain(placed, AUDIT, heads=heads.select("chain_id", "head")))  # both results are columns of it
     entries = linked.select("chain_id", "pos", "sequence", "event_id", "timestamp", "event_type", "source_engine", "affected_asset",
                             "payload_digest", "previous_entry_hash", "entry_hash")
     stored_rows = linked.select(
@@ -72,7 +70,8 @@ def verify_decisions(decisions: DataFrame, entries: DataFrame) -> DataFrame:
     state = (F.when(F.col("events").isNull(), "missing_event").when(F.col("events") > 1, "repeated_event")
              .when(~F.col("entry_hash").eqNullSafe(F.col("audit_entry_hash")), "entry_hash_mismatch")
              .when(F.col("payload_digest") != binding_digest(), "payload_mismatch").otherwise("bound"))
-    return decisions.join(events, "audit_event_id", "left").withColumn("binding_state", state).drop("events", "entry_hash", "payload_digest")
+    # merged: as many events as decisions, and their packed files may look small enough for a broadcast
+    return decisions.join(events.hint("merge"), "audit_event_id", "left").withColumn("binding_state", state).drop("events", "entry_hash", "payload_digest")
 
 
 def store_consistency(decisions: DataFrame, entries: DataFrame) -> DataFrame:

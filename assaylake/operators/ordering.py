@@ -53,6 +53,21 @@ def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return placed.select(*df.columns, (F.col("_index") - F.col("_first")).alias(name))
 
 
+def previous_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str, *,
+                      window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """`value` of the row just before in the group, null for the first.
+
+    As in `position_in_group`, a window where the largest group fits; otherwise rows meet the ones placed before them.
+    """
+    keys, order = list(keys), list(order)
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= window_rows:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    placed = cut_lineage(position_in_group(df, keys, order, "_k", window_rows=window_rows))
+    before = placed.select(*keys, (F.col("_k") + 1).alias("_k"), F.col(value).alias(name))
+    return placed.join(before, [*keys, "_k"], "left").drop("_k")
+
+
 def ordered_digest(df: DataFrame, order: Sequence[Column], item: Column, *, fan_out: int = FAN_OUT) -> DataFrame:
     """(item_count, digest) of all items in order, see tree_digest; one row."""
     order = list(order)

@@ -489,8 +489,7 @@ def _stored(t: Tables):
     batch = _batch(t)
     nothing = batch.select("assessment_id", "finding_id", "pos", "disposition", "analyst_note", "timestamp", F.col("event_id").alias("audit_event_id")).limit(0)
     no_chain = batch.select(F.col("assessment_id").alias("chain_id"), "pos", F.lit("").alias("entry_hash")).limit(0)
-    decisions, entries = di.append_decisions(nothing, no_chain, batch)
-    return cut_lineage(decisions), cut_lineage(entries)
+    return di.append_decisions(nothing, no_chain, batch)
 
 
 @query("di_append", with_sql(_DECISIONS, """
@@ -510,7 +509,7 @@ SELECT CASE WHEN d.disposition = 'REVIEW' AND e.value > 70 THEN 'payload_mismatc
 def di_verify(t: Tables):
     decisions, entries = _stored(t)
     values = t.events.select(F.concat(F.lit("D"), F.col("event_id")).alias("audit_event_id"), "value")
-    changed = decisions.join(values, "audit_event_id").withColumn(
+    changed = decisions.join(values.hint("merge"), "audit_event_id").withColumn(
         "analyst_note", F.when((F.col("disposition") == "REVIEW") & (F.col("value") > 70), "edited later").otherwise(F.col("analyst_note")))
     return di.verify_decisions(changed, entries).groupBy("binding_state").agg(F.count(F.lit(1)).alias("n"))
 
