@@ -77,3 +77,14 @@ def test_search_index_equals_full_scan(spark):
         assert sorted(int(r["key"]) for r in search_index.search(index, needle).collect()) == want, needle
     cost = search_index.search_cost(index, "common rare-x").first()
     assert (cost["labels"], cost["checked"], cost["hits"]) == (len(labels) - 1, 1, 1)
+
+
+def test_search_index_holds_a_repeated_label_once(spark):
+    rows = spark.range(500).select(F.lit("A").alias("kind"), F.col("id").cast("string").alias("key"),
+                                   F.when(F.col("id") % 5 < 4, "open urgent").otherwise(F.concat(F.lit("src1/"), F.col("id") % 50)).alias("label"))
+    index = search_index.build_index(rows)
+    assert index.texts.count() == 11 and index.postings.count() < 11 * 12
+    for needle, part in (("URGENT", "urgent"), ("src1/4", "src1/4"), ("1/", "1/")):
+        want = sorted(tuple(r) for r in rows.where(F.contains("label", F.lit(part))).collect())
+        assert sorted(tuple(r) for r in search_index.search(index, needle).collect()) == want
+    assert tuple(search_index.search_cost(index, "Urgent").first()) == ("Urgent", 500, 1, 400)
