@@ -1,4 +1,8 @@
-"""Connected components of an edge list by alternating star steps."""
+"""Connected components of an edge list by alternating star steps.
+
+Both sides of the joins grow with the edges and their files are packed, so they are merged: Spark would take them for
+small and have the driver hold them for a broadcast.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +16,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
     least = both.groupBy("high").agg(F.least(F.min("low"), F.col("high")).alias("least"))
-    return (both.join(least, "high").where("low > high").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    return (both.join(least.hint("merge"), "high").where("low > high").select(F.col("low").alias("high"), F.col("least").alias("low"))
             .where("high <> low").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of those."""
     least = edges.groupBy("high").agg(F.min("low").alias("least"))
-    joined = edges.join(least, "high")
+    joined = edges.join(least.hint("merge"), "high")
     links = joined.select(F.col("low").alias("high"), F.col("least").alias("low")).unionByName(
         least.select("high", F.col("least").alias("low")))
     return links.where("high <> low").distinct()

@@ -1,7 +1,8 @@
 """A8 repeated-pattern evidence from region candidates.
 
 Candidates are `file, region_no, peak_hf, y0, x0, cx, cy, descriptor`; the processing order is file,
-falling peak, y0, x0. A null descriptor belongs to no pattern.
+falling peak, y0, x0. A null descriptor belongs to no pattern. Joins of tables that both grow with the candidates
+are merged, as their packed files look small enough for a broadcast, which the driver would have to hold.
 """
 
 from __future__ import annotations
@@ -45,23 +46,23 @@ def _settled_in_task(edges: pd.DataFrame) -> pd.DataFrame:
 def _settled_in_rounds(edges: DataFrame) -> DataFrame:
     """The same for components beyond one task: each round settles every node whose earlier neighbours are settled."""
     waiting = edges.select(F.col("later").alias("descriptor")).distinct()
-    leaders = edges.select(F.col("earlier").alias("descriptor")).distinct().join(waiting, "descriptor", "left_anti")
+    leaders = edges.select(F.col("earlier").alias("descriptor")).distinct().join(waiting.hint("merge"), "descriptor", "left_anti")
     open_rows = waiting
     while True:
-        followers = (edges.join(leaders.select(F.col("descriptor").alias("earlier")), "earlier", "left_semi")
+        followers = (edges.join(leaders.select(F.col("descriptor").alias("earlier")).hint("merge"), "earlier", "left_semi")
                      .select(F.col("later").alias("descriptor")).distinct())
-        open_rows = cut_lineage(open_rows.join(followers, "descriptor", "left_anti"))
+        open_rows = cut_lineage(open_rows.join(followers.hint("merge"), "descriptor", "left_anti"))
         if open_rows.isEmpty():
             break
-        blocked = (edges.join(open_rows.select(F.col("descriptor").alias("earlier")), "earlier", "left_semi")
+        blocked = (edges.join(open_rows.select(F.col("descriptor").alias("earlier")).hint("merge"), "earlier", "left_semi")
                    .select(F.col("later").alias("descriptor")).distinct())
-        fresh = open_rows.join(blocked, "descriptor", "left_anti")
+        fresh = open_rows.join(blocked.hint("merge"), "descriptor", "left_anti")
         leaders = cut_lineage(leaders.unionByName(fresh))
-        open_rows = open_rows.join(leaders, "descriptor", "left_anti")
-    earliest = (edges.join(leaders.select(F.col("descriptor").alias("earlier")), "earlier", "left_semi")
+        open_rows = open_rows.join(leaders.hint("merge"), "descriptor", "left_anti")
+    earliest = (edges.join(leaders.select(F.col("descriptor").alias("earlier")).hint("merge"), "earlier", "left_semi")
                 .groupBy(F.col("later").alias("descriptor")).agg(F.min_by("earlier", "earlier_rank").alias("leader")))
     own = leaders.select("descriptor", F.col("descriptor").alias("leader"))
-    return own.unionByName(earliest.join(leaders, "descriptor", "left_anti"))
+    return own.unionByName(earliest.join(leaders.hint("merge"), "descriptor", "left_anti"))
 
 
 def first_fit_leaders(candidates: DataFrame, config: PatternConfig = PatternConfig(), *,
@@ -84,7 +85,7 @@ def first_fit_leaders(candidates: DataFrame, config: PatternConfig = PatternConf
         F.when(earlier_a, F.col("hash_a")).otherwise(F.col("hash_b")).alias("earlier"),
         F.greatest("rank_a", "rank_b").alias("later_rank"), F.least("rank_a", "rank_b").alias("earlier_rank")))
     component = connected_components(edges, "later", "earlier")
-    placed = edges.join(component.withColumnRenamed("node", "later"), "later")
+    placed = edges.join(component.withColumnRenamed("node", "later").hint("merge"), "later")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
     placed = cut_lineage(lookup_by_key(placed, sizes, ["component"], size="_n", spread=[F.col("later"), F.col("earlier")]))
     settled = placed.where(F.col("_n") <= task_edges).drop("_n").groupBy("component").applyInPandas(
@@ -93,14 +94,14 @@ def first_fit_leaders(candidates: DataFrame, config: PatternConfig = PatternConf
     if not giant.isEmpty():
         settled = settled.unionByName(_settled_in_rounds(giant.drop("_n", "component")))
     settled = cut_lineage(settled)
-    alone = first.select("descriptor").join(settled, "descriptor", "left_anti")
+    alone = first.select("descriptor").join(settled.hint("merge"), "descriptor", "left_anti")
     return settled.unionByName(alone.select("descriptor", F.col("descriptor").alias("leader")))
 
 
 def assign_leaders(candidates: DataFrame, leaders: DataFrame) -> DataFrame:
     """Candidates with their pattern leader (null without a descriptor)."""
     sizes = candidates.groupBy("descriptor").agg(F.count(F.lit(1)).alias("_n"))
-    stats = leaders.join(sizes, "descriptor")
+    stats = leaders.join(sizes.hint("merge"), "descriptor")
     looked = lookup_by_key(candidates, stats, ["descriptor"], size="_n", spread=[F.col("file"), F.col("region_no")])
     return looked.drop("_n")
 
@@ -132,7 +133,7 @@ def patterns(members: DataFrame, assessed: DataFrame, config: PatternConfig = Pa
     concentrated = F.col("concentrated_fraction") >= config.spatial_min_fraction
     base = F.when(~concentrated, "low").when(F.col("image_count") >= config.high_count, "high").otherwise("medium")
     majority = F.col("support_fraction") > config.majority_support
-    rows = attach_scalars(grouped.join(spread, "leader"), assessed).withColumn(
+    rows = attach_scalars(grouped.join(spread.hint("merge"), "leader"), assessed).withColumn(
         "support_fraction", ratio(F.col("image_count"), F.col("images_assessed")))
     rows = rows.withColumn("descriptor_hex", F.lower(F.lpad(F.hex("leader"), 16, "0")))
     ranked = number_rows(rows, [F.desc("image_count"), F.col("first_file"), F.col("descriptor_hex")], "rank")
@@ -153,11 +154,11 @@ def class_evidence(members: DataFrame, ranked: DataFrame, labels: DataFrame,
     """
     totals = labels.groupBy(F.col("label").alias("top_class")).agg(F.count(F.lit(1)).alias("top_class_total"))
     labelled = labels.agg(F.count(F.lit(1)).alias("labelled_total"))
-    counted = (members.join(labels, "file").groupBy("leader", "label").agg(F.count(F.lit(1)).alias("n")))
+    counted = (members.join(labels.hint("merge"), "file").groupBy("leader", "label").agg(F.count(F.lit(1)).alias("n")))
     top = (counted.groupBy("leader")
            .agg(F.sum("n").alias("labelled_member_count"), F.max(F.struct("n", "label")).alias("top"))
            .where(F.col("labelled_member_count") >= config.min_pattern_images))
-    joined = (ranked.select("pattern_id", "leader").join(top, "leader")
+    joined = (ranked.select("pattern_id", "leader").join(top.hint("merge"), "leader")
               .select("pattern_id", F.col("top.label").alias("top_class"), "labelled_member_count",
                       F.col("top.n").alias("top_class_member_count"))
               .join(totals, "top_class"))
