@@ -69,7 +69,7 @@ def test_labels_of_files_are_not_broadcast(spark):
     members = spark.createDataFrame([(7, f"{i:03d}", 0.5, 0.5, 30.0) for i in range(6)], "leader long, file string, cx double, cy double, peak_hf double")
     labels = spark.createDataFrame([(f"{i:03d}", "en" if i < 4 else "es") for i in range(20)], "file string, label string")
     ranked = spark.createDataFrame([("P001", 7)], "pattern_id string, leader long")
-    found = patterns.class_evidence(members, ranked, labels)
+    found = patterns.class_evidence(*[patterns.cut_lineage(df) for df in (members, ranked, labels)])  # of files Spark knows that they are small
     joins = [line for line in _plan(found).splitlines() if "Join" in line]
     assert any("SortMergeJoin [file#" in line for line in joins) and any("SortMergeJoin [leader#" in line for line in joins)
     row = found.first()
