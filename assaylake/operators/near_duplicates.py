@@ -63,6 +63,6 @@ def near_duplicate_groups(files: DataFrame, *, threshold: int = THRESHOLD, bucke
     """
     counts = cut_lineage(files.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("path")))
     linked = connected_components(hamming_links(counts, threshold, bucket_rows=bucket_rows), "hash_a", "hash_b")
-    grouped = counts.join(linked.withColumnRenamed("node", "hash"), "hash", "left").withColumn("group_hash", F.coalesce("component", "hash"))
+    grouped = counts.join(linked.withColumnRenamed("node", "hash").hint("merge"), "hash", "left").withColumn("group_hash", F.coalesce("component", "hash"))
     return grouped.groupBy("group_hash").agg(
         F.count(F.lit(1)).alias("hash_count"), F.sum("files").alias("file_count"), F.min("path").alias("first_path")).where("file_count > 1")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from assaylake.operators import components, patterns
+from assaylake.operators import components, near_duplicates, patterns
 
 
 def _plan(df) -> str:
@@ -74,3 +74,10 @@ def test_labels_of_files_are_not_broadcast(spark):
     assert any("SortMergeJoin [file#" in line for line in joins) and any("SortMergeJoin [leader#" in line for line in joins)
     row = found.first()
     assert (row["top_class"], row["labelled_member_count"], row["top_class_member_count"], row["top_class_total"], row["labelled_total"]) == ("en", 6, 4, 4, 20)
+
+
+def test_groups_of_near_duplicates_are_not_broadcast(spark):
+    files = spark.range(60).select(F.col("id").cast("string").alias("path"), (F.xxhash64(F.floor(F.col("id") / 2)).bitwiseXOR(F.col("id") % 2)).alias("hash"))
+    groups = near_duplicates.near_duplicate_groups(files)
+    assert "Broadcast" not in _plan(groups)
+    assert [(r["hash_count"], r["file_count"]) for r in groups.collect()] == [(2, 2)] * 30
